@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,3 +60,9 @@ def chunks(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
             held, size = [], 0
     if held:
         yield held
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table: in the cluster's shared folder, in a local one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='crestline-')}/{name}-{uuid.uuid4().hex}"

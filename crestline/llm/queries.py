@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, token_counts
+from crestline.llm import common, piece_codec, token_counts, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-TOKEN_LIMIT = 1024
+TOKEN_LIMIT, END_ID = 1024, 2
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every text's ids as byte planes in ascending doc_id, read the files back, describe each document from them."""
+    path = common.scratch(spark, "token-store")
+    token_store.write(common.documents(spark, sf_dir), path, BYTE_BPE, END_ID, plane="byte")
+    return token_store.read(spark, path, plane="byte")
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text with begin and end ids, decode it again, and give digests of both."""
+    return piece_codec.encode_decode(common.documents(spark, sf_dir), PIECE_BPE)
+
+
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts}
+    return {"op4_token_counts": op4_token_counts, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec}
 
 
 def oracle_sql() -> dict[str, str]:

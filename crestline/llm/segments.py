@@ -25,7 +25,7 @@ from crestline.llm.merges import MergeTable, merge_all
 GAP = 0xD800
 #: Code points in a chunk, units that a lookup keeps.
 CHUNK, KEPT = 2_000_000, 1_000_000
-_SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+_SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?=[ \u2581][A-Za-z])")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def gather(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def cut(text: str, limit: int = CHUNK) -> Iterator[str]:
-    """A very long text in parts, cut where every splitter starts a unit: before a space between ASCII letters."""
+    """A very long text in parts, cut where every splitter starts a unit: before a space (or ▁) between ASCII letters."""
     at = 0
     while len(text) - at > limit and (m := _SAFE_CUT.search(text, at + limit)):
         yield text[at : m.start()]
@@ -205,6 +205,21 @@ class Encoder:
         out = gather(self.lookup.ids, begin[which], each) if len(each) else np.zeros(0, np.int32)
         return out, np.bincount(text, each, minlength=len(texts)).astype(np.int64)[: len(texts)]
 
+    def encode(self, texts: Iterable[str], special: dict[str, int]) -> list[np.ndarray]:
+        """The ids of each whole text; a special string in it gives its own id."""
+        pieces: list[list[np.ndarray]] = []
+        for who, parts, found in batches_of(texts, list(special)):
+            ids, counts = self.ids(parts)
+            if found:
+                at = (np.cumsum(counts) - counts)[[p for p, _ in found]]
+                ids = np.insert(ids, at, [special[x] for _, x in found])
+                counts[[p for p, _ in found]] += 1
+            for i, own in zip(who, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                while len(pieces) <= i:
+                    pieces.append([])
+                pieces[i].append(own)
+        return [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
+
 
 @functools.cache
 def byte_bpe(path: str):
