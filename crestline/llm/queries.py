@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, piece_codec, token_counts, token_store
+from crestline.llm import common, piece_codec, sharding, token_counts, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-TOKEN_LIMIT, END_ID = 1024, 2
+SHARDS, TOKEN_LIMIT, END_ID = 16, 1024, 2
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of SHARDS shards near equal in bytes, equal texts together."""
+    return sharding.shard_texts(common.documents(spark, sf_dir), SHARDS)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_token_counts": op4_token_counts, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec}
+    return {"op1_sharding": op1_sharding, "op4_token_counts": op4_token_counts, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec}
 
 
 def oracle_sql() -> dict[str, str]:
