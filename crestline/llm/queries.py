@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, piece_codec, sharding, token_counts, token_store
+from crestline.llm import common, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-SHARDS, TOKEN_LIMIT, END_ID = 16, 1024, 2
+SHARDS, TOKEN_LIMIT, END_ID, TOXIC = 16, 1024, 2, 0.3
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,16 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(common.documents(spark, sf_dir), PIECE_BPE)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; labels are learned only from rows that are not held out."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op4_token_counts": op4_token_counts, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec}
+    return {"op1_sharding": op1_sharding, "op4_token_counts": op4_token_counts, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
