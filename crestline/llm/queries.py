@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import common, decontamination, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -25,6 +25,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside any window of any benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.report(decontamination.matches(common.documents(spark, sf_dir), items))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every text's ids as byte planes in ascending doc_id, read the files back, describe each document from them."""
     path = common.scratch(spark, "token-store")
@@ -46,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op4_token_counts": op4_token_counts, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
