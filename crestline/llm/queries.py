@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, decontamination, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import common, decontamination, fingerprints, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_texts(common.documents(spark, sf_dir), SHARDS)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document and of its half-edited text, and how alike they and the next document's are."""
+    return fingerprints.compare_with_next(common.documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and whether they pass a context of TOKEN_LIMIT."""
     docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -52,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
