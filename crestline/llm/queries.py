@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, decontamination, fingerprints, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import common, decontamination, fingerprints, near_dedup, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,6 +36,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.matches(common.documents(spark, sf_dir), items))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, and the one of each that is kept."""
+    return near_dedup.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every text's ids as byte planes in ascending doc_id, read the files back, describe each document from them."""
     path = common.scratch(spark, "token-store")
@@ -57,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
