@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, decontamination, fingerprints, near_dedup, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import common, decontamination, fingerprints, html_text, near_dedup, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -48,6 +48,13 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, plane="byte")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.learn(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text with begin and end ids, decode it again, and give digests of both."""
     return piece_codec.encode_decode(common.documents(spark, sf_dir), PIECE_BPE)
@@ -62,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
