@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, decontamination, fingerprints, html_text, near_dedup, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import common, decontamination, fingerprints, fixity, html_text, near_dedup, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,36 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_texts(common.documents(spark, sf_dir), SHARDS)
 
 
+#: Of the replica's records, by the md5 of the page_id: the first hexadecimal digits that mark a changed and a lost one.
+CHANGED, LOST = "0", "0f"
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit a replica of all pages, archived as WARC records, against the original: where it is damaged.
+
+    The replica is the archive with every record whose page_id has an md5 from CHANGED on
+    altered in one byte, and those from LOST on left out.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    records = fixity.archive(pages, "page_id", "url", "html")
+    mark = F.md5(F.col("page_id").cast("string").cast("binary"))
+    middle = F.expr("octet_length(record) div 2")
+    flipped = F.concat(F.substring("record", 1, middle - 1), F.lit("~").cast("binary"), F.substring("record", middle + 1, F.octet_length("record")))
+    # a record that has that byte already becomes longer by one
+    flipped = F.when(flipped == F.col("record"), F.concat("record", F.lit("~").cast("binary"))).otherwise(flipped)
+    hashed = _replica_hashes(records.where(F.col("length") > 0), mark, flipped)
+    one = hashed.select("archive", "offset", "length", "page_id", "hash")
+    other = hashed.where("NOT lost").select("archive", "offset", "length", "page_id", F.col("replica_hash").alias("hash"))
+    found = fixity.audit(one, other, ["page_id"])
+    return found.select("page_id", "archive", "offset", "length", "status", "hash_one", "hash_other")
+
+
+def _replica_hashes(records: DataFrame, mark, flipped) -> DataFrame:
+    """Hashes of both replicas' records from one pass over the pages."""
+    replica = F.when(mark.startswith(CHANGED), flipped).otherwise(F.col("record"))
+    return common.durable(records.select("archive", "offset", "length", "page_id", F.sha2("record", 256).alias("hash"), F.sha2(replica, 256).alias("replica_hash"), F.coalesce(mark.startswith(LOST), F.lit(False)).alias("lost")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk fingerprints of every document and of its half-edited text, and how alike they and the next document's are."""
     return fingerprints.compare_with_next(common.documents(spark, sf_dir))
@@ -69,7 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
+    return {"op1_sharding": op1_sharding, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
