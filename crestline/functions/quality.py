@@ -52,13 +52,21 @@ def sobel(v: Column, width: int, height: int) -> tuple[Column, Column]:
 
 
 def mean(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    """Mean of an array, which is evaluated once; null for an empty one."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("total"))
+    step = lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["total"] + x).alias("total"))
+    return F.aggregate(v, start, step, lambda a: F.when(a["n"] > 0, a["total"] / a["n"]))
 
 
 def variance(v: Column) -> Column:
-    """Population variance, in two passes."""
-    centre = mean(v)
-    return F.aggregate(F.transform(v, lambda x: (x - centre) * (x - centre)), F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    """Population variance by running means and squares, so that the array is evaluated once; null for an empty one."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(a: Column, x: Column) -> Column:
+        m = a["m"] + (x - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), m.alias("m"), (a["s"] + (x - a["m"]) * (x - m)).alias("s"))
+
+    return F.aggregate(v, start, step, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
 
 def focus(v: Column, width: int, height: int) -> Column:
