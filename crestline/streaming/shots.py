@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def live_shots(frames: DataFrame, video: str, no: str, value: str, threshold: float, idle_ms: int = 3_600_000) -> DataFrame:
+def live_shots(frames: DataFrame, video: str, no: str, value: str, threshold: float, idle_ms: int | None = None) -> DataFrame:
     """A stream of (video, frame_no, value, shot_id): a new shot begins where the value changes by more than the threshold.
 
     Frames of a trigger are taken in their order; one that comes in a later trigger than its
-    follower is dropped, as the shot it belonged to has been told. A video's state goes after
-    `idle_ms` without frames.
+    follower is dropped, as the shot it belonged to has been told. With `idle_ms` a video's state
+    (three numbers) goes after so long without frames; such a query runs on without new data, to time out.
     """
     out = f"{video} string, frame_no long, value double, shot_id long"
 
@@ -33,8 +33,9 @@ def live_shots(frames: DataFrame, video: str, no: str, value: str, threshold: fl
             last_no, last = int(n), float(v)
             told.append((key[0], last_no, last, shot))
         state.update((last_no, last, shot))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(told, columns=[video, "frame_no", "value", "shot_id"])
 
     keyed = frames.selectExpr(f"CAST({video} AS STRING) AS {video}", f"CAST({no} AS LONG) AS frame_no", f"CAST({value} AS DOUBLE) AS value")
-    return keyed.groupBy(video).applyInPandasWithState(run, out, "last_no long, last double, shot long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy(video).applyInPandasWithState(run, out, "last_no long, last double, shot long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -102,13 +102,15 @@ def test_live_shots(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [("a", 0, 1.0), ("a", 1, 9.0), ("b", 0, 5.0), ("a", 2, 9.5)]
     spark.createDataFrame(rows[:3], "video string, no long, v double").coalesce(1).write.parquet(src)
-    stream = live_shots(spark.readStream.schema("video string, no long, v double").parquet(src), "video", "no", "v", 5.0)
-    q = stream.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-        spark.createDataFrame(rows[3:], "video string, no long, v double").coalesce(1).write.mode("append").parquet(src)
-        q.processAllAvailable()
-        got = sorted((r.video, r.frame_no, r.shot_id) for r in spark.table("live").collect())
-    finally:
-        q.stop()
+    told = str(tmp_path / "told")
+
+    def take_what_is_there():
+        stream = live_shots(spark.readStream.schema("video string, no long, v double").parquet(src), "video", "no", "v", 5.0)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(told)
+        assert q.awaitTermination(60)
+
+    take_what_is_there()
+    spark.createDataFrame(rows[3:], "video string, no long, v double").coalesce(1).write.mode("append").parquet(src)
+    take_what_is_there()
+    got = sorted((r.video, r.frame_no, r.shot_id) for r in spark.read.parquet(told).collect())
     assert got == [("a", 0, 0), ("a", 1, 1), ("a", 2, 1), ("b", 0, 0)]
