@@ -32,7 +32,7 @@ PERCENT = 85
 RECALL = 0.99998
 TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - (PERCENT / 100) ** LEVELS))
 #: Members of a node that is compared by sketches; members and shingles that are compared in full in one task.
-LEAF, PART, PART_SHINGLES = 8192, 2048, 3_000_000
+LEAF, PART, PART_SHINGLES = 2048, 2048, 3_000_000
 #: Of 64 sketch coordinates a pair at the threshold agrees on 54, with a deviation of 3.
 AGREE = 38
 
