@@ -23,6 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crestline.llm.common import durable
+from crestline.llm.near_dedup import minwise, shingles
+
 #: Labelled rows of each class that the fit may use at most, stems that the lexicon may hold.
 SAMPLE, STEMS = {1: 4_000, 0: 8_000}, 2_000
 #: A stem counts if toxic documents have it so many times as often as others, and if chance would
@@ -199,21 +202,37 @@ def _stems_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
-def _sketch(text: str) -> int:
-    """The least hash of the text's five-word runs: near copies mostly share it."""
-    words = text.lower().split()
-    return min((hash(tuple(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
+#: Minwise tokens of which two rows share one if they are near copies.
+_KEYS = 4
+
+
+def _first_of_copies(rows: DataFrame) -> frozenset:
+    """The doc_ids to count stems on: of rows of one class that share a minwise token, the first. `rows` is the bounded sample."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            least = [minwise(shingles(t))[:_KEYS].astype("int64").tolist() for t in b.text]
+            yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "least": least})
+
+    table = rows.mapInPandas(sketch, "doc_id long, y int, least array<long>").toPandas().sort_values("doc_id")
+    seen, kept = set(), set()
+    for doc, y, least in zip(table.doc_id, table.y, table.least, strict=True):
+        keys = {(y, k, int(v)) for k, v in enumerate(least)}
+        if not keys & seen:
+            kept.add(int(doc))
+        seen |= keys
+    return frozenset(kept)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
-    """(text, y) of at most SAMPLE labelled rows of each class that are not held out, by hash order; and all such rows' counts."""
+    """(doc_id, text, y) of at most SAMPLE labelled rows of each class that are not held out, by hash order; and all such rows' counts."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("y"))
     counts = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     picked = None
     for y, most in SAMPLE.items():
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y"), counts
+    return durable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")), counts
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -223,12 +242,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     if not counts.get(0) or not counts.get(1):
         return plain
 
+    kept = _first_of_copies(rows)
+
     def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, found = set(), {0: Counter(), 1: Counter()}
+        found = {0: Counter(), 1: Counter()}
         for b in batches:
-            for t, y in zip(b.text, b.y, strict=True):
-                if (key := (_sketch(t), y)) not in seen:  # copies within the task count once
-                    seen.add(key)
+            for doc, t, y in zip(b.doc_id, b.text, b.y, strict=True):
+                if doc in kept:
                     found[y].update(_stems_of(t))
                     found[y][""] += 1
         every = list(set(found[0]) | set(found[1]))
@@ -236,18 +256,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             part = every[i : i + 50_000]
             yield pd.DataFrame({"stem": pd.Series(part, dtype=object), "bad": [found[1][s] for s in part], "good": [found[0][s] for s in part]})
 
-    counted = rows.mapInPandas(stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where((F.col("stem") == "") | (F.col("bad") >= SUPPORT)).cache()
-    try:
-        all_bad, all_good = counted.where("stem = ''").select("bad", "good").first() or (1, 1)
-        base, share = F.lit(max(1, all_bad) / max(1, all_bad + all_good)), F.col("bad") / (F.col("bad") + F.col("good"))
-        surprise = F.col("bad") * F.log(share / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-        limit = SURPRISE + float(np.log(max(1, counted.count())))
-        ratio = (F.col("bad") / max(1, all_bad)) / ((F.col("good") + 0.5) / max(1, all_good))
-        strong = counted.where((F.col("stem") != "") & (ratio >= RATIO) & (surprise >= limit)).orderBy(F.desc("bad"), "stem").limit(STEMS)
-        kept = [(r.stem, r.bad, r.good) for r in strong.collect()]
-    finally:
-        counted.unpersist()
-    lexicon = _shortest(kept, max(1, all_bad), max(1, all_good)) | {w: 1.0 for w in SEED_INSULTS.split()}
+    counted = rows.mapInPandas(stems, "stem string, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = durable(counted.where((F.col("stem") == "") | (F.col("bad") >= SUPPORT)))
+    all_bad, all_good = counted.where("stem = ''").select("bad", "good").first() or (1, 1)
+    base, share = F.lit(max(1, all_bad) / max(1, all_bad + all_good)), F.col("bad") / (F.col("bad") + F.col("good"))
+    surprise = F.col("bad") * F.log(share / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    limit = SURPRISE + float(np.log(max(1, counted.count())))
+    ratio = (F.col("bad") / max(1, all_bad)) / ((F.col("good") + 0.5) / max(1, all_good))
+    strong = counted.where((F.col("stem") != "") & (ratio >= RATIO) & (surprise >= limit)).orderBy(F.desc("bad"), "stem").limit(STEMS)
+    chosen = [(r.stem, r.bad, r.good) for r in strong.collect()]
+    lexicon = _shortest(chosen, max(1, all_bad), max(1, all_good)) | {w: 1.0 for w in SEED_INSULTS.split()}
     grammar_model = Model(lexicon, plain.weights)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
