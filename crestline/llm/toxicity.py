@@ -28,9 +28,9 @@ from crestline.llm.near_dedup import minwise, shingles
 
 #: Labelled rows of each class that the fit may use at most, stems that the lexicon may hold.
 SAMPLE, STEMS = {1: 4_000, 0: 8_000}, 2_000
-#: A stem counts if toxic documents have it so many times as often as others, and if chance would
+#: Stems are words and word beginnings that go on. One counts if toxic documents have it so many times as often as others, and if chance would
 #: give that less than exp(-SURPRISE) times over all stems in at least SUPPORT toxic documents.
-RATIO, SURPRISE, SUPPORT, BEGINNINGS = 15.0, 3.0, 4, (4, 5, 6, 7)
+RATIO, SURPRISE, SUPPORT, BEGINNINGS = 15.0, 3.0, 4, (4, 5, 6, 7, 8)
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, QUOTE, END = range(9)
 BARE, TARGETED, NEGATED, REPORTED, THREATENED, AFTER = range(6)
@@ -132,7 +132,7 @@ class Grammar:
         if word in self.weights:
             return INSULT, self.weights[word]
         for n in self.lengths:
-            if len(word) >= n and (w := self.stems.get(word[:n] + "*")):
+            if len(word) > n and (w := self.stems.get(word[:n] + "*")):
                 return INSULT, w
         if not word[0].isalpha():
             return (END if word[0] in ".!?;\n" else QUOTE), 0.0
@@ -199,7 +199,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _stems_of(text: str) -> set[str]:
     words = {w for w in _WORDS.findall(text.lower()) if len(w) > 2}
-    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
+    return words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n}
 
 
 #: Minwise tokens of which two rows share one if they are near copies.
@@ -292,14 +292,15 @@ def _shortest(kept: list[tuple[str, int, int]], bad: int, good: int) -> dict[str
     words = [s for s in count if not s.endswith("*")]
     for w in words:
         for n in BEGINNINGS:
-            longer[w[:n]] = max(longer.get(w[:n], 0), count[w][0])
+            if len(w) > n:
+                longer[w[:n]] = max(longer.get(w[:n], 0), count[w][0])
     out: dict[str, float] = {}
     for s in starts:
         stem = s[:-1]
         if longer.get(stem, 0) < 0.95 * count[s][0] and not any(stem[:n] + "*" in out for n in BEGINNINGS if n < len(stem)):
             out[s] = value(*count[s])
     for w in words:
-        if not any(w[:n] + "*" in out for n in BEGINNINGS):
+        if not any(w[:n] + "*" in out for n in BEGINNINGS if len(w) > n):
             out[w] = value(*count[w])
     return out
 
