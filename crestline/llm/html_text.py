@@ -46,6 +46,7 @@ class Block:
     apart: bool
     text: str
     tags: list[str] = field(default_factory=list)
+    root: int = 0  # the outermost marked article that it lies in, 0 for none
 
 
 def _section(name: str, attributes: str, within: str) -> str | None:
@@ -65,17 +66,17 @@ def _section(name: str, attributes: str, within: str) -> str | None:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order. Unclosed, misnested and cut-off markup is read as far as it goes."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # element, section it lies in
+    stack: list[tuple[str, str, int]] = []  # element, section and marked article it lies in
     text: list[str] = []
     tags: list[str] = []
-    inner, section = "", "page"
+    inner, section, root, roots = "", "page", 0, 0
 
     def flush() -> None:
         nonlocal tags
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words:
-            out.append(Block((section, inner), section.startswith("apart:"), words, tags))
+            out.append(Block((section, inner), section.startswith("apart:"), words, tags, root))
             tags = []
 
     at, n = 0, len(page)
@@ -104,12 +105,14 @@ def blocks_of(page: str) -> list[Block]:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 at = end.start() if end else n
-                stack.append((name, found or section))
+                stack.append((name, found or section, root))
                 continue
             if name not in VOID and not m[3].rstrip().endswith("/"):
                 if name not in INLINE or found:
-                    stack.append((name, found or section))
-        section = stack[-1][1] if stack else "page"
+                    if found == "content" and not root:
+                        roots += 1
+                    stack.append((name, found or section, roots if found == "content" and not root else root))
+        section, root = stack[-1][1:] if stack else ("page", 0)
         inner = stack[-1][0] if stack else ""
     flush()
     return out
@@ -148,6 +151,11 @@ def best_run(blocks: list[Block], weights: Weights) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     blocks = blocks_of(page)
     first, last = best_run(blocks, weights)
+    if first < last:  # a marked article is not cut within
+        while first > 0 and blocks[first].root and blocks[first - 1].root == blocks[first].root:
+            first -= 1
+        while last < len(blocks) and blocks[last - 1].root and blocks[last].root == blocks[last - 1].root:
+            last += 1
     return "\n".join(b.text for b in blocks[first:last] if not b.apart)
 
 
