@@ -52,6 +52,10 @@ def preprocess(image: Column) -> Column:
     return _image_map(K.preprocess)(image)
 
 
+def upright(image: Column) -> Column:
+    return _image_map(K.upright)(image)
+
+
 def gray(image: Column) -> Column:
     return _image_map(K.gray)(image)
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from crestline.functions import images as I
 from crestline.functions import quality as Q
+from crestline.operators import features
 from crestline.operators import frames as O
 
 
@@ -34,3 +35,25 @@ def representative_frames(frames: DataFrame, fps: str = "fps", target_fps: float
     picked = kept.select("video_id", "shot_id", "rank", "frame_no", "src_frame_no", "quality")
     raw = sampled.select("video_id", "src_frame_no", F.col("image").alias("__raw"))  # only kept frames are prepared again
     return picked.join(raw, ["video_id", "src_frame_no"]).withColumn("image", prepared(F.col("__raw"))).drop("__raw")
+
+
+def sampled_frames(frames: DataFrame, fps: str = "fps", target_fps: float = 1.0) -> DataFrame:
+    """Every sampled frame, turned upright, numbered from 0 and not selected or prepared otherwise."""
+    kept = O.sample(frames.withColumn("__every", O.interval(F.col(fps), target_fps)), F.col("__every")).drop("__every")
+    return O.number(kept.drop("frame_no"), "video_id", ["src_frame_no"]).withColumn("image", I.upright(F.col("image")))
+
+
+def stream_colours(frames: DataFrame, detections: DataFrame, rows: int = 100) -> DataFrame:
+    """video_id, frame_no and the mean Lab colour under each frame's first confident box; null without one.
+
+    `detections` has video_id, frame_no, ord, confidence and box struct<x1, y1, x2, y2>.
+    """
+    named = detections.withColumn("__key", F.struct("video_id", "frame_no"))
+    first = features.first_match(named, "__key", ["ord"], F.col("confidence")).select("video_id", "frame_no", "box")
+    joined = frames.join(first, ["video_id", "frame_no"], "left")
+    return joined.select("video_id", "frame_no", I.region_colour(F.col("image"), F.col("box"), rows).alias("colour"))
+
+
+def observed(selected: DataFrame, name: str = "selected_frames") -> DataFrame:
+    """The same rows, with their number and mean quality as an observation of that name (NULL of none)."""
+    return selected.observe(name, F.count(F.lit(1)).alias("saved"), F.avg("quality").alias("average_quality"))

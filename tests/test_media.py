@@ -82,7 +82,9 @@ def test_still_plan_finds_the_disc(spark):
     sizes = {r.image_id: (r.h, r.w) for r in still.crops(df, boxes).select("image_id", F.col("image.height").alias("h"), F.col("image.width").alias("w")).collect()}
     assert sizes["blank"] == (40, 40) and sizes["disc"][0] > 120 and sizes["disc"][1] < 160
     steps = [r.step_name for r in still.debug_images(df, boxes).where("image_id = 'disc'").orderBy("step_no").select("step_name").collect()]
-    assert steps[0] == "Original" and steps[-1] == "Cropped Result"
+    assert steps == ["Original", "Blurred", "Canny Edges", "FAST Keypoints", "Detected Features", "Ellipse Comparison", "Final Result", "Cropped Result"] or "Sharpened" in steps
+    (sheet,) = still.sheets(still.debug_images(df.where("image_id = 'disc'"), boxes)).collect()
+    assert bytes(sheet.png[:4]) == b"\x89PNG"
 
 
 def test_region_colour_is_null_without_a_strip(spark):
@@ -92,6 +94,27 @@ def test_region_colour_is_null_without_a_strip(spark):
     assert got[1].l > 0 and abs(got[1].a - 128) < 2 and (got[2] is None or got[2].l is None)
 
 
+def test_sampled_frames_and_colours(spark, tmp_path):
+    wide = np.full((4, 6), 100, np.uint8)
+    (tmp_path / "w.y4m").write_bytes(y4m([wide] * 5))
+    frames = media.y4m(spark, str(tmp_path / "w.y4m"))
+    got = video.sampled_frames(frames).orderBy("frame_no").select("frame_no", "src_frame_no", "image.height", "image.width").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 6, 4), (1, 2, 6, 4), (2, 4, 6, 4)]
+    colour = spark.createDataFrame([("v", 0, I.record(disc())), ("v", 1, I.record(disc()))], "video_id string, frame_no long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+    boxes = spark.createDataFrame([("v", 0, 0, 0.5, (0, 0, 9, 9)), ("v", 0, 1, 0.7, (0, 0, 50, 60)), ("v", 0, 2, 0.9, (0, 0, 1, 1))], "video_id string, frame_no long, ord int, confidence double, box struct<x1:int,y1:int,x2:int,y2:int>")
+    found = {r.frame_no: r.colour for r in video.stream_colours(colour, boxes, 20).collect()}
+    assert found[0].l > 0 and (found[1] is None or found[1].l is None)
+    assert video.observed(spark.createDataFrame([(0.5,), (0.7,)], "quality double")).count() == 2
+
+
+def test_resize_and_grid():
+    a = np.full((10, 20, 3), 77, np.uint8)
+    assert (K.resize(a, 7, 5) == 77).all() and K.resize(a, 7, 5).shape == (5, 7, 3)
+    sheet = K.grid([a, None, a[..., 0]])
+    assert sheet.shape == (900, 1600, 3) and sheet[150, 200].tolist() == [77] * 3 and sheet[150, 600].tolist() == [0] * 3 and sheet[150, 1000].tolist() == [77] * 3
+    assert K.along_ellipse(0, 0, -1, 1, 0).shape == (0, 2)
+
+
 def test_export_writes_files(spark, tmp_path):
     df = spark.createDataFrame([("a.png", bytearray(b"xyz")), ("b.png", None)], "name string, data binary")
     manifest = media.export_files(df, str(tmp_path / "o"), F.col("name"), F.col("data")).collect()
