@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import common, decontamination, fingerprints, fixity, html_text, near_dedup, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import common, decontamination, fingerprints, fixity, html_text, near_dedup, oracles, piece_codec, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -103,4 +103,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": oracles.DECONTAMINATION, "op6_near_dedup": oracles.NEAR_DEDUP}

@@ -1,0 +1,23 @@
+"""The corpus queries that SQL can express against DuckDB, on the smallest given tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from crestline.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, DATA).toPandas(), c.sql(queries.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns) and [str(got[k].dtype) for k in columns] == [str(want[k].dtype) for k in columns]
+    rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
