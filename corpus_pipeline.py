@@ -62,9 +62,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """All stages over documents; each is written, and the one before it is then deleted."""
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = common.scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.discard(spark, before)
+        before = path
     return docs

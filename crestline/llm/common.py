@@ -66,3 +66,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table: in the cluster's shared folder, in a local one only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{shared or tempfile.mkdtemp(prefix='crestline-')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that scratch() named and nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
