@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,17 +50,16 @@ def with_bucket(df: DataFrame, key: str, out: str = "bucket", rows: int = BUCKET
     return dealt.withColumn(out, F.col(f"{value}_at").cast("int")).drop(value, f"{value}_at")
 
 
-def chunks(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
-    """Lists of texts of about `limit` characters each, in order."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about `limit` characters of text each, at least a row, and their texts (null: empty)."""
+    texts, at = [t or "" for t in batch.column(column).to_pylist()], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
+            size += len(texts[end])
+            end += 1
+        yield batch.slice(at, end - at), texts[at:end]
+        at = end
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from crestline.llm import segments as S
+from crestline.llm.common import slices
 from crestline.llm.merges import MergeTable, merge_all
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -117,22 +118,15 @@ def encode_decode(df: DataFrame, model: str, digests: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
-            keys, texts = b.column("doc_id").cast(pa.int64()), [t or "" for t in b.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):  # some MB of text at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= S.CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                ids = [np.r_[c.bos, x, c.eos].astype("<u4") for x in c.encode(texts[at:end])]
+        for batch in batches:
+            for b, texts in slices(batch):
+                ids = [np.r_[c.bos, x, c.eos].astype("<u4") for x in c.encode(texts)]
                 back = c.decode([x.tolist() for x in ids])
                 counts = pa.array([len(x) for x in ids], pa.int64())
                 if digests:
                     rest = [pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
                 else:
                     rest = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), counts, *rest], names=["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
-                at = end
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), counts, *rest], names=["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

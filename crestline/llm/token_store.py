@@ -73,12 +73,12 @@ def encode(df: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, special = _encoder(tokenizer)
         tail = [] if end_id is None else [end_id]
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = [np.r_[x, tail].astype("<u4") for x in encoder.encode(texts, special)]
-            # first byte: the width in bytes
-            cells = [b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65_536 else b"\x04" + x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("bucket").cast(pa.int32()), b.column("doc_id").cast(pa.int64()), pa.array(cells, pa.binary())], names=["bucket", "doc_id", "ids"])
+        for batch in batches:
+            for b, texts in common.slices(batch):
+                ids = [np.r_[x, tail].astype("<u4") for x in encoder.encode(texts, special)]
+                # first byte: the width in bytes
+                cells = [b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65_536 else b"\x04" + x.tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("bucket").cast(pa.int32()), b.column("doc_id").cast(pa.int64()), pa.array(cells, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     return df.select("bucket", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
