@@ -13,6 +13,8 @@ from crestline.llm import common, decontamination, near_dedup, piece_codec, toxi
 
 #: Score from which on a document is toxic.
 TOXIC = 0.3
+#: Percent of Jaccard similarity of five-word shingles from which on documents are near copies (op6 has its own).
+NEAR = 80
 #: SQL cannot express the fitted score nor the codec; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
@@ -35,9 +37,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the least doc_id."""
+    """One document of each near-duplicate component at NEAR percent: the one with the least doc_id."""
     keyed, key = _keyed(docs)
-    found = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    found = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR)
     return _without(keyed, key, found.where("NOT kept"), docs.columns)
 
 

@@ -5,7 +5,8 @@ representative. Independent trees branch the representatives: a node's members g
 child that their minwise token at that level names, until a node is small. Members of small
 nodes are compared by sketches of minwise tokens, and what could be linked is put in one block;
 a block's full sets are then compared exhaustively, by inverted lists, and only confirmed links
-unite documents. TREES is what the wanted recall needs at the deepest level.
+unite documents. The percent of a link is the caller's; the number of trees is what the wanted
+recall needs at the deepest level for it, and the bound of sketches follows from it too.
 
 Hot groups: equal sets are collapsed before anything is paired; a node that stays large at the
 deepest level is one block without comparison; a block too large for a task is compared node by
@@ -27,18 +28,36 @@ from pyspark.sql import functions as F
 from crestline.llm.common import durable
 
 SHINGLE, LEVELS, COORDINATES = 5, 3, 64
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent of the query op6.
 PERCENT = 85
 RECALL = 0.99998
-TREES = math.ceil(math.log(1 - RECALL) / math.log(1 - (PERCENT / 100) ** LEVELS))
 #: Members of a node that is compared by sketches; members and shingles that are compared in full in one task.
 LEAF, PART, PART_SHINGLES = 2048, 2048, 3_000_000
-#: Of 64 sketch coordinates a pair at the threshold agrees on 54, with a deviation of 3.
-AGREE = 38
+#: A pair at the threshold is taken for a link by its sketches down to so many deviations under its mean agreement.
+DEVIATIONS = 5.7
 
 _U = np.uint64
 
 
+def trees(percent: int) -> int:
+    """Trees for a recall of RECALL of links at the threshold: 12 at 85, 16 at 80."""
+    if not 0 < percent < 100:
+        raise ValueError(f"percent must lie between 0 and 100: {percent}")
+    n = math.ceil(math.log(1 - RECALL) / math.log(1 - (percent / 100) ** LEVELS))
+    if n * LEVELS > COORDINATES:
+        raise ValueError(f"{percent} percent needs {n} trees, more than {COORDINATES} coordinates give")
+    return n
+
+
+def agree(percent: int) -> int:
+    """Least equal coordinates of two sketches that could be linked: 38 of 64 at 85 (54 on average), 32 at 80 (51)."""
+    p = percent / 100
+    return math.floor(COORDINATES * p - DEVIATIONS * math.sqrt(COORDINATES * p * (1 - p)))
+
+
+AGREE = agree(PERCENT)
+
+
 @functools.cache
 def _tables():
     rng = np.random.default_rng(4711)
@@ -104,7 +123,7 @@ def signature(items: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, n_trees: int) -> DataFrame:
     """(row, doc_id, n, s1, s2, tokens, sketch): a row number, the set's size and signature, tree tokens and sketch."""
     schema = "row long, doc_id long, n long, s1 long, s2 long, tokens array<long>, sketch binary"
 
@@ -118,7 +137,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 s1, s2 = signature(items)
                 with np.errstate(over="ignore"):
                     sketch = ((least * _U(0x9E3779B97F4A7C15)) >> _U(56)).astype(np.uint8).tobytes()
-                tokens = least[: TREES * LEVELS].astype(np.int64) if len(items) else None
+                tokens = least[: n_trees * LEVELS].astype(np.int64) if len(items) else None
                 for k, v in zip(out, (row, len(items), s1, s2, tokens, sketch), strict=True):
                     out[k].append(v)
                 row += 1
@@ -129,9 +148,9 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def nodes(sets: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
     """(node, row) of the small nodes with two members or more, and of the nodes still large at the deepest level."""
-    level = sets.select("row", F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> slice(tokens, t * {LEVELS} + 1, {LEVELS}))")).alias("tree", "path"))
+    level = sets.select("row", F.posexplode(F.expr(f"transform(sequence(0, {n_trees - 1}), t -> slice(tokens, t * {LEVELS} + 1, {LEVELS}))")).alias("tree", "path"))
     level = level.select("row", "path", F.xxhash64("tree", F.col("path")[0]).alias("node"))
     leaves = []
     for depth in range(1, LEVELS + 1):
@@ -172,26 +191,31 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int = 0):
         yield now, held
 
 
-def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _plausible(percent: int):
     """Of each node, edges (row, least row) inside the groups that sketches could link."""
-    for _, (_, rows, sketches, ns) in _grouped(batches):
-        order = np.argsort(np.array(rows), kind="stable")
-        rows_, n = np.array(rows)[order], np.array(ns)[order]
-        marks = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(rows), COORDINATES)[order]
-        left = np.arange(len(rows))
-        a, b = [], []
-        while len(left) > 1:
-            root, todo, left = left[0], [left[0]], left[1:]
-            while todo and len(left):
-                i = todo.pop()
-                near = ((marks[left] == marks[i]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[left], n[i]) >= PERCENT * np.maximum(n[left], n[i]))
-                hit = left[near]
-                left = left[~near]
-                todo.extend(hit.tolist())
-                a.append(rows_[hit])
-                b.append(np.full(len(hit), rows_[root]))
-        if a and sum(map(len, a)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    least = agree(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, rows, sketches, ns) in _grouped(batches):
+            order = np.argsort(np.array(rows), kind="stable")
+            rows_, n = np.array(rows)[order], np.array(ns)[order]
+            marks = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(rows), COORDINATES)[order]
+            left = np.arange(len(rows))
+            a, b = [], []
+            while len(left) > 1:
+                root, todo, left = left[0], [left[0]], left[1:]
+                while todo and len(left):
+                    i = todo.pop()
+                    near = ((marks[left] == marks[i]).sum(axis=1) >= least) & (100 * np.minimum(n[left], n[i]) >= percent * np.maximum(n[left], n[i]))
+                    hit = left[near]
+                    left = left[~near]
+                    todo.extend(hit.tolist())
+                    a.append(rows_[hit])
+                    b.append(np.full(len(hit), rows_[root]))
+            if a and sum(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _roots(rows: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _roots(rows: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Confirmed components of some sets: each distinct row and the least row it is linked to.
 
     Inverted lists give a set's intersection with all others at once.
@@ -239,16 +263,19 @@ def _roots(rows: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
             continue
         ends = np.cumsum(length)
         common = np.bincount(owner[np.arange(ends[-1]) + np.repeat(start - (ends - length), length)], minlength=len(sets))
-        for j in np.flatnonzero(100 * common >= PERCENT * (size + size[i] - common)).tolist():
+        for j in np.flatnonzero(100 * common >= percent * (size + size[i] - common)).tolist():
             if j > i and (p := find(i)) != (q := find(j)):
                 parent[max(p, q)] = min(p, q)
     return rows_, rows_[[find(i) for i in range(len(sets))]] if len(sets) else rows_
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, (_, rows, sets) in _grouped(batches):
-        a, b = _roots(rows, [np.frombuffer(s, np.uint64) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _confirm(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, rows, sets) in _grouped(batches):
+            a, b = _roots(rows, [np.frombuffer(s, np.uint64) for s in sets], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,20 +296,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return same.select("row", "s1", "s2", "text").mapInArrow(run, "row long, items binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Links are of a Jaccard similarity from percent on.
 
     Documents without words are linked with nothing; null doc_ids count only where a component has no
     other id; repeated rows come out as often and are all kept or all not. Other columns are not read.
     """
     edge = "a long, b long"
-    sets = durable(describe(docs))
+    n_trees = trees(percent)
+    sets = durable(describe(docs, n_trees))
     groups = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
     groups = durable(groups)
     reps = sets.join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
-    small, large = nodes(reps.select("row", "tokens"))
+    small, large = nodes(reps.select("row", "tokens"), n_trees)
     members = small.join(reps.select("row", "sketch", "n"), "row").select("node", "row", "sketch", "n")
-    edges = members.repartition("node").sortWithinPartitions("node").mapInArrow(_plausible, edge)
+    edges = members.repartition("node").sortWithinPartitions("node").mapInArrow(_plausible(percent), edge)
     star = large.groupBy("node").agg(F.min("row").alias("b"))  # too large to compare: one block
     edges = edges.unionByName(large.join(star, "node").select(F.col("row").alias("a"), "b"))
     blocks = components(edges)
@@ -293,10 +321,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heavy = weights.where((F.col("m") > PART) | (F.col("w") > PART_SHINGLES)).select("root")
     items = durable(full_sets(docs, placed.select("row", "doc_id", "s1", "s2")))
     light = placed.join(heavy, "root", "left_anti").select(F.col("root").alias("block"), "row").join(items, "row").select("block", "row", "items")
-    roots = light.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm, edge).select(F.col("a").alias("row"), F.col("b").alias("root"))
+    roots = light.repartition("block").sortWithinPartitions("block").mapInArrow(_confirm(percent), edge).select(F.col("a").alias("row"), F.col("b").alias("root"))
     hard = durable(placed.join(heavy, "root", "left_semi").select("row", "n"))
     if not hard.isEmpty():
-        roots = roots.unionByName(components(_node_links(small.unionByName(large), hard, items)))
+        roots = roots.unionByName(components(_node_links(small.unionByName(large), hard, items, percent)))
     roots = durable(roots)
 
     named = groups.join(roots.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -307,11 +335,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _node_links(memberships: DataFrame, hard: DataFrame, items: DataFrame) -> DataFrame:
+def _node_links(memberships: DataFrame, hard: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) of the rows in blocks too large for a task, from their nodes; large nodes by pairs of parts."""
     held = durable(memberships.join(hard, "row"))
     parts = held.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / (PART / 2)), F.ceil(F.sum("n") / (PART_SHINGLES / 2))).cast("int").alias("parts"))
     dealt = held.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     pair = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))")
     pairs = dealt.withColumn("pair", F.explode(pair)).where("parts <= 1 OR pair.i < pair.j").select(F.xxhash64("node", "pair.i", "pair.j").alias("task"), "row")
-    return pairs.join(items, "row").select("task", "row", "items").repartition("task").sortWithinPartitions("task").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(items, "row").select("task", "row", "items").repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long")

@@ -68,7 +68,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, and the one of each that is kept."""
-    return near_dedup.near_duplicates(common.documents(spark, sf_dir))
+    return near_dedup.near_duplicates(common.documents(spark, sf_dir), near_dedup.PERCENT)
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
