@@ -4,7 +4,8 @@ A gear hash over the UTF-8 bytes proposes boundaries; chunking is normalised: a
 holds before the wanted size, a loose one after it, within a least and a greatest size. A
 fingerprint is the set of its chunks' digests with their lengths; containment is the length of
 the shared digests over the length of the document's own. An insertion moves the boundaries
-only near it.
+only near it. Every text has digests of one scale; short ones have digests of a finer scale too,
+and a longer text gets them where it meets a short one. Only digests of the same scale are compared.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from crestline.llm.common import with_bucket
 
 #: Least, wanted and greatest bytes of a chunk; bits of the strict and the loose mask (2**5 is the wanted size).
 LEAST, WANTED, MOST, STRICT, LOOSE = 12, 32, 96, 6, 4
-#: The same for texts of under SHORT characters, which have too few chunks of that size to compare.
+#: A finer scale besides, as texts of under SHORT characters have too few chunks to compare. Texts up to twice that have it
+#: in their fingerprint (they can be near copies of a short one, or become one when edited), others where they meet a short one.
 SHORT, FINE = 160, (2, 5, 12, 3, 1)
+#: In the 16 bits of a digest's length, what marks the finer scale.
+FINER = np.uint64(0x8000)
 #: Bytes that the gear hash is computed for at a time, and that one of its values depends on.
 BLOCK, REACH = 1 << 20, 32
 
@@ -79,33 +83,57 @@ def boundaries(data: np.ndarray, least: int, wanted: int, most: int, strict_bits
     return ends
 
 
-def fingerprint(text: str) -> np.ndarray:
-    """Sorted distinct chunk digests as unsigned 64-bit: 48 bits of hash above 16 bits of length."""
+def fingerprint(text: str, fine: bool | None = None) -> np.ndarray:
+    """Sorted distinct chunk digests as unsigned 64-bit: 48 bits of hash above one that marks the finer scale and 15 of length.
+
+    With the finer scale if `fine`, and by default if the text has under 2 * SHORT characters.
+    """
     data = np.frombuffer(text.encode(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
-    ends = np.array(boundaries(data, *(FINE if len(text) < SHORT else (LEAST, WANTED, MOST, STRICT, LOOSE))))
+    marks = _digests(data, (LEAST, WANTED, MOST, STRICT, LOOSE))
+    if len(text) < 2 * SHORT if fine is None else fine:
+        marks = np.r_[marks, _digests(data, FINE) | FINER]
+    return np.unique(marks)
+
+
+def _digests(data: np.ndarray, scale: tuple[int, int, int, int, int]) -> np.ndarray:
+    ends = np.array(boundaries(data, *scale))
     starts = np.r_[0, ends[:-1]]
     value, power = _digest_gears()
     with np.errstate(over="ignore"):
         h = np.add.reduceat(value[data] * power[np.arange(len(data)) - np.repeat(starts, ends - starts)], starts)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return np.unique((h & ~np.uint64(0xFFFF)) | (ends - starts).astype(np.uint64))
+    return (h & ~np.uint64(0xFFFF)) | (ends - starts).astype(np.uint64)
 
 
 def containment(own: np.ndarray, other: np.ndarray) -> float:
-    """Share of `own`'s distinct chunk bytes that `other` has; 1 for two empty texts, 0 for one."""
+    """Share of `own`'s distinct chunk bytes that `other` has, at the finest scale of both; 1 for two empty texts, 0 for one."""
     if not len(own) or not len(other):
         return float(len(own) == len(other))
-    size = (own & np.uint64(0xFFFF)).astype(np.int64)
+    finer, others = (own & FINER) > 0, (other & FINER) > 0
+    if finer.any() and others.any():
+        own, other = own[finer], other[others]
+    else:
+        own, other = own[~finer], other[~others]
+    size = (own & np.uint64(0x7FFF)).astype(np.int64)
     at = np.searchsorted(other, own)
     at[at == len(other)] = 0
     return float(size[other[at] == own].sum() / size.sum())
 
 
+def likeness(text: str, mark: np.ndarray, other: str, other_mark: np.ndarray) -> float:
+    """Containment of a text in another; where one is short, the other one's finer digests are made for it."""
+    if len(text) < SHORT and len(other) >= 2 * SHORT:
+        other_mark = fingerprint(other, fine=True)
+    elif len(other) < SHORT and len(text) >= 2 * SHORT:
+        mark = fingerprint(text, fine=True)
+    return containment(mark, other_mark)
+
+
 def as_text(print_: np.ndarray) -> str:
-    """16 hexadecimal digits a chunk: 12 of digest, 4 of length."""
+    """16 hexadecimal digits a chunk: 12 of digest, 4 of scale and length."""
     return print_.astype(">u8").tobytes().hex()
 
 
@@ -173,7 +201,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 def _compare(doc, text, mark, following, follow_mark) -> tuple:
     new = edited(text, following)
     new_mark = fingerprint(new)
-    return doc, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(mark), as_text(new_mark), containment(mark, new_mark), containment(mark, follow_mark)
+    return doc, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(mark), as_text(new_mark), likeness(text, mark, new, new_mark), likeness(text, mark, following, follow_mark)
 
 
 _TYPES = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
