@@ -25,6 +25,7 @@ SAMPLE = 500
 # Elements and name parts of HTML.
 CONTENT = frozenset("article main".split())
 APART = frozenset("nav footer aside form menu dialog button select textarea fieldset iframe object noscript template svg math head title script style".split())
+WHOLE = frozenset("html body".split())
 RAW = frozenset("script style textarea title iframe noscript template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -32,6 +33,12 @@ NAMES = frozenset(
     "ad ads advert advertisement adsense banner sponsor sponsored promo menu nav navbar navigation sidebar footer header masthead cookie cookies consent notice alert gdpr popup modal newsletter subscribe"
     " signup login comment comments respond disqus related share sharing social breadcrumb breadcrumbs pagination pager toolbar widget".split()
 )
+#: Of these, names of what readers say: no article begins within; and names that an article's own parts have too.
+COMMENTS = frozenset("comment comments respond disqus".split())
+HEADS = frozenset("header masthead".split())
+#: First parts of names that tell a state of the layout, and last parts that tell a place or a box.
+STATES = frozenset("has have no not with without is hide show".split())
+BOXES = frozenset("left right top bottom wrap wrapper container box area inner outer list links link item items buttons button posts section slot unit form bar icons widgets".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,23 +56,56 @@ class Block:
     root: int = 0  # the outermost marked article that it lies in, 0 for none
 
 
-def _section(name: str, attributes: str, within: str) -> str | None:
-    """What an element is as a section: content, apart (with its name), or neither."""
+def _apart_name(name: str) -> str | None:
+    """The part of a class, id or role that sets an element apart: its last one but for boxes, if it tells no state."""
+    parts = _PART.findall(name)
+    if not parts or parts[0] in STATES:
+        return None
+    while parts[-1] in BOXES and len(parts) > 1:
+        parts.pop()
+    return parts[-1] if parts[-1] in NAMES else None
+
+
+def _section(name: str, attributes: str, within: str, spared: bool = False) -> str | None:
+    """What an element is as a section: content, apart (with its name), or neither. If spared, its class, id and role do not count."""
+    if within.startswith("apart:") and within[6:] in COMMENTS:
+        return None
+    names = [n for m in _NAME.finditer(attributes) for n in next(g for g in m.groups() if g is not None).lower().split()] if attributes else []
     if name in CONTENT:
-        return "content"
+        said = next((n for n in names if n in COMMENTS), None)
+        return f"apart:{said}" if said else "content"
     if name in APART or (name == "header" and within != "content"):
         return f"apart:{name}"
-    if attributes:
-        for m in _NAME.finditer(attributes):
-            for part in _PART.findall(next(g for g in m.groups() if g is not None).lower()):
-                if part in NAMES:
-                    return f"apart:{part}"
+    if name in WHOLE or spared:
+        return None
+    for n in names:
+        part = _apart_name(n)
+        if part and not (part in HEADS and within == "content"):
+            return f"apart:{part}"
     return None
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed, misnested and cut-off markup is read as far as it goes."""
+    """The blocks of a page in order. Unclosed, misnested and cut-off markup is read as far as it goes.
+
+    An element that is apart by its name only, but holds most of the page's words, is not apart, unless
+    it holds comments or the page marks an article elsewhere.
+    """
+    blocks, named = _read(page, frozenset())
+    words = [0]
+    content = [0]
+    for b in blocks:
+        words.append(words[-1] + b.text.count(" ") + 1)
+        content.append(content[-1] + (b.context[0] == "content"))
+    spared = frozenset(at for at, first, last in named if 2 * (words[last] - words[first]) > words[-1] and (not content[-1] or content[last] > content[first]))
+    return _read(page, spared)[0] if spared else blocks
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[int, int, int]]]:
+    """The blocks, and of each element apart by its name only: its place in the page, its first block and last + 1."""
     out: list[Block] = []
+    named: list[tuple[int, int, int]] = []
+    opened: list[tuple[int, int, int]] = []  # depth in the stack, place and first block of open elements apart by name
     stack: list[tuple[str, str, int]] = []  # element, section and marked article it lies in
     text: list[str] = []
     tags: list[str] = []
@@ -99,9 +139,12 @@ def blocks_of(page: str) -> list[Block]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
+                    while opened and opened[-1][0] >= i:
+                        _, place, first = opened.pop()
+                        named.append((place, first, len(out)))
                     break
         else:
-            found = _section(name, m[3], section)
+            found = _section(name, m[3], section, m.start() in spared)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 at = end.start() if end else n
@@ -111,11 +154,13 @@ def blocks_of(page: str) -> list[Block]:
                 if name not in INLINE or found:
                     if found == "content" and not root:
                         roots += 1
+                    if found and found.startswith("apart:") and found[6:] not in COMMENTS and name not in APART and name != "header":
+                        opened.append((len(stack), m.start(), len(out)))
                     stack.append((name, found or section, roots if found == "content" and not root else root))
         section, root = stack[-1][1:] if stack else ("page", 0)
         inner = stack[-1][0] if stack else ""
     flush()
-    return out
+    return out, named + [(place, first, len(out)) for _, place, first in opened]
 
 
 @dataclass

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from crestline.llm import fingerprints, near_dedup
+from crestline.llm import fingerprints, html_text, near_dedup
 
 
 def _pairs():
@@ -56,3 +57,18 @@ def test_likeness_across_the_limit_of_short_texts(spark):
     # texts that are short keep the scale of all others too, so stored fingerprints always have one in common
     short, other = fingerprints.fingerprint("a" * 100), fingerprints.fingerprint("a" * 1000)
     assert fingerprints.containment(short, short) == 1 and fingerprints.containment(other, short) > 0.5
+
+
+WORDS = "The council met on Tuesday and agreed on a plan for the old bridge over the river"
+
+
+@pytest.mark.parametrize("attributes", ["<html><body class='has-sidebar'>%s", "<html class='no-cookie-notice'><body>%s", "<body class='footer'>%s", "<div id='content' class='with-sidebar'>%s</div>", "<div class='page widget'>%s</div>"])
+def test_names_of_whole_pages_do_not_empty_them(attributes):
+    page = attributes % f"<div class='nav-menu'><p>menu</p></div><p>{WORDS}</p><p>{WORDS}</p><div class='sidebar-left'><p>side</p></div>"
+    assert html_text.main_text(page, html_text.Weights()) == f"{WORDS}\n{WORDS}"
+
+
+def test_parts_of_an_article_stay_and_comments_do_not():
+    page = f"<article><div class='post-header'><h1>Head</h1></div><p>{WORDS}</p><p class='alert-text'>Bridge closed</p></article><section class='comments'><article class='comment'><p>{WORDS}</p></article><article><p>{WORDS}</p></article></section>"
+    assert html_text.main_text(page, html_text.Weights()) == f"Head\n{WORDS}\nBridge closed"
+    assert html_text.main_text(f"<p>{WORDS}</p><article class='comment'><p>reader</p></article>", html_text.Weights()) == WORDS
