@@ -1,9 +1,15 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score by where they stand, tags cost; one linear
-scan finds the contiguous run with the greatest sum, and its blocks are the text, without those
-in elements that never belong to an article. The weights are log odds counted on labelled
-pages: a bounded sample of the pages that mark their own article.
+A page is a sequence of words and tags. Every word scores positive and every tag negative; one
+linear scan finds the contiguous run with the greatest sum, and that run is the main text, but for
+sections that are no text of an article (menus, adverts, forms, comments and the like) within it.
+
+Weights are log odds of standing inside the article rather than outside it, counted on labelled
+pages: a bounded sample of the pages that mark their own article. A word's feature is where it
+stands (inside a mark, outside one, in an apart section, or on a page without marks), its element,
+the length of its block and whether that is a link; a tag's is where it stands and its name.
+Labelled pages are counted twice, with their marks and names and without both, so that pages
+without marks are scored from the same labels.
 """
 
 from __future__ import annotations
@@ -15,178 +21,314 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages that the weights are counted on at most.
 SAMPLE = 500
+#: Weights are whole numbers of this part of a unit, so that sums are exact; least and greatest word weight, greatest tag cost.
+UNIT, LEAST, MOST, COST = 1_000_000, 1, 2.0, 8.0
+#: Words and tags that the weights before any label count for.
+PRIOR_WORDS, PRIOR_TAGS = 200, 20
 
-# Elements and name parts of HTML.
-CONTENT = frozenset("article main".split())
+# Elements of HTML.
+MARKS = frozenset("article main".split())
 APART = frozenset("nav footer aside form menu dialog button select textarea fieldset iframe object noscript template svg math head title script style".split())
-WHOLE = frozenset("html body".split())
 RAW = frozenset("script style textarea title iframe noscript template xmp".split())
+HEAD = frozenset("head title meta link base script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+# What sections that are no article are called. A name is meant as a whole: all its parts must be known.
 NAMES = frozenset(
-    "ad ads advert advertisement adsense banner sponsor sponsored promo menu nav navbar navigation sidebar footer header masthead cookie cookies consent notice alert gdpr popup modal newsletter subscribe"
-    " signup login comment comments respond disqus related share sharing social breadcrumb breadcrumbs pagination pager toolbar widget".split()
+    "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation sidebar footer header masthead cookie cookies consent notice alert gdpr popup modal"
+    " newsletter subscribe signup login disqus related share sharing social breadcrumb breadcrumbs pagination pager toolbar widget".split()
+)
+SITE = frozenset(
+    "site page global main top bottom left right wrap wrapper container box area inner outer list links link item items buttons button section slot unit form bar icons widgets google email policy law msg".split()
 )
-#: Of these, names of what readers say: no article begins within; and names that an article's own parts have too.
 COMMENTS = frozenset("comment comments respond disqus".split())
-HEADS = frozenset("header masthead".split())
-#: First parts of names that tell a state of the layout, and last parts that tell a place or a box.
+#: Names that parts of an article have too: within a marked one they say nothing.
+OWN = frozenset("header masthead alert notice banner".split())
+#: First parts of names that tell a state of the layout.
 STATES = frozenset("has have no not with without is hide show".split())
-BOXES = frozenset("left right top bottom wrap wrapper container box area inner outer list links link item items buttons button posts section slot unit form bar icons widgets".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+#: Element kinds, and the weights of their words and of tags before any label is seen.
+KINDS = {**dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "heading"), **dict.fromkeys("p pre blockquote figcaption".split(), "prose"), **dict.fromkeys("li dd dt".split(), "item"), **dict.fromkeys("td th caption".split(), "cell")}
+WORD_PRIOR = {"heading": 0.5, "prose": 1.0, "item": 0.3, "cell": 0.3, "other": 0.2}
+TAG_PRIOR = {**dict.fromkeys("div section ul ol dl table header".split(), 0.5), **dict.fromkeys("p br li dd dt tr td th h1 h2 h3 h4 h5 h6 blockquote pre a img".split(), 0.1), **dict.fromkeys(INLINE - {"a", "img"}, 0.02)}
 
+_MARKUP = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*+)|[!?])")
+_STOP = re.compile(r"=\s*+([\"'])|>")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SPEAKS = re.compile(r"class|id|role|itemprop", re.I)
+_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
-@dataclass
+
+@dataclass(slots=True)
 class Block:
-    """A run of text between block tags: where it stands, its words, and the tags since the block before."""
+    """A run of text between block tags: its text and words, features of the words and of the tags since the block before."""
 
-    context: tuple[str, str]
-    apart: bool
     text: str
-    tags: list[str] = field(default_factory=list)
-    root: int = 0  # the outermost marked article that it lies in, 0 for none
-
-
-def _apart_name(name: str) -> str | None:
-    """The part of a class, id or role that sets an element apart: its last one but for boxes, if it tells no state."""
-    parts = _PART.findall(name)
+    words: int
+    inside: bool  # of the marked article and no apart section in it
+    apart: bool
+    feature: tuple
+    tags: list[tuple]
+    hidden: tuple = ()  # the same features with marks and names hidden
+    hidden_tags: list[tuple] = field(default_factory=list)
+
+
+@dataclass(slots=True)
+class _Section:
+    """An element apart by its name: the section around it, whether it holds comments, its first block and the one after its last."""
+
+    parent: int
+    comments: bool
+    first: int
+    last: int = -1
+
+
+def _names(attributes: str) -> tuple[list[str], list[str]]:
+    """What class, id and role say, and what role and itemprop say alone."""
+    names, roles = [], []
+    if attributes and _SPEAKS.search(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
+            key = m[1].lower()
+            if key in ("class", "id", "role", "itemprop"):
+                said = (m[2] or m[3] or m[4] or "").split()
+                if key != "itemprop":
+                    names += said
+                if key in ("role", "itemprop"):
+                    roles += said
+    return names, roles
+
+
+def _apart_name(name: str, marked: bool) -> str | None:
+    """"comments" or "apart" for a name that sets an element apart, else None; `marked` within a marked article."""
+    parts = [p.lower() for p in _PART.findall(name)]
     if not parts or parts[0] in STATES:
         return None
-    while parts[-1] in BOXES and len(parts) > 1:
-        parts.pop()
-    return parts[-1] if parts[-1] in NAMES else None
+    last = next((p for p in reversed(parts) if p not in SITE), "")
+    if last in COMMENTS:
+        return "comments"
+    if all(p in NAMES or p in SITE for p in parts) and any(p in NAMES and not (marked and p in OWN) for p in parts):
+        return "apart"
+    return None
 
 
-def _section(name: str, attributes: str, within: str, spared: bool = False) -> str | None:
-    """What an element is as a section: content, apart (with its name), or neither. If spared, its class, id and role do not count."""
-    if within.startswith("apart:") and within[6:] in COMMENTS:
-        return None
-    names = [n for m in _NAME.finditer(attributes) for n in next(g for g in m.groups() if g is not None).lower().split()] if attributes else []
-    if name in CONTENT:
-        said = next((n for n in names if n in COMMENTS), None)
-        return f"apart:{said}" if said else "content"
-    if name in APART or (name == "header" and within != "content"):
-        return f"apart:{name}"
-    if name in WHOLE or spared:
-        return None
-    for n in names:
-        part = _apart_name(n)
-        if part and not (part in HEADS and within == "content"):
-            return f"apart:{part}"
-    return None
+def _tag_end(page: str, at: int, lost: set[str]) -> int:
+    """Where the tag that goes on at `at` ends, by its first > outside of quoted values; -1 if it is cut off by the page's end."""
+    while m := _STOP.search(page, at):
+        if m[1] is None:
+            return m.start()
+        end = -1 if m[1] in lost else page.find(m[1], m.end())
+        if end < 0:
+            lost.add(m[1])  # no such quote follows any more: it stands for itself
+        at = m.end() if end < 0 else end + 1
+    return -1
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed, misnested and cut-off markup is read as far as it goes.
+    """The blocks of a page in order, in time linear in its length. Misnested and cut-off markup is read as far as it goes.
 
-    An element that is apart by its name only, but holds most of the page's words, is not apart, unless
-    it holds comments or the page marks an article elsewhere.
+    A section apart by its name that holds most of the page's words is not apart, unless it holds
+    comments or the page marks an article elsewhere. No mark counts within comments or apart elements but forms.
     """
-    blocks, named = _read(page, frozenset())
-    words = [0]
-    content = [0]
-    for b in blocks:
-        words.append(words[-1] + b.text.count(" ") + 1)
-        content.append(content[-1] + (b.context[0] == "content"))
-    spared = frozenset(at for at, first, last in named if 2 * (words[last] - words[first]) > words[-1] and (not content[-1] or content[last] > content[first]))
-    return _read(page, spared)[0] if spared else blocks
-
-
-def _read(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[int, int, int]]]:
-    """The blocks, and of each element apart by its name only: its place in the page, its first block and last + 1."""
-    out: list[Block] = []
-    named: list[tuple[int, int, int]] = []
-    opened: list[tuple[int, int, int]] = []  # depth in the stack, place and first block of open elements apart by name
-    stack: list[tuple[str, str, int]] = []  # element, section and marked article it lies in
+    found: list[tuple] = []  # text, element, hard, section, root, linked, tags
+    sections = [_Section(-1, False, 0)]
+    stack: list[tuple] = []  # element, hard, section, root
+    depth: Counter = Counter()
+    lost: set[str] = set()
     text: list[str] = []
-    tags: list[str] = []
-    inner, section, root, roots = "", "page", 0, 0
+    tags: list[tuple] = []  # name, hard, section, root, edge, boundary
+    element, hard, section, root, roots = "", False, 0, 0, 0
+    linked, in_link = 0, False
 
     def flush() -> None:
-        nonlocal tags
-        words = " ".join(html.unescape("".join(text)).split())
-        text.clear()
-        if words:
-            out.append(Block((section, inner), section.startswith("apart:"), words, tags, root))
-            tags = []
+        nonlocal tags, linked
+        if text:
+            said = " ".join("".join(text).split())
+            text.clear()
+            if said:
+                found.append((said, element, hard, section, root, 2 * linked > len(said), tags))
+                tags = []
+        linked = 0
+
+    def say(part: str) -> None:
+        nonlocal linked
+        if part:
+            part = html.unescape(part) if "&" in part else part
+            text.append(part)
+            if in_link:
+                linked += len(part)
+
+    def close(i: int) -> None:
+        """Close the elements of the stack from i on."""
+        for name, *_ in stack[i:]:
+            depth[name] -= 1
+        inner = section
+        del stack[i:]
+        kept = stack[-1][2] if stack else 0
+        while inner != kept and sections[inner].parent >= 0:
+            if sections[inner].last < 0:
+                sections[inner].last = len(found)
+            inner = sections[inner].parent
 
     at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = rest.rfind("<")
-            text.append(rest if cut < 0 or not re.match(r"</?[A-Za-z!]", rest[cut:]) else rest[:cut])  # a tag cut off by the end
+    while m := _MARKUP.search(page, at):
+        say(page[at : m.start()])
+        name = m[2]
+        if name is None:
+            end = page.find("-->", m.start() + 2) + 2 if page.startswith("<!--", m.start()) else page.find(">", m.end())
+            at = end + 1 if end > 1 else n
+            continue
+        name, closing = name.lower(), m[1] == "/"
+        end = _tag_end(page, m.end(), lost)
+        if end < 0:
+            at = n
             break
-        text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue  # a comment or declaration
-        name, closing = m[2].lower(), bool(m[1])
-        if name not in INLINE:
+        at = end + 1
+        if name == "a":
+            in_link = not closing
+        block = name not in INLINE
+        if block:
             flush()
-        tags.append(name)
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    while opened and opened[-1][0] >= i:
-                        _, place, first = opened.pop()
-                        named.append((place, first, len(out)))
-                    break
+            if not depth[name]:
+                tags.append((name, hard, section, root, False, False))
+                continue
+            i = len(stack) - 1
+            while stack[i][0] != name:
+                i -= 1
+            before = stack[i - 1] if i else ("", False, 0, 0)
+            tags.append((name, stack[i][1], stack[i][2], root, stack[i][3] != before[3], stack[i][1] != before[1] or stack[i][2] != before[2]))
+            close(i)
         else:
-            found = _section(name, m[3], section, m.start() in spared)
+            if depth["head"] and name not in HEAD:
+                flush()
+                close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+                element, hard, section, root = stack[-1] if stack else ("", False, 0, 0)
+            attributes = page[m.end() : end]
+            names, roles = _names(attributes)
+            own_hard, own_section, own_root = hard, section, root
+            if name in APART or (name == "header" and not root):
+                own_hard = True
+            elif names and name not in ("html", "body"):
+                said = next((s for s in (_apart_name(x, root > 0) for x in names) if s), None)
+                if said:
+                    own_section = len(sections)
+                    sections.append(_Section(section, said == "comments" or sections[section].comments, len(found)))
+            if (name in MARKS or "main" in roles or "articleBody" in roles) and not root and not sections[own_section].comments and not (hard and not _only_forms(stack)):
+                roots += 1
+                own_root, own_hard = roots, False
+            tags.append((name, own_hard, own_section, own_root, own_root != root, own_hard != hard or own_section != section))
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                end = _raw_end(name).search(page, at)
                 at = end.start() if end else n
-                stack.append((name, found or section, root))
+            elif name in VOID or attributes.endswith("/") or (not block and own_section == section):
+                if own_section != section:
+                    sections[own_section].last = len(found)
                 continue
-            if name not in VOID and not m[3].rstrip().endswith("/"):
-                if name not in INLINE or found:
-                    if found == "content" and not root:
-                        roots += 1
-                    if found and found.startswith("apart:") and found[6:] not in COMMENTS and name not in APART and name != "header":
-                        opened.append((len(stack), m.start(), len(out)))
-                    stack.append((name, found or section, roots if found == "content" and not root else root))
-        section, root = stack[-1][1:] if stack else ("page", 0)
-        inner = stack[-1][0] if stack else ""
+            depth[name] += 1
+            stack.append((name, own_hard, own_section, own_root))
+        element, hard, section, root = stack[-1] if stack else ("", False, 0, 0)
+    say(page[at:])
     flush()
-    return out, named + [(place, first, len(out)) for _, place, first in opened]
+    return _resolved(found, sections, roots > 0)
+
+
+def _only_forms(stack: list[tuple]) -> bool:
+    return all(x[0] == "form" for x in stack if x[0] in APART or x[0] == "header")
+
+
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+def _resolved(found: list[tuple], sections: list[_Section], marked: bool) -> list[Block]:
+    """The blocks with their features, once it is known which named sections are apart."""
+    words, content = [0], [0]
+    sizes = [f[0].count(" ") + 1 for f in found]
+    for f, k in zip(found, sizes, strict=True):
+        words.append(words[-1] + (0 if f[2] else k))
+        content.append(content[-1] + (f[4] > 0))
+    apart = [False]
+    for s in sections[1:]:
+        last = s.last if s.last >= 0 else len(found)
+        most = 2 * (words[last] - words[s.first]) > words[-1] and (not marked or content[last] > content[s.first])
+        apart.append(apart[s.parent] or s.comments or not most)
+    out = []
+    for (text, element, hard, section, root, linked, tags), k in zip(found, sizes, strict=True):
+        away = hard or apart[section]
+        shape = (KINDS.get(element, "other"), min(k.bit_length(), 7), linked)
+        place = "apart" if away else "in" if root else "out" if marked else "plain"
+        block = Block(text, k, root > 0 and not away, away, (place, *shape), [])
+        block.hidden = ("apart" if hard else "plain", *shape)
+        for name, t_hard, t_section, t_root, edge, boundary in tags:
+            outer = sections[t_section].parent
+            if t_hard or apart[t_section]:
+                first = boundary and not t_root and not (outer >= 0 and apart[outer])  # within a mark they part nothing
+                block.tags.append(("apart", name) if first else ("inner", ""))
+            else:
+                block.tags.append(("edge", "") if edge else ("in" if t_root else "out" if marked else "plain", name))
+            block.hidden_tags.append((("apart", name) if boundary else ("inner", "")) if t_hard else ("plain", "div" if name in MARKS else name))
+        out.append(block)
+    return out
+
+
+def _prior(kind: str, feature: tuple) -> float:
+    """The log odds of a feature before any label is seen."""
+    place = feature[0]
+    if kind == "tag":
+        return {"edge": -COST, "inner": 0.0, "apart": -4.0, "in": 4.0, "out": -1.0}.get(place, -TAG_PRIOR.get(feature[1], 1.0))
+    if place != "plain":
+        return {"in": 4.0, "out": -3.0, "apart": -4.0}[place]
+    _, element, size, linked = feature
+    return (WORD_PRIOR[element] + 0.15 * (size - 3)) * (0.1 if linked else 1.0)
 
 
 @dataclass
 class Weights:
-    """Log odds of words by (section, element) or by element alone, and costs of tags. Bounded by SAMPLE pages."""
+    """Counts (inside, outside) of features on labelled pages; what words score and tags cost follows from them. Bounded by SAMPLE pages."""
+
+    seen: dict = field(default_factory=dict)
+    known: dict = field(default_factory=dict)
 
-    words: dict = field(default_factory=dict)
-    tags: dict = field(default_factory=dict)
+    def __getstate__(self) -> dict:
+        return {"seen": self.seen, "known": {}}
 
-    def block(self, b: Block) -> float:
-        w = self.words.get(b.context)
+    def of(self, kind: str, feature: tuple) -> int:
+        key = (kind, feature)
+        w = self.known.get(key)
         if w is None:
-            w = -2.0 if b.apart else self.words.get(b.context[1], 0.5)
-        return w * (b.text.count(" ") + 1)
+            inside, outside = self.seen.get(key, (0, 0))
+            share, strength = 1 / (1 + math.exp(-_prior(kind, feature))), PRIOR_WORDS if kind == "word" else PRIOR_TAGS
+            odds = math.log((inside + strength * share) / (outside + strength * (1 - share)))
+            if kind == "word":
+                w = max(LEAST, round(UNIT * min(MOST, odds)))
+            else:
+                w = -max(LEAST, round(UNIT * min(COST, -odds))) if feature[0] != "inner" else -LEAST
+            self.known[key] = w
+        return w
+
+    def block(self, b: Block) -> int:
+        return self.of("word", b.feature) * b.words
 
-    def tag(self, name: str) -> float:
-        return self.tags.get(name, -0.2)
+    def between(self, b: Block) -> int:
+        """What the tags since the block before cost."""
+        return sum(self.of("tag", t) for t in b.tags)
 
 
 def best_run(blocks: list[Block], weights: Weights) -> tuple[int, int]:
-    """First and last + 1 of the contiguous blocks with the greatest sum of words and tags between them: one scan."""
-    best, span, here, start = 0.0, (0, 0), 0.0, 0
+    """First and last + 1 of the contiguous blocks with the greatest sum of their words and of the tags between them: one scan."""
+    best, span, here, start = 0, (0, 0), 0, 0
     for i, b in enumerate(blocks):
-        here += sum(map(weights.tag, b.tags))
+        here += weights.between(b)
         if here <= 0:
-            here, start = 0.0, i
+            here, start = 0, i
         here += weights.block(b)
         if here > best:
             best, span = here, (start, i + 1)
@@ -196,61 +338,69 @@ def best_run(blocks: list[Block], weights: Weights) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     blocks = blocks_of(page)
     first, last = best_run(blocks, weights)
-    if first < last:  # a marked article is not cut within
-        while first > 0 and blocks[first].root and blocks[first - 1].root == blocks[first].root:
-            first -= 1
-        while last < len(blocks) and blocks[last - 1].root and blocks[last].root == blocks[last - 1].root:
-            last += 1
     return "\n".join(b.text for b in blocks[first:last] if not b.apart)
 
 
 def count(page: str) -> Counter | None:
-    """Words and tags of a labelled page in and out of its marked article; None if it marks none."""
+    """How often each feature stands in and out of the marked article of a labelled page; None if it marks none."""
     blocks = blocks_of(page)
-    if not any(b.context[0] == "content" for b in blocks):
+    if not any(b.inside for b in blocks):
         return None
     seen: Counter = Counter()
     before = False
     for b in blocks:
-        inside = b.context[0] == "content"
-        n = b.text.count(" ") + 1
-        seen["word", b.context[0], b.context[1], inside] += n
-        for t in b.tags:
-            seen["tag", t, "", inside and before] += 1
-        before = inside
+        for feature in (b.feature, b.hidden):
+            seen["word", feature, b.inside] += b.words
+        for t in (*b.tags, *b.hidden_tags):
+            seen["tag", t, b.inside and before] += 1
+        before = b.inside
     return seen
 
 
+def _sampled(pages: DataFrame, body: str) -> DataFrame:
+    """(h, body) of at most SAMPLE distinct pages with a mark, by hash order. Only hashes are sorted, at most SAMPLE a task; bodies stay where they are."""
+    marked = pages.where(F.col(body).rlike(r"(?i)<(article|main)[\s>]")).select(F.xxhash64(body).alias("h"), F.col(body).alias("body"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for b in batches:
+            held = np.unique(np.r_[held, b.column(0).to_numpy(zero_copy_only=False)])[:SAMPLE]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["h"])
+
+    picked = [r.h for r in marked.select("h").mapInArrow(least, "h long").distinct().orderBy("h").limit(SAMPLE).collect()]
+    return marked.where(F.col("h").isin(picked)) if picked else marked.where(F.lit(False))
+
+
 def learn(pages: DataFrame, body: str = "html") -> Weights:
-    """Weights from at most SAMPLE pages that mark an article, taken by hash order; fixed ones where there are none."""
-    marked = pages.where(F.lower(body).rlike("<(article|main)[ >]")).select(body).orderBy(F.xxhash64(body), body).limit(SAMPLE)
+    """Weights from at most SAMPLE distinct pages that mark an article; those before any label where there are none. Repeated pages count once."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        done = set()
         for b in batches:
-            for page in b[body]:
-                total.update(count(page) or {})
-        keys = list(total)
-        yield pd.DataFrame({"kind": pd.Series([k[0] for k in keys], dtype=object), "a": pd.Series([k[1] for k in keys], dtype=object), "b": pd.Series([k[2] for k in keys], dtype=object), "inside": [bool(k[3]) for k in keys], "n": [total[k] for k in keys]})
-
-    rows = marked.mapInPandas(counted, "kind string, a string, b string, inside boolean, n long").groupBy("kind", "a", "b", "inside").agg(F.sum("n").alias("n")).collect()
-    pair: dict = {}
-    for r in rows:
-        keys = [("word", (r.a, r.b)), ("word", r.b)] if r.kind == "word" else [("tag", r.a)]
-        for k in keys:
-            pair.setdefault(k, [0, 0])[not r.inside] += r.n
+            for h, page in zip(b.h, b.body, strict=True):
+                if h in done:
+                    continue
+                done.add(h)
+                rows = [(h, kind, "\t".join(map(str, feature)), inside, n) for (kind, feature, inside), n in (count(page) or {}).items()]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["h", "kind", "feature", "inside", "n"])
+
+    rows = _sampled(pages, body).mapInPandas(counted, "h long, kind string, feature string, inside boolean, n long").dropDuplicates(["h", "kind", "feature", "inside"])
     weights = Weights()
-    for (kind, key), (inside, outside) in pair.items():
-        odds = math.log((inside + 0.5) / (outside + 0.5)) / 4
-        if kind == "word":
-            weights.words[key] = max(-2.0, min(2.0, odds))
-        else:
-            weights.tags[key] = min(-0.001, max(-3.0, odds))
+    for r in rows.groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).collect():
+        parts = r.feature.split("\t")
+        key = (r.kind, (parts[0], parts[1], int(parts[2]), parts[3] == "True") if r.kind == "word" else tuple(parts))
+        inside, outside = weights.seen.get(key, (0, 0))
+        weights.seen[key] = (inside + r.n, outside) if r.inside else (inside, outside + r.n)
     return weights
 
 
 def extract(pages: DataFrame, weights: Weights, body: str = "html", out: str = "text") -> DataFrame:
-    """Add `out`, the main text of each whole page. Null and empty pages, and pages without words, give an empty text; other columns stay."""
+    """Add `out`, the main text of each whole page; other columns stay (one called `out` is replaced).
+
+    Null and empty pages, and pages without words, give an empty text; repeated pages and keys are rows like others;
+    a very long or hostile page takes time linear in its length.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
