@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from crestline.functions import geometry as G
 from crestline.functions import quality as Q
@@ -231,8 +232,11 @@ def ellipse_comparison(spark, root):
 
 
 def ellipse_candidates(spark, root):
-    ok = G.candidate(F.col("points"), F.col("w"), F.col("h"), least_area=5400.0, most_aspect=2.02)
-    return _ellipses(spark, root).where(ok).select("image_id", "ord", _round(G.listed_area(F.col("w"), F.col("h")), 3).alias("area"))
+    """Limits follow the image's own ellipses, so that they hold for tables of any size."""
+    mean = lambda c: 0.9 * F.avg(c).over(Window.partitionBy("image_id"))
+    e = _ellipses(spark, root).withColumn("__area", mean(G.listed_area(F.col("w"), F.col("h")))).withColumn("__axis", mean(F.least("w", "h"))).withColumn("__points", mean(F.col("points")))
+    ok = G.candidate(F.col("points"), F.col("w"), F.col("h"), least_area=F.col("__area"), most_aspect=4.0, least_axis=F.col("__axis"), least_points=F.col("__points"))
+    return e.where(ok).select("image_id", "ord", _round(G.listed_area(F.col("w"), F.col("h")), 3).alias("area"))
 
 
 def crop_bbox(spark, root):
@@ -254,8 +258,9 @@ def fit_scale(spark, root):
 
 
 def first_detection(spark, root):
-    """The first part of each image and brand whose confidence is over 0.6."""
-    found = features.first_match(_points(spark, root).withColumn("confidence", F.col("y") / 100), "brand", ["kp_id"], F.col("confidence"))
+    """The first part of each brand whose confidence, its share of the brand's greatest value, is over 0.6."""
+    share = F.try_divide(F.col("y"), F.max("y").over(Window.partitionBy("brand")))
+    found = features.first_match(_points(spark, root).withColumn("confidence", share), "brand", ["kp_id"], F.col("confidence"))
     return found.select("brand", "kp_id", _round(F.col("confidence")).alias("confidence"))
 
 
@@ -365,15 +370,16 @@ ORACLES = {
     "best_ellipse": f"WITH {_P}, {_C}, {_B} SELECT image_id, ord, cx, cy, w, h, NOT qualifies AS fallback FROM bs WHERE pos = 1",
     "best_ellipse_fallback": f"WITH {_P}, b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w*h DESC, ord) AS pos FROM el WHERE w > 0 AND h > 0) SELECT image_id, ord, w, h, true AS fallback FROM b WHERE pos = 1",
     "ellipse_comparison": f"WITH {_P}, {_C}, {_B} SELECT image_id, ord, n_surf, pos = 1 AS is_best FROM bs",
-    "ellipse_candidates": f"WITH {_P} SELECT image_id, ord, round(pi()*w*h, 3) AS area FROM el WHERE points >= 5 AND pi()*w*h >= 5400 AND w > 0 AND h > 0 AND greatest(w, h)/least(w, h) <= 2.02 AND least(w, h) >= 10",
+    "ellipse_candidates": f"""WITH {_P}, m AS (SELECT *, 0.9::DOUBLE * avg(pi()*w*h) OVER i AS ma, 0.9::DOUBLE * avg(least(w, h)) OVER i AS mx, 0.9::DOUBLE * avg(points) OVER i AS mp FROM el WINDOW i AS (PARTITION BY image_id))
+        SELECT image_id, ord, round(pi()*w*h, 3) AS area FROM m WHERE points >= mp AND pi()*w*h >= ma AND w > 0 AND h > 0 AND greatest(w, h)/least(w, h) <= 4 AND least(w, h) >= mx""",
     "crop_bbox": f"""WITH {_P}, r AS (SELECT *, sqrt(pow(w/2*cos(radians(angle)), 2) + pow(h/2*sin(radians(angle)), 2)) AS rx, sqrt(pow(w/2*sin(radians(angle)), 2) + pow(h/2*cos(radians(angle)), 2)) AS ry FROM el),
         b AS (SELECT *, greatest(ceil(cx - rx), 0) AS l, least(floor(cx + rx), 50) AS r, greatest(ceil(cy - ry), 0) AS t, least(floor(cy + ry), 100) AS o FROM r),
         g AS (SELECT *, (w > 0 AND h > 0 AND l <= r AND t <= o) AS ok FROM b)
         SELECT image_id, ord, CASE WHEN ok THEN greatest(l - 5, 0)::INT ELSE 0 END AS x1, CASE WHEN ok THEN greatest(t - 5, 0)::INT ELSE 0 END AS y1, CASE WHEN ok THEN least(r + 5, 51)::INT ELSE 51 END AS x2, 101 AS y2 FROM g""",
     "circularity_filter": f"WITH {_P}, c AS (SELECT kp_id, CASE WHEN x*y > 0 AND x + y > 0 THEN 4*pi()*(x*y)/(2*(x + y)*(2*(x + y))) END AS c FROM pt) SELECT kp_id, round(c, 6) AS circularity FROM c WHERE c >= 0.5",
     "keypoint_bounds": f"WITH {_P} SELECT kp_id, image_id FROM pt WHERE trunc(x) >= 3 AND trunc(y) >= 3 AND trunc(x) < 48 AND trunc(y) < 98",
-    "fit_scale": f"WITH {_P} SELECT image_id, ord, round(least(360.0::DOUBLE / w, 240.0::DOUBLE / h), 4) AS scale FROM el",
-    "first_detection": f"WITH {_P}, f AS (SELECT brand, kp_id, y/100 AS confidence, row_number() OVER (PARTITION BY brand ORDER BY kp_id) AS pos FROM pt WHERE y/100 > 0.6) SELECT brand, kp_id, round(confidence, 6) AS confidence FROM f WHERE pos = 1",
+    "fit_scale": f"WITH {_P} SELECT image_id, ord, CASE WHEN w > 0 AND h > 0 THEN round(least(360.0::DOUBLE / w, 240.0::DOUBLE / h), 4) END AS scale FROM el",
+    "first_detection": f"WITH {_P}, c AS (SELECT brand, kp_id, y / nullif(max(y) OVER (PARTITION BY brand), 0) AS confidence FROM pt), f AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY kp_id) AS pos FROM c WHERE confidence > 0.6) SELECT brand, kp_id, round(confidence, 6) AS confidence FROM f WHERE pos = 1",
     "mode_size": f"WITH {_G} SELECT l_orderkey, n_sizes, n_groups, mode_size FROM m",
     "size_tolerance_filter": f"WITH {_G} SELECT l_orderkey, count(*) AS n_kept, sum(l_quantity) AS sum_quantity FROM lineitem JOIN m USING (l_orderkey) WHERE abs(l_quantity - mode_size) <= 5 GROUP BY 1",
     "debug_order": f"""WITH i AS (SELECT l_orderkey AS image_id, l_linenumber % {len(STEPS)} AS k, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),

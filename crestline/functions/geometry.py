@@ -9,16 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _whole(c: Column) -> Column:
+def whole(c: Column) -> Column:
+    """Cut to a whole number, towards 0."""
     return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
 
 
 def inside(x: Column, y: Column, cx: Column, cy: Column, w: Column, h: Column, angle: Column, width: Column, height: Column) -> Column:
     """Whether the point, cut to whole pixels, lies in the image and in the rotated ellipse."""
-    px, py = _whole(x), _whole(y)
+    px, py = whole(x), whole(y)
     t = F.radians(angle)
     dx, dy = px - cx, py - cy
-    along, across = (dx * F.cos(t) + dy * F.sin(t)) / (w / 2), (dy * F.cos(t) - dx * F.sin(t)) / (h / 2)
+    half = lambda c: F.when(c != 0, c / 2)  # noqa: E731 - no point lies in an ellipse without an axis
+    along, across = (dx * F.cos(t) + dy * F.sin(t)) / half(w), (dy * F.cos(t) - dx * F.sin(t)) / half(h)
     return (px >= 0) & (px < width) & (py >= 0) & (py < height) & (along * along + across * across <= 1)
 
 
@@ -42,7 +44,8 @@ def true_area(w: Column, h: Column) -> Column:
     return F.pi() * w * h / 4
 
 
-def candidate(points: Column, w: Column, h: Column, least_area: float = 50_000.0, most_aspect: float = 10.0, least_axis: float = 10.0, least_points: int = 5) -> Column:
+def candidate(points: Column, w: Column, h: Column, least_area: Column | float = 50_000.0, most_aspect: float = 10.0, least_axis: Column | float = 10.0, least_points: Column | int = 5) -> Column:
+    """Whether an ellipse fitted to so many points is worth scoring."""
     long, short = F.greatest(w, h), F.least(w, h)
     return (points >= least_points) & (listed_area(w, h) >= least_area) & (w > 0) & (h > 0) & (long / F.when(short > 0, short) <= most_aspect) & (short >= least_axis)
 
@@ -67,13 +70,13 @@ def circularity(area: Column, perimeter: Column) -> Column:
 
 def in_bounds(x: Column, y: Column, size: Column, width: Column, height: Column) -> Column:
     """Whether a keypoint's patch can be cut out of the image."""
-    px, py, half = _whole(x), _whole(y), F.floor(size.cast("int") / 2)
+    px, py, half = whole(x), whole(y), F.floor(size.cast("int") / 2)
     return (px >= half) & (py >= half) & (px < width - half) & (py < height - half)
 
 
 def fit_scale(w: Column, h: Column, cell_w: int = 400, cell_h: int = 300) -> Column:
-    """Scale at which an image fits its grid cell with a margin."""
-    return F.least(F.lit(cell_w * 0.9) / w, F.lit(cell_h * 0.8) / h)
+    """Scale at which an image fits its grid cell with a margin; null for one without width or height."""
+    return F.when((w > 0) & (h > 0), F.least(F.lit(cell_w * 0.9) / w, F.lit(cell_h * 0.8) / h))
 
 
 def pieces(x1: Column, y1: Column, x2: Column, y2: Column, longest: float = 50.0) -> Column:
@@ -81,7 +84,7 @@ def pieces(x1: Column, y1: Column, x2: Column, y2: Column, longest: float = 50.0
     n = F.greatest(F.ceil(F.hypot((x2 - x1).cast("double"), (y2 - y1).cast("double")) / longest), F.lit(1)).cast("int")
 
     def piece(i: Column) -> Column:
-        at = lambda a, b, k: _whole(a + (k / n) * (b - a)).cast("int")
+        at = lambda a, b, k: whole(a + (k / n) * (b - a)).cast("int")
         return F.struct(at(x1, x2, i).alias("x1"), at(y1, y2, i).alias("y1"), at(x1, x2, i + 1).alias("x2"), at(y1, y2, i + 1).alias("y2"))
 
     return F.transform(F.sequence(F.lit(0), n - 1), piece)

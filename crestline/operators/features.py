@@ -1,8 +1,7 @@
 """Features in ellipses: spatial joins, densities, scores, the best ellipse and its fallback.
 
-Keypoints, line ends and ellipses meet on image_id, with the exact test as residual. Where an
-image has very many of both, `cell` adds a grid to the key, so that a hot image is spread over
-its cells.
+Keypoints, line ends and ellipses meet on image_id and a grid cell of it, with the exact test as
+residual, so that an image with very many of both is spread over its cells.
 """
 
 from __future__ import annotations
@@ -29,25 +28,32 @@ def stack(**kinds: DataFrame) -> DataFrame:
     return out
 
 
-def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column, cell: float | None = None) -> DataFrame:
-    """A row for each point and ellipse of one image that holds it: the ellipse's columns, then the point's."""
+def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column, cell: float | None = 256.0) -> DataFrame:
+    """A row for each point and ellipse of one image that holds it: the ellipse's columns, then the point's.
+
+    An ellipse goes to the cells of its bounding square that the image has; `cell` None joins on the image alone.
+    """
     e = ellipses.where(G.valid(F.col("w"), F.col("h")))
     test = G.inside(*(F.col(c) for c in ("x", "y", "cx", "cy", "w", "h", "angle")), width, height)
     p = points.withColumnRenamed("image_id", "__image")
     if cell is None:
         return e.join(p, (F.col("image_id") == F.col("__image")) & test).drop("__image")
-    # the ellipse goes to the grid cells of its bounding square, the point to its own
     reach = F.greatest("w", "h") / 2 + 1
-    spread = lambda c, n: F.explode(F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell))).alias(n)
-    e = e.select("*", spread("cx", "__gx")).select("*", spread("cy", "__gy"))
-    p = p.withColumn("__px", F.floor(F.col("x") / cell)).withColumn("__py", F.floor(F.col("y") / cell))
+
+    def spread(c: str, size: Column, name: str) -> Column:
+        low = F.floor(F.greatest(F.col(c) - reach, F.lit(0.0)) / cell)
+        high = F.floor(F.least(F.col(c) + reach, size.cast("double") - 1) / cell)
+        return F.explode(F.when(low <= high, F.sequence(low, high))).alias(name)
+
+    e = e.select("*", spread("cx", width, "__gx")).select("*", spread("cy", height, "__gy"))
+    p = p.withColumn("__px", F.floor(G.whole(F.col("x")) / cell)).withColumn("__py", F.floor(G.whole(F.col("y")) / cell))
     on = (F.col("image_id") == F.col("__image")) & (F.col("__gx") == F.col("__px")) & (F.col("__gy") == F.col("__py"))
     return e.join(p, on & test).drop("__image", "__gx", "__gy", "__px", "__py")
 
 
 def centre_weight(x: Column, y: Column, width: Column, height: Column, weight: float = 2.0) -> Column:
     """1 at a full diagonal's distance from the image's centre, `weight` at the centre."""
-    away = F.hypot(x - F.floor(width / 2), y - F.floor(height / 2)) / F.hypot(width.cast("double"), height.cast("double"))
+    away = F.try_divide(F.hypot(x - F.floor(width / 2), y - F.floor(height / 2)), F.hypot(width.cast("double"), height.cast("double")))
     return 1 + (weight - 1) * (1 - away)
 
 

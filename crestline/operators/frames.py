@@ -41,7 +41,7 @@ def shots(frames: DataFrame, video: str, order: list[str], change: Column, thres
     """
     if not enabled:
         return frames.withColumn(out, F.lit(0).cast("long"))
-    value = change / pixels if pixels else change
+    value = change / F.lit(float(pixels)) if pixels else change
     cut = F.when(value > threshold, 1).otherwise(0)
     w = Window.partitionBy(video).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return frames.withColumn("__cut", cut).withColumn(out, F.sum("__cut").over(w).cast("long")).drop("__cut")
