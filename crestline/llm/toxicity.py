@@ -3,12 +3,14 @@
 Words map to classes (insult, threat, target, negation, reporting, intent, quote). Five small
 machines read the classes of a clause, one each for insults, threats, targets, negation and reported
 speech; their composition is one table whose arcs say what a matched word counts as: a bare,
-targeted, negated or reported insult, a threat, or a target after an insult. A document is
-scored from the weighted matches of its clauses, not from isolated words.
-
-The insult lexicon and the weights are learned: stems (words and word beginnings) that are
-significantly more frequent in toxic documents, and a logistic regression over the matches.
-Both are fitted on a bounded sample of labelled rows (SAMPLE).
+targeted, negated or reported insult, a threat, or a target after an insult. Each arc has a weight,
+a clause's score is the sum over its path of arc weight times word weight, and a document is
+scored from its clauses: the same words in other clauses give another score.
+
+Lexica and weights are learned: stems (words and word beginnings) that are significantly more
+frequent in toxic documents are threats if they mostly follow a word of intent, else insults; arc
+weights are fitted within the order that the grammar sets, and a logistic regression over the
+clauses' total gives the score. All are fitted on a bounded sample of labelled rows (SAMPLE).
 """
 
 from __future__ import annotations
@@ -118,43 +120,50 @@ def _match(marks: set[str]) -> int:
 
 
 class Grammar:
-    """The composed table with a lexicon; matches() gives a document's features."""
-
-    def __init__(self, lexicon: dict[str, float]):
-        self.words = {w: c for c, ws in SEEDS.items() for w in ws.split()}
-        self.stems = {k: v for k, v in lexicon.items() if k.endswith("*")}
-        self.weights = {k: v for k, v in lexicon.items() if not k.endswith("*")}
+    """The composed table with a lexicon of insults and one of threats; matches() gives a document's sums by kind of match."""
+
+    def __init__(self, insult_stems: dict[str, float], threat_stems: dict[str, float] | None = None):
+        self.words = {w: (c, 1.0 if c == THREAT else 0.0) for c, ws in SEEDS.items() for w in ws.split()}
+        self.stems: dict[str, tuple[int, float]] = {}
+        for c, stems in ((INSULT, insult_stems), (THREAT, threat_stems or {})):
+            for k, v in stems.items():
+                (self.stems if k.endswith("*") else self.words)[k] = (c, v)
         self.lengths = sorted({len(k) - 1 for k in self.stems})
         self.next, self.out = compose(insults(), threats(), targets(), negations(), reports())
         self.known: dict[str, tuple[int, float]] = {}
 
     def classify(self, word: str) -> tuple[int, float]:
-        if word in self.weights:
-            return INSULT, self.weights[word]
-        for n in self.lengths:
-            if len(word) > n and (w := self.stems.get(word[:n] + "*")):
-                return INSULT, w
+        found = self.words.get(word, (OTHER, 0.0))
+        if found[0] not in (INSULT, THREAT):
+            for n in self.lengths:
+                if len(word) > n and (stem := self.stems.get(word[:n] + "*")):
+                    return stem
         if not word[0].isalpha():
             return (END if word[0] in ".!?;\n" else QUOTE), 0.0
-        return self.words.get(word, OTHER), 0.0
+        return found
 
-    def matches(self, text: str) -> np.ndarray:
-        """Weighted matches of each kind, the number of insults, and the share of words that match."""
+    def classes(self, text: str) -> list[tuple[int, float]]:
+        """Class and weight of each word and mark."""
         tokens = _TOKENS.findall(text.lower())
         known = self.known
         if len(known) > 500_000:
             known.clear()
         try:
-            found = [known[t] for t in tokens]
+            return [known[t] for t in tokens]
         except KeyError:
             for t in tokens:
                 if t not in known:
                     known[t] = self.classify(t)
-            found = [known[t] for t in tokens]
-        sums = np.zeros(MATCHES + 2)
+            return [known[t] for t in tokens]
+
+    def matches(self, text: str) -> np.ndarray:
+        """Sums of word weights by kind of match over all clauses, then the number of words and marks."""
+        found = self.classes(text)
+        sums = np.zeros(MATCHES + 1)
+        sums[MATCHES] = len(found)
         if not any(c == INSULT or c == THREAT for c, _ in found):
             return sums
-        state, hits = 0, 0
+        state = 0
         for c, w in found:
             if c == END:
                 state = 0
@@ -163,33 +172,43 @@ class Grammar:
             state = self.next[state][c]
             if o >= 0:
                 sums[o] += w or 1.0
-                hits += 1
-            if c == INSULT:
-                sums[MATCHES] += 1
-        sums[MATCHES + 1] = hits / len(found)
         return sums
 
 
-def features(sums: np.ndarray) -> np.ndarray:
-    """Of rows of matches: an intercept, the matches and the insults on a log scale, the share, and whether there are two insults."""
-    return np.column_stack([np.ones(len(sums)), np.log1p(sums[:, : MATCHES + 1]), np.minimum(1, 10 * sums[:, MATCHES + 1]), sums[:, MATCHES] >= 2])
+#: Weights of the arcs by kind of match before any label is seen, and the bounds that the grammar sets to what is learned:
+#: a negated or reported insult never counts more than half a bare one, one at a target or a threat never less.
+ARCS = np.array([1.0, 1.5, 0.25, 0.25, 1.5, 0.5])
+BOUNDS = ((1.0, 1.0), (1.0, 3.0), (0.05, 0.5), (0.05, 0.5), (1.0, 3.0), (0.0, 1.0))
+#: Of features(): intercept, log of the total, its share of the words, whether it goes beyond one bare insult.
+PLAIN = np.array([-4.0, 1.5, 1.0, 3.0])
+
+
+def features(sums: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    """Of rows of matches: an intercept, the clauses' total score (by weighted arcs) on a log scale, its share of the words, how far it goes from 1 to 2."""
+    total, words = sums[:, :MATCHES] @ arcs, np.maximum(1, sums[:, MATCHES])
+    return np.column_stack([np.ones(len(sums)), np.log1p(total), np.minimum(1, 10 * total / words), np.clip(total - 1, 0, 1)])
 
 
 @dataclass
 class Model:
-    """What scoring needs: lexicon and weights. Its size is bounded by STEMS."""
+    """What scoring needs: lexica of insults and threats, weights of arcs and of features. Its size is bounded by STEMS."""
 
     lexicon: dict[str, float]
+    threats: dict[str, float]
+    arcs: np.ndarray
     weights: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_grammar"}
+
     def grammar(self) -> Grammar:
         if not hasattr(self, "_grammar"):
-            self._grammar = Grammar(self.lexicon)
+            self._grammar = Grammar(self.lexicon, self.threats)
         return self._grammar
 
     def scores(self, texts: list[str]) -> np.ndarray:
         grammar = self.grammar()
-        x = features(np.array([grammar.matches(t) for t in texts]).reshape(len(texts), MATCHES + 2))
+        x = features(np.array([grammar.matches(t) for t in texts]).reshape(len(texts), MATCHES + 1), self.arcs)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -225,20 +244,26 @@ def _first_of_copies(rows: DataFrame) -> frozenset:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of at most SAMPLE labelled rows of each class that are not held out, by hash order; and all such rows' counts."""
-    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("y"))
+    """(doc_id, text, y) of at most SAMPLE labelled rows of each class that are not held out, by hash order; and all such rows' counts.
+
+    A doc_id with several labels is toxic if any of them says so; of several documents with one doc_id, one is taken (by the texts' hashes).
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
     counts = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     picked = None
     for y, most in SAMPLE.items():
         part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    return durable(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")), counts
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("x")).join(F.broadcast(picked), "doc_id")
+    return durable(found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "x.text", "y")), counts
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Fit lexicon and weights. Without labelled rows of both classes the seed insults and fixed weights hold."""
+    """Fit lexica, arcs and weights. Without labelled rows of both classes the seed words and fixed weights hold."""
     rows, counts = training_rows(docs, labels, label)
-    plain = Model({w: 1.0 for w in SEED_INSULTS.split()}, np.array([-4.0, 2, 2, 0.5, 0.5, 2, 0.5, 1, 1, 2]))
+    seeds = {w: 1.0 for w in SEED_INSULTS.split()}
+    plain = Model(seeds, {}, ARCS, PLAIN)
     if not counts.get(0) or not counts.get(1):
         return plain
 
@@ -264,21 +289,87 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     limit = SURPRISE + float(np.log(max(1, counted.count())))
     ratio = (F.col("bad") / max(1, all_bad)) / ((F.col("good") + 0.5) / max(1, all_good))
     strong = counted.where((F.col("stem") != "") & (ratio >= RATIO) & (surprise >= limit)).orderBy(F.desc("bad"), "stem").limit(STEMS)
-    chosen = [(r.stem, r.bad, r.good) for r in strong.collect()]
-    lexicon = _shortest(chosen, max(1, all_bad), max(1, all_good)) | {w: 1.0 for w in SEED_INSULTS.split()}
-    grammar_model = Model(lexicon, plain.weights)
+    own = {w for c, ws in SEEDS.items() if c != THREAT for w in ws.split()}  # words of the grammar keep their class
+    chosen = [(r.stem, r.bad, r.good) for r in strong.collect() if r.stem not in own]
+    lexicon = _shortest(chosen, max(1, all_bad), max(1, all_good))
+    threatening = _threats_among(rows.where("y = 1"), lexicon)
+    insulting = {k: v for k, v in lexicon.items() if k not in threatening} | seeds
+    fitted = Model(insulting, {k: lexicon[k] for k in threatening}, ARCS, PLAIN)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar = grammar_model.grammar()
+        grammar = fitted.grammar()
         for b in batches:
             yield pd.DataFrame({"y": b.y, "m": [grammar.matches(t).tolist() for t in b.text]})
 
-    table = rows.mapInPandas(sums, "y int, m array<double>").toPandas()  # of at most the sampled rows, a few numbers each
+    table = rows.mapInPandas(sums, "y int, m array<double>").toPandas()  # of at most the sampled rows, one a doc_id, a few numbers each
     if table.y.nunique() < 2:
-        return Model(lexicon, plain.weights)
-    x, y = features(np.array(table.m.tolist())), table.y.to_numpy(float)
+        return fitted
+    found, y = np.array(table.m.tolist()), table.y.to_numpy(float)
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    return Model(lexicon, _logistic(x, y, weight / weight.mean()))
+    arcs, weights = fit(found, y, weight / weight.mean())
+    return Model(fitted.lexicon, fitted.threats, arcs, weights)
+
+
+#: Share of a stem's occurrences in toxic documents that follow a word of intent from which on it is a threat.
+THREATENS = 0.5
+
+
+def _threats_among(toxic: DataFrame, lexicon: dict[str, float]) -> set[str]:
+    """The stems that are threats rather than insults: in toxic clauses most of them stand where the machine of threats waits for a verb."""
+    if not lexicon:
+        return set()
+    grammar = Grammar(lexicon)
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every, after = Counter(), Counter()
+        for b in batches:
+            for text in b.text:
+                tokens, state, machine = _TOKENS.findall(text.lower()), 0, threats()
+                for t, (c, _) in zip(tokens, grammar.classes(text), strict=True):
+                    if c == INSULT:
+                        stem = t if t in lexicon else next(t[:n] + "*" for n in grammar.lengths if t[:n] + "*" in lexicon)
+                        every[stem] += 1
+                        after[stem] += state > 0
+                    state = 0 if c == END else machine.step(state, c)[0]
+        names = list(every)
+        yield pd.DataFrame({"stem": pd.Series(names, dtype=object), "n": [every[s] for s in names], "m": [after[s] for s in names]})
+
+    found = toxic.mapInPandas(seen, "stem string, n long, m long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return {r.stem for r in found.where((F.col("m") >= SUPPORT) & (F.col("m") >= THREATENS * F.col("n"))).collect()}
+
+
+def fit(sums: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Arc weights within BOUNDS and weights of features: coordinate search over arcs, a logistic regression for each choice.
+
+    What labels do not tell stays near ARCS. No feature counts against a document.
+    """
+
+    def cost(arcs: np.ndarray) -> tuple[float, np.ndarray]:
+        x = features(sums, arcs)
+        w = _logistic(x, y, weight)
+        while (w[1:] < 0).any():  # what would count against a document goes
+            x = x * np.r_[1.0, w[1:] > 0]
+            w = _logistic(x, y, weight)
+            w[1:][~x[:, 1:].any(axis=0)] = 0
+        z = np.clip(x @ w, -30, 30)
+        loss = float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
+        away = np.log((arcs + 0.1) / (ARCS + 0.1))
+        return loss + 2.0 * float((away**2).sum()), w
+
+    arcs = ARCS.copy()
+    best, weights = cost(arcs)
+    for _ in range(3):
+        before = best
+        for k, (low, high) in enumerate(BOUNDS):
+            for value in np.linspace(low, high, 5) if low < high else ():
+                tried = arcs.copy()
+                tried[k] = value
+                c, w = cost(tried)
+                if c < best - 1e-9:
+                    best, arcs, weights = c, tried, w
+        if before - best < 1e-6:
+            break
+    return arcs, weights
 
 
 def _shortest(kept: list[tuple[str, int, int]], bad: int, good: int) -> dict[str, float]:
