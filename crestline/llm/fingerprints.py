@@ -2,10 +2,9 @@
 
 A gear hash over the UTF-8 bytes proposes boundaries; chunking is normalised: a strict mask
 holds before the wanted size, a loose one after it, within a least and a greatest size. A
-fingerprint is the set of its chunks' digests with their lengths; containment is the length of
-the shared digests over the length of the document's own. An insertion moves the boundaries
-only near it. Every text has digests of one scale; short ones have digests of a finer scale too,
-and a longer text gets them where it meets a short one. Only digests of the same scale are compared.
+fingerprint is the set of its chunks' digests, each with the bytes that it covers in the text;
+containment is the bytes of the shared digests over all of the document's own. An insertion
+moves the boundaries only near it. All texts have one scale, fine enough for texts of a few words.
 """
 
 from __future__ import annotations
@@ -22,14 +21,13 @@ from pyspark.sql import functions as F
 
 from crestline.llm.common import with_bucket
 
-#: Least, wanted and greatest bytes of a chunk; bits of the strict and the loose mask (2**5 is the wanted size).
-LEAST, WANTED, MOST, STRICT, LOOSE = 12, 32, 96, 6, 4
-#: A finer scale besides, as texts of under SHORT characters have too few chunks to compare. Texts up to twice that have it
-#: in their fingerprint (they can be near copies of a short one, or become one when edited), others where they meet a short one.
-SHORT, FINE = 160, (2, 5, 12, 3, 1)
-#: In the 16 bits of a digest's length, what marks the finer scale.
-FINER = np.uint64(0x8000)
-#: Bytes that the gear hash is computed for at a time, and that one of its values depends on.
+#: Least, wanted and greatest bytes of a chunk; bits of the strict and the loose mask. Chunks have 8 bytes on average.
+LEAST, WANTED, MOST, STRICT, LOOSE = 2, 8, 16, 3, 2
+#: Low bits of a digest that hold the bytes it covers (at most all of them set), under 40 bits of hash.
+COVERED = 24
+#: Characters of fingerprints that a batch of rows holds.
+HELD = 8_000_000
+#: Bytes that the gear hash is computed for at a time, and that one of its values depends on; boundaries look at its low 16 bits only.
 BLOCK, REACH = 1 << 20, 32
 
 
@@ -64,10 +62,10 @@ def boundaries(data: np.ndarray, least: int, wanted: int, most: int, strict_bits
     strict, loose = [], []
     for start in range(0, n, BLOCK):
         lead = min(start, REACH - 1)
-        top = gear_hashes(data[start - lead : start + BLOCK])[lead:]
-        at = np.flatnonzero(top < np.uint32(1 << (32 - loose_bits)))  # the top bits depend on all 32 bytes
+        seen = gear_hashes(data[start - lead : start + BLOCK])[lead:].astype(np.uint16)  # these bits depend on the last 16 bytes
+        at = np.flatnonzero(seen < 1 << (16 - loose_bits))
         loose += (at + start + 1).tolist()
-        strict += (at[top[at] < np.uint32(1 << (32 - strict_bits))] + start + 1).tolist()
+        strict += (at[seen[at] < 1 << (16 - strict_bits)] + start + 1).tolist()
     ends, at = [], 0
     while n - at > least:
         i = bisect_left(strict, at + least)
@@ -83,57 +81,36 @@ def boundaries(data: np.ndarray, least: int, wanted: int, most: int, strict_bits
     return ends
 
 
-def fingerprint(text: str, fine: bool | None = None) -> np.ndarray:
-    """Sorted distinct chunk digests as unsigned 64-bit: 48 bits of hash above one that marks the finer scale and 15 of length.
-
-    With the finer scale if `fine`, and by default if the text has under 2 * SHORT characters.
-    """
+def fingerprint(text: str) -> np.ndarray:
+    """Sorted distinct chunk digests as unsigned 64-bit: 40 bits of hash above the bytes that its chunks cover in the text."""
     data = np.frombuffer(text.encode(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
-    marks = _digests(data, (LEAST, WANTED, MOST, STRICT, LOOSE))
-    if len(text) < 2 * SHORT if fine is None else fine:
-        marks = np.r_[marks, _digests(data, FINE) | FINER]
-    return np.unique(marks)
-
-
-def _digests(data: np.ndarray, scale: tuple[int, int, int, int, int]) -> np.ndarray:
-    ends = np.array(boundaries(data, *scale))
+    ends = np.array(boundaries(data, LEAST, WANTED, MOST, STRICT, LOOSE))
     starts = np.r_[0, ends[:-1]]
     value, power = _digest_gears()
     with np.errstate(over="ignore"):
         h = np.add.reduceat(value[data] * power[np.arange(len(data)) - np.repeat(starts, ends - starts)], starts)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return (h & ~np.uint64(0xFFFF)) | (ends - starts).astype(np.uint64)
+    digest, which = np.unique(h >> np.uint64(COVERED), return_inverse=True)
+    covers = np.bincount(which, ends - starts).astype(np.uint64)
+    return (digest << np.uint64(COVERED)) | np.minimum(covers, np.uint64((1 << COVERED) - 1))
 
 
 def containment(own: np.ndarray, other: np.ndarray) -> float:
-    """Share of `own`'s distinct chunk bytes that `other` has, at the finest scale of both; 1 for two empty texts, 0 for one."""
+    """Share of `own`'s bytes in chunks that `other` has too; 1 for two empty texts, 0 for one."""
     if not len(own) or not len(other):
         return float(len(own) == len(other))
-    finer, others = (own & FINER) > 0, (other & FINER) > 0
-    if finer.any() and others.any():
-        own, other = own[finer], other[others]
-    else:
-        own, other = own[~finer], other[~others]
-    size = (own & np.uint64(0x7FFF)).astype(np.int64)
-    at = np.searchsorted(other, own)
-    at[at == len(other)] = 0
-    return float(size[other[at] == own].sum() / size.sum())
-
-
-def likeness(text: str, mark: np.ndarray, other: str, other_mark: np.ndarray) -> float:
-    """Containment of a text in another; where one is short, the other one's finer digests are made for it."""
-    if len(text) < SHORT and len(other) >= 2 * SHORT:
-        other_mark = fingerprint(other, fine=True)
-    elif len(other) < SHORT and len(text) >= 2 * SHORT:
-        mark = fingerprint(text, fine=True)
-    return containment(mark, other_mark)
+    size = (own & np.uint64((1 << COVERED) - 1)).astype(np.int64)
+    mine, others = own >> np.uint64(COVERED), other >> np.uint64(COVERED)
+    at = np.searchsorted(others, mine)
+    at[at == len(others)] = 0
+    return float(size[others[at] == mine].sum() / size.sum())
 
 
 def as_text(print_: np.ndarray) -> str:
-    """16 hexadecimal digits a chunk: 12 of digest, 4 of scale and length."""
+    """16 hexadecimal digits a digest: 10 of hash, 6 of the bytes it covers."""
     return print_.astype(">u8").tobytes().hex()
 
 
@@ -153,17 +130,17 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, doc_id, text, halo) so that within a bucket, by descending doc_id, each row's next document follows it.
 
-    Every bucket but its own copy of the row that comes next after it (halo 1); the last
-    document's next is the first. Equal doc_ids follow each other in the order of their texts.
-    The bucket count is bounded, so only bounded data meets in the driver.
+    Every bucket has a copy of the row that comes next after it (halo 1); the last document's
+    next is the first. Null doc_ids come last; equal doc_ids follow each other in no set order.
+    The number of buckets is bounded, so only bounded data meets in the driver.
     """
-    dealt = with_bucket(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    dealt = with_bucket(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "doc_id", F.xxhash64("text"))
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), F.col("doc_id").isNotNull().alias("n"))
     tops = {r.bucket: (r.top.k, r.top.n) for r in dealt.groupBy("bucket").agg(F.max(order).alias("top")).collect()}
     present = sorted(tops, reverse=True)
     # the first row of a bucket (in descending order) is also the halo of the bucket before
     above = {b: present[i - 1] for i, b in enumerate(present)}
-    pairs = docs.sparkSession.createDataFrame([(b, tops[b][0], tops[b][1], above[b]) for b in present] or [(-1, 0, True, -1)], "bucket int, k long, n boolean, above int")
+    pairs = docs.sparkSession.createDataFrame([(b, tops[b][0], tops[b][1], above[b]) for b in present] or [(-1, 0, True, -1)], "bucket long, k long, n boolean, above long")
     own = dealt.withColumn("k", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("n", F.col("doc_id").isNotNull())
     marked = own.join(F.broadcast(pairs), ["bucket", "k", "n"], "left")  # a row for each of at most MAX_SPLITS buckets
     to = F.when(F.col("above").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("h")))).otherwise(
@@ -175,12 +152,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness; SCHEMA has the columns.
 
-    Null texts are empty. One shuffle moves the texts, by ranges of doc_id; each text is
-    chunked once, its edited text once.
+    Null and empty texts have an empty fingerprint; whole texts are read, however long; repeated
+    rows come out as often; an empty table gives no rows; other columns are not read. One shuffle
+    moves the texts, by ranges of doc_id; each text is chunked once, its edited text once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        held = 0  # characters of the fingerprints in rows
         last = None  # bucket, doc_id, text, print, halo
         for b in batches:
             for bucket, doc, text, halo in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -189,10 +168,13 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 mark = fingerprint(text)
                 if last is not None and last[0] == bucket and not last[4]:
                     rows.append(_compare(last[1], last[2], last[3], text, mark))
+                    held += len(rows[-1][3]) + len(rows[-1][4])
+                    if held >= HELD:
+                        yield _batch(rows)
+                        rows, held = [], 0
                 last = (bucket, doc, text, mark, halo)
-            if rows:
-                yield _batch(rows)
-                rows = []
+        if rows:
+            yield _batch(rows)
 
     order = ["bucket", "halo", F.desc_nulls_last("doc_id"), "text"]
     return with_next(docs).repartition("bucket").sortWithinPartitions(*order).select("bucket", "doc_id", "text", "halo").mapInArrow(run, SCHEMA)
@@ -201,7 +183,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 def _compare(doc, text, mark, following, follow_mark) -> tuple:
     new = edited(text, following)
     new_mark = fingerprint(new)
-    return doc, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(mark), as_text(new_mark), likeness(text, mark, new, new_mark), likeness(text, mark, following, follow_mark)
+    return doc, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(mark), as_text(new_mark), containment(mark, new_mark), containment(mark, follow_mark)
 
 
 _TYPES = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]

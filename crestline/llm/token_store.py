@@ -4,7 +4,7 @@ A chunk is a run of whole documents in ascending doc_id. Its ids are cut into fi
 blocks; a block is transposed into bit planes (or byte planes), the planes above the largest
 id are left out, and each plane is one zstandard frame. Chunks are rows of a Parquet folder, so
 any store that Spark writes to will do; a chunk index beside it holds each chunk's first
-position, so that a reader opens only the chunks it needs.
+position, so that read() of some documents opens only the chunks that hold them.
 
 Layout: <path>/chunks (bucket, seq, n_ids, doc_ids, lengths, blocks), <path>/index (bucket, seq,
 n_docs, n_ids, start).
@@ -29,7 +29,7 @@ from crestline.llm import segments as S
 #: Ids in a block, ids from which on a chunk is full, zstandard level.
 BLOCK, CHUNK_IDS, LEVEL = 65_536, 1_000_000, 3
 
-CHUNK_SCHEMA = "bucket int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<struct<n:int,planes:array<binary>>>"
+CHUNK_SCHEMA = "bucket long, seq int, n_ids long, doc_ids array<long>, lengths array<long>, blocks array<struct<n:int,planes:array<binary>>>"
 
 
 def pack_block(ids: np.ndarray, plane: str = "bit") -> list[bytes]:
@@ -68,7 +68,7 @@ def _encoder(path: str) -> tuple[S.Encoder, dict[str, int]]:
 
 def encode(df: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """(bucket, doc_id, ids): the ids of each whole text, little-endian and as narrow as they allow, with the end id."""
-    schema = "bucket int, doc_id long, ids binary"
+    schema = "bucket long, doc_id long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, special = _encoder(tokenizer)
@@ -78,7 +78,7 @@ def encode(df: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
                 ids = [np.r_[x, tail].astype("<u4") for x in encoder.encode(texts, special)]
                 # first byte: the width in bytes
                 cells = [b"\x02" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65_536 else b"\x04" + x.tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("bucket").cast(pa.int32()), b.column("doc_id").cast(pa.int64()), pa.array(cells, pa.binary())], names=["bucket", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column("bucket").cast(pa.int64()), b.column("doc_id").cast(pa.int64()), pa.array(cells, pa.binary())], names=["bucket", "doc_id", "ids"])
 
     return df.select("bucket", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -111,7 +111,7 @@ def _pack(plane: str):
 
 
 _ARROW = pa.schema([
-    ("bucket", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
+    ("bucket", pa.int64()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
     ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("planes", pa.list_(pa.binary()))]))),
 ])
 
@@ -119,12 +119,12 @@ _ARROW = pa.schema([
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, plane: str = "bit") -> None:
     """Write the ids of df's texts (columns doc_id, text) in ascending doc_id to `path`.
 
-    Null texts are empty; null doc_ids come first; equal doc_ids are kept in the order of their
-    ids; an empty table gives an empty file; other columns are not read. Texts are encoded
+    Null texts are empty; null doc_ids come first; equal doc_ids follow each other
+    in no set order; an empty table gives an empty file; other columns are not read. Texts are encoded
     where they are read; the ids are shuffled once.
     """
     spark = df.sparkSession
-    dealt = common.with_bucket(df.select("doc_id", "text"), "doc_id")
+    dealt = common.with_bucket(df.select("doc_id", "text"), "doc_id", F.xxhash64("text"))
     ordered = encode(dealt, tokenizer, end_id).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     ordered.mapInArrow(_pack(plane), CHUNK_SCHEMA).write.parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks").select("bucket", "seq", F.size("doc_ids").alias("n_docs"), "n_ids")
@@ -136,9 +136,13 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, p
     index.select("bucket", "seq", "n_docs", "n_ids", (F.col("first") + F.col("inside")).alias("start")).write.parquet(f"{path}/index")
 
 
-def read(spark: SparkSession, path: str, plane: str = "bit", with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, decoded from the planes."""
-    schema = "bucket int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+def read(spark: SparkSession, path: str, plane: str = "bit", with_ids: bool = False, positions: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, decoded from the planes.
+
+    With `positions` (first, last + 1) of the whole run of ids, only documents with an id there come,
+    and only the chunks that the index names are opened.
+    """
+    schema = "bucket long, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,14 +152,23 @@ def read(spark: SparkSession, path: str, plane: str = "bit", with_ids: bool = Fa
                 starts = np.cumsum(lengths) - lengths
                 each = [ids[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 columns = [
-                    pa.array([row["bucket"]] * len(each), pa.int32()), pa.array([row["seq"]] * len(each), pa.int32()), pa.array(row["doc_ids"], pa.int64()),
+                    pa.array([row["bucket"]] * len(each), pa.int64()), pa.array([row["seq"]] * len(each), pa.int32()), pa.array(row["doc_ids"], pa.int64()),
                     pa.array(starts), pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64()),
                 ]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "seq", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    docs = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks").mapInArrow(run, schema)
-    index = spark.read.schema("bucket int, seq int, n_docs int, n_ids long, start long").parquet(f"{path}/index").select("bucket", "seq", "start")
-    out = docs.join(index, ["bucket", "seq"]).withColumn("start", F.col("start") + F.col("inside"))
+    chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks")
+    index = spark.read.schema("bucket long, seq int, n_docs int, n_ids long, start long").parquet(f"{path}/index")
+    if positions is not None:
+        first, last = positions
+        index = index.where((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first))
+        low, high = index.agg(F.min("bucket"), F.max("bucket")).first()
+        wanted = F.col("bucket").between(low, high) if low is not None else F.lit(False)  # reaches the scan
+        chunks = chunks.where(wanted).join(index.select("bucket", "seq"), ["bucket", "seq"], "left_semi").select(*chunks.columns)
+    docs = chunks.mapInArrow(run, schema)
+    out = docs.join(index.select("bucket", "seq", "start"), ["bucket", "seq"]).withColumn("start", F.col("start") + F.col("inside"))
+    if positions is not None:
+        out = out.where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
