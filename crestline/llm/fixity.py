@@ -2,49 +2,77 @@
 
 A record's hash is a leaf; nodes above it cover fixed, aligned offset ranges, each
 FAN_OUT times as long as below, and hash their children in order. Replicas compare roots, and
-only the children of nodes that differ are compared further, down to the records. Trees are
-plain tables keyed by (archive, level, range), so levels are joins on those keys; a node has at
-most FAN_OUT children, and a lowest range at most as many records as fit in its bytes.
+only the children of nodes that differ are compared further, down to the records. Each replica
+has its own offsets: a record that was lost, added or grew moves all that follow it in its
+archive, so records of suspect ranges are matched by their ids, not by where they lie.
+
+Trees are plain tables keyed by (archive, level, range), so levels are joins on those keys; a node
+has at most FAN_OUT children, and a lowest range at most as many records as fit in its bytes.
+Records are hashed and measured where they are read; only narrow rows are ordered and shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from crestline.llm.common import durable, with_bucket
+from crestline.llm.common import durable
 
 #: Bytes of a lowest offset range, children of a node, records of an archive file.
 RANGE, FAN_OUT, ARCHIVE_RECORDS = 65_536, 16, 1024
 
 
-def warc_record(target: Column, payload: Column, kind: str = "resource", content_type: str = "text/html") -> Column:
-    """The bytes of a WARC/1.0 record. A null payload is empty, a null target an empty URI."""
-    body = F.coalesce(payload, F.lit("")).cast("binary")
-    uri = F.coalesce(target, F.lit(""))
-    record_id = F.concat(F.lit("<urn:sha1:"), F.sha1(F.concat(uri.cast("binary"), body)), F.lit(">"))
-    head = F.concat(
-        F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: "), uri, F.lit("\r\nWARC-Record-ID: "), record_id,
-        F.lit(f"\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
+def record_id(key: Column, target: Column, payload: Column, kind: str = "resource") -> Column:
+    """The id of a record: a hash of what it was made of, and its kind unless that is resource. Nulls are empty."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (key, target, payload)]
+    return F.concat(F.lit("urn:sha1:"), F.sha1(F.concat(*parts).cast("binary")), F.lit("" if kind == "resource" else f":{kind}"))
+
+
+def warc_record(key: Column, target: Column, payload: Column, kind: str = "resource", content_type: str = "text/html") -> Column:
+    """A WARC/1.0 record as text. A null payload is empty, a null target an empty URI."""
+    body, uri = F.coalesce(payload, F.lit("")), F.coalesce(target, F.lit(""))
+    return F.concat(
+        F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: "), uri, F.lit("\r\nWARC-Record-ID: <"), record_id(key, target, payload, kind),
+        F.lit(f">\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
     )
-    return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def archive(pages: DataFrame, key: str, target: str, body: str) -> DataFrame:
-    """(archive, offset, length, key, record): records laid end to end in files of about ARCHIVE_RECORDS, by ascending key.
+def in_archives(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Add `archive` and `place` to narrow rows: their exact number by `order` (nulls first), and the file of ARCHIVE_RECORDS that it falls in.
 
-    Null keys come first; repeated keys follow each other; the record is computed where it is needed.
+    Rows are range-partitioned and sorted once; equal rows are spread by a row number, so that no key is one task.
+    Only the number of rows of each partition reaches the driver.
     """
-    rows = pages.select(F.col(key), warc_record(F.col(target), F.col(body)).alias("record"))
-    dealt = with_bucket(rows, key, "archive", ARCHIVE_RECORDS).withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("archive").orderBy(F.col(key).asc_nulls_first(), "record").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select("archive", "offset", "length", key, "record")
+    keys = [*[F.col(c).asc_nulls_first() for c in order], F.col("__n")]
+    dealt = rows.withColumn("__n", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, "__part", "__at"])
+            at += n
+
+    held = durable(dealt.mapInArrow(run, StructType([*rows.schema.fields, StructField("__part", IntegerType()), StructField("__at", LongType())])))
+    before, bases = 0, []
+    for r in held.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
+        bases.append((r["__part"], before))
+        before += r.n
+    spread = held.join(F.broadcast(rows.sparkSession.createDataFrame(bases, "__part int, __base long")), "__part")  # a row for each partition
+    place = F.col("__base") + F.col("__at")
+    return spread.select(*rows.columns, F.floor(place / F.lit(ARCHIVE_RECORDS)).cast("long").alias("archive"), place.alias("place"))
 
 
-def leaves(records: DataFrame, keep: list[str]) -> DataFrame:
-    """(archive, offset, length, hash, keep...): one narrow row a record."""
-    return records.select("archive", "offset", "length", F.sha2("record", 256).alias("hash"), *keep)
+def lay_out(records: DataFrame) -> DataFrame:
+    """Leaves with their `offset`: records (archive, place, length, ...) of an archive end to end by place."""
+    before = Window.partitionBy("archive").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("place")
 
 
 def tree(leaf_rows: DataFrame) -> list[DataFrame]:
@@ -70,10 +98,13 @@ def differing(one: DataFrame, other: DataFrame, within: DataFrame | None) -> Dat
     return a.join(b, ["archive", "node"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("archive", "node")
 
 
-def audit(one: DataFrame, other: DataFrame, keep: list[str]) -> DataFrame:
+def audit(one: DataFrame, other: DataFrame, keep: list[str], record: str | None = None) -> DataFrame:
     """Records at which two replicas differ: archive, offset, length, keep..., status (changed, missing, extra), hash_one, hash_other.
 
-    `one` and `other` are leaves. Replicas that are equal give no rows; an empty replica gives all of the other's records.
+    `one` and `other` are leaves (archive, offset, length, hash, keep...). Records are matched by their id, the column
+    `record`, equal ids of an archive in their order; without one by their offset, which both replicas must
+    then share. A record that only moved is no difference. Offset and length are those of `one`, of `other`
+    for extra records. Replicas that are equal give no rows; an empty replica gives all of the other's records.
     """
     one, other = durable(one), durable(other)
     a, b = tree(one), tree(other)
@@ -88,9 +119,14 @@ def audit(one: DataFrame, other: DataFrame, keep: list[str]) -> DataFrame:
             break
     spans = suspect.withColumnRenamed("node", "span")
     left, right = (t.withColumn("span", F.expr(f"`offset` div {RANGE}")).join(spans, ["archive", "span"], "left_semi").drop("span") for t in (one, other))
-    left = left.select("archive", "offset", F.col("hash").alias("hash_one"), F.struct("length", *keep).alias("x"))
-    right = right.select("archive", "offset", F.col("hash").alias("hash_other"), F.struct("length", *keep).alias("y"))
-    both = left.join(right, ["archive", "offset"], "full").where(~F.col("hash_one").eqNullSafe(F.col("hash_other")))
+    if record is not None:
+        nth = F.row_number().over(Window.partitionBy("archive", record).orderBy("offset"))
+        left, right = (t.withColumn("__same", F.struct(F.coalesce(F.col(record), F.lit("")), nth)) for t in (left, right))
+    else:
+        left, right = (t.withColumn("__same", F.col("offset")) for t in (left, right))
+    left = left.select("archive", "__same", F.col("hash").alias("hash_one"), F.struct("offset", "length", *keep).alias("x"))
+    right = right.select("archive", "__same", F.col("hash").alias("hash_other"), F.struct("offset", "length", *keep).alias("y"))
+    both = left.join(right, ["archive", "__same"], "full").where(~F.col("hash_one").eqNullSafe(F.col("hash_other")))
     status = F.when(F.col("hash_other").isNull(), "missing").when(F.col("hash_one").isNull(), "extra").otherwise("changed")
     value = F.coalesce("x", "y")
-    return both.select("archive", "offset", value["length"].alias("length"), *[value[c].alias(c) for c in keep], status.alias("status"), "hash_one", "hash_other")
+    return both.select("archive", value["offset"].alias("offset"), value["length"].alias("length"), *[value[c].alias(c) for c in keep], status.alias("status"), "hash_one", "hash_other")

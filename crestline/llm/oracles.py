@@ -6,6 +6,24 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TOKENS = "regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
 
+_END = "chr(13) || chr(10)"
+_RECORD = f"""'WARC/1.0' || {_END} || 'WARC-Type: {{0}}' || {_END} || 'WARC-Target-URI: ' || u || {_END} || 'WARC-Record-ID: <' || id{{1}} || '>' || {_END}
+  || 'Content-Type: text/html' || {_END} || 'Content-Length: ' || strlen(b) || {_END} || {_END} || b || {_END} || {_END}"""
+
+WARC_FIXITY = f"""WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS b, coalesce(left(md5(page_id::VARCHAR), 2), '') AS m,
+  'urn:sha1:' || sha1(coalesce(page_id::VARCHAR, '') || coalesce(url, '') || coalesce(html, '')) AS id FROM pages),
+r AS (SELECT page_id, m, id, {_RECORD.format("resource", "")} AS rec, {_RECORD.format("revisit", " || ':revisit'")} AS rev FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256(rec)) - 1 AS k FROM r),
+c AS (SELECT *, CASE WHEN m = '0d' THEN rec || '~' WHEN m LIKE '0%' AND m <> '0e' THEN left(rec, length(rec) - 1) || '~' ELSE rec END AS alt FROM o WHERE m <> '0f'),
+w AS (SELECT 1 AS side, k // 1024 AS archive, 2 * k AS place, page_id, id, rec FROM o
+  UNION ALL SELECT 2, k // 1024, 2 * k, page_id, id, alt FROM c UNION ALL SELECT 2, k // 1024, 2 * k + 1, page_id, id || ':revisit', rev FROM c WHERE m = '0e'),
+l AS (SELECT side, archive, page_id, id, sha256(rec) AS hash, strlen(rec) AS length, coalesce(sum(strlen(rec)) OVER (PARTITION BY side, archive ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
+  row_number() OVER (PARTITION BY side, archive, id ORDER BY place) AS nth FROM w),
+x AS (SELECT * FROM l WHERE side = 1), y AS (SELECT * FROM l WHERE side = 2)
+SELECT CASE WHEN x.id IS NULL THEN y.page_id ELSE x.page_id END AS page_id, archive, coalesce(x.off, y.off) AS "offset", coalesce(x.length, y.length) AS length,
+  CASE WHEN y.hash IS NULL THEN 'missing' WHEN x.hash IS NULL THEN 'extra' ELSE 'changed' END AS status, x.hash AS hash_one, y.hash AS hash_other
+FROM x FULL JOIN y USING (archive, id, nth) WHERE x.hash IS DISTINCT FROM y.hash"""
+
 DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win

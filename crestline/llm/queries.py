@@ -18,36 +18,39 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_texts(common.documents(spark, sf_dir), SHARDS)
 
 
-#: Of the replica's records, by the md5 of the page_id: the first hexadecimal digits that mark a changed and a lost one.
-CHANGED, LOST = "0", "0f"
+#: Of the replica's records, by the md5 of the page_id: the first hexadecimal digits that mark changed ones (in the last byte),
+#: and among them longer, lost and such as have an extra record after them instead.
+CHANGED, LONGER, EXTRA, LOST = "0", "0d", "0e", "0f"
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit a replica of all pages, archived as WARC records, against the original: where it is damaged.
 
-    The replica is the archive with every record whose page_id has an md5 from CHANGED on
-    altered in one byte, and those from LOST on left out.
+    The replica is an archive of its own: records marked by CHANGED end in another byte, those by LONGER
+    have one more, those by EXTRA are whole but followed by a record that the original lacks, and those by
+    LOST are left out; so its offsets differ. Null and repeated pages are records like others.
     """
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    records = fixity.archive(pages, "page_id", "url", "html")
-    mark = F.md5(F.col("page_id").cast("string").cast("binary"))
-    middle = F.expr("octet_length(record) div 2")
-    flipped = F.concat(F.substring("record", 1, middle - 1), F.lit("~").cast("binary"), F.substring("record", middle + 1, F.octet_length("record")))
-    # a record that has that byte already becomes longer by one
-    flipped = F.when(flipped == F.col("record"), F.concat("record", F.lit("~").cast("binary"))).otherwise(flipped)
-    hashed = _replica_hashes(records.where(F.col("length") > 0), mark, flipped)
-    one = hashed.select("archive", "offset", "length", "page_id", "hash")
-    other = hashed.where("NOT lost").select("archive", "offset", "length", "page_id", F.col("replica_hash").alias("hash"))
-    found = fixity.audit(one, other, ["page_id"])
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    page = [F.col("page_id"), F.col("url"), F.col("html")]
+    record, revisit = fixity.warc_record(*page), fixity.warc_record(*page, kind="revisit")
+    mark = F.coalesce(F.md5(F.col("page_id").cast("string").cast("binary")), F.lit(""))
+    cut = F.substring(record.cast("binary"), F.lit(1), F.octet_length(record) - 1)
+    altered = F.when(mark.startswith(LONGER), F.concat(record, F.lit("~")).cast("binary")).when(mark.startswith(CHANGED) & ~mark.startswith(EXTRA), F.concat(cut, F.lit("~").cast("binary"))).otherwise(record.cast("binary"))
+    extra = mark.startswith(EXTRA)
+    narrow = pages.select(
+        "page_id", F.sha2(record.cast("binary"), 256).alias("hash"), F.octet_length(record).cast("long").alias("length"), fixity.record_id(*page).alias("record"),
+        F.when(~mark.startswith(LOST), F.sha2(altered, 256)).alias("replica_hash"), (F.octet_length(record) + mark.startswith(LONGER).cast("int")).cast("long").alias("replica_length"),
+        F.when(extra, F.sha2(revisit.cast("binary"), 256)).alias("extra_hash"), F.when(extra, F.octet_length(revisit).cast("long")).alias("extra_length"), F.when(extra, fixity.record_id(*page, kind="revisit")).alias("extra_record"),
+    )
+    placed = fixity.in_archives(narrow, ["page_id", "hash"])
+    original = placed.select("archive", "place", "length", "hash", "record", "page_id")
+    kept = placed.where("replica_hash IS NOT NULL").select("archive", "place", F.lit(0).alias("after"), F.col("replica_length").alias("length"), F.col("replica_hash").alias("hash"), "record", "page_id")
+    added = placed.where("extra_hash IS NOT NULL").select("archive", "place", F.lit(1).alias("after"), F.col("extra_length").alias("length"), F.col("extra_hash").alias("hash"), F.col("extra_record").alias("record"), "page_id")
+    replica = kept.unionByName(added).withColumn("place", F.struct("place", "after")).drop("after")
+    found = fixity.audit(fixity.lay_out(original), fixity.lay_out(replica), ["page_id"], record="record")
     return found.select("page_id", "archive", "offset", "length", "status", "hash_one", "hash_other")
 
 
-def _replica_hashes(records: DataFrame, mark, flipped) -> DataFrame:
-    """Hashes of both replicas' records from one pass over the pages."""
-    replica = F.when(mark.startswith(CHANGED), flipped).otherwise(F.col("record"))
-    return common.durable(records.select("archive", "offset", "length", "page_id", F.sha2("record", 256).alias("hash"), F.sha2(replica, 256).alias("replica_hash"), F.coalesce(mark.startswith(LOST), F.lit(False)).alias("lost")))
-
-
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk fingerprints of every document and of its half-edited text, and how alike they and the next document's are."""
     return fingerprints.compare_with_next(common.documents(spark, sf_dir))
@@ -103,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": oracles.DECONTAMINATION, "op6_near_dedup": oracles.NEAR_DEDUP}
+    return {"op2_warc_fixity": oracles.WARC_FIXITY, "op5_decontamination": oracles.DECONTAMINATION, "op6_near_dedup": oracles.NEAR_DEDUP}
