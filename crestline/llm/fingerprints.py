@@ -9,6 +9,7 @@ moves the boundaries only near it. All texts have one scale, fine enough for tex
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
 from bisect import bisect_left
@@ -23,10 +24,10 @@ from crestline.llm.common import with_bucket
 
 #: Least, wanted and greatest bytes of a chunk; bits of the strict and the loose mask. Chunks have 8 bytes on average.
 LEAST, WANTED, MOST, STRICT, LOOSE = 2, 8, 16, 3, 2
-#: Low bits of a digest that hold the bytes it covers (at most all of them set), under 40 bits of hash.
-COVERED = 24
+#: Low bits of a digest that hold the bytes it covers (at most all of them set), and bits of hash above them.
+COVERED, HASH = 16, 32
 #: Characters of fingerprints that a batch of rows holds.
-HELD = 8_000_000
+HELD = 2_000_000
 #: Bytes that the gear hash is computed for at a time, and that one of its values depends on; boundaries look at its low 16 bits only.
 BLOCK, REACH = 1 << 20, 32
 
@@ -82,7 +83,7 @@ def boundaries(data: np.ndarray, least: int, wanted: int, most: int, strict_bits
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """Sorted distinct chunk digests as unsigned 64-bit: 40 bits of hash above the bytes that its chunks cover in the text."""
+    """Sorted distinct chunk digests as unsigned numbers: HASH bits above the bytes that its chunks cover in the text."""
     data = np.frombuffer(text.encode(), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
@@ -93,7 +94,7 @@ def fingerprint(text: str) -> np.ndarray:
         h = np.add.reduceat(value[data] * power[np.arange(len(data)) - np.repeat(starts, ends - starts)], starts)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    digest, which = np.unique(h >> np.uint64(COVERED), return_inverse=True)
+    digest, which = np.unique(h >> np.uint64(64 - HASH), return_inverse=True)
     covers = np.bincount(which, ends - starts).astype(np.uint64)
     return (digest << np.uint64(COVERED)) | np.minimum(covers, np.uint64((1 << COVERED) - 1))
 
@@ -110,12 +111,13 @@ def containment(own: np.ndarray, other: np.ndarray) -> float:
 
 
 def as_text(print_: np.ndarray) -> str:
-    """16 hexadecimal digits a digest: 10 of hash, 6 of the bytes it covers."""
-    return print_.astype(">u8").tobytes().hex()
+    """8 letters of base64 a digest: 32 bits of hash, 16 of the bytes it covers, highest first."""
+    return base64.b64encode(np.ascontiguousarray(print_.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:])).decode()
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
+    six = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 6)
+    return np.concatenate([np.zeros((len(six), 2), np.uint8), six], axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def edited(text: str, following: str) -> str:
