@@ -1,11 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is sharded by documents: each row is a segment of documents with, for every indexed
-term, the ascending list of its positions (documents are laid end to end with a gap between).
-A phrase is found by intersecting its terms' lists, each shifted by the term's offset, from the
-rarest term of the whole corpus on. Terms can be restricted to those that a benchmark has, as no
-others can be asked for. Index rows are checkpointed; only the benchmark travels, in blocks of
-bounded size.
+The index is sharded by documents: each row is a segment of documents with, for every term, the
+ascending list of its positions (documents are laid end to end with a gap between). A phrase is
+found by intersecting its terms' lists, each shifted by the term's offset, from the term that is
+rarest in the segment on; phrases with a term that the segment lacks are left out before.
+
+The index is built once and checkpointed; the benchmark's windows are a table of distinct phrases
+that travels in blocks of bounded size, and the hits of all blocks are united by document.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from crestline.llm.common import durable
 
-#: Words of a window; words from which on a segment is full; bytes of benchmark text in one block.
-WINDOW, SEGMENT_WORDS, BLOCK_BYTES = 10, 400_000, 32_000_000
+#: Words of a window; words from which on a segment is full.
+WINDOW, SEGMENT_WORDS = 10, 400_000
+#: Windows and bytes of their words that one block has about: what the driver and each worker hold at a time.
+BLOCK_WINDOWS, BLOCK_BYTES = 200_000, 32_000_000
 #: A word: letters a-z, digits and all that is not ASCII, after lower-casing A-Z.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -158,12 +161,6 @@ class Postings:
         return found
 
 
-def term_counts(index: DataFrame) -> dict[str, int]:
-    """How often each indexed term occurs in the corpus; for an index restricted to a bounded set of terms."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "term_sizes")).alias("x"))
-    return {r.t: r.n for r in pairs.groupBy(F.col("x.terms").alias("t")).agg(F.sum("x.term_sizes").alias("n")).collect()}
-
-
 def windows_of(words: list[str], size: int = WINDOW) -> Iterator[list[str]]:
     """All runs of `size` words; the whole of a shorter text; nothing of an empty one."""
     if words:
@@ -171,68 +168,113 @@ def windows_of(words: list[str], size: int = WINDOW) -> Iterator[list[str]]:
             yield words[i : i + size]
 
 
+def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(words, items): the distinct windows of all items (item_id, text), and the ids that have each. A null item_id is the empty string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = list(windows_of(words_of(text), size))
+                for i in range(0, len(found), 10_000):
+                    part = found[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string())), pa.array([item] * len(part), pa.string())], names=["words", "item"])
+
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text IS NOT NULL")
+    return named.mapInArrow(run, "words array<string>, item string").groupBy("words").agg(F.collect_set("item").alias("items"))
+
+
+class _Block:
+    """Phrases as one matrix of term numbers, rows padded with the number after the last term."""
+
+    def __init__(self, table: pa.Table, size: int):
+        flat = lambda name: table.column(name).combine_chunks()
+        lists = flat("words")
+        terms = lists.flatten().dictionary_encode()
+        self.terms: list[str] = terms.dictionary.to_pylist()
+        self.length = np.diff(lists.offsets.to_numpy())
+        self.phrases = np.full((len(lists), size), len(self.terms), np.int32)
+        self.phrases[np.arange(size)[None, :] < self.length[:, None]] = terms.indices.to_numpy()
+        ids = flat("items")
+        names = ids.flatten().dictionary_encode()
+        self.names: list[str] = names.dictionary.to_pylist()
+        self.ids, self.first = names.indices.to_numpy(), ids.offsets.to_numpy()
+
+    def items_of(self, phrase: int) -> list[str]:
+        return [self.names[i] for i in self.ids[self.first[phrase] : self.first[phrase + 1]].tolist()]
+
+
 def matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, item_ids (sorted strings of the items with a window in it).
 
-    `items` has item_id and text; items are taken in blocks of BLOCK_BYTES of text, each
-    matched against all documents, and the blocks' hits are united. A null item_id is the empty
-    string; null texts have no words; repeated items count once; repeated documents come out as often.
+    `items` has item_id and text; their distinct windows are taken in blocks (BLOCK_WINDOWS, BLOCK_BYTES),
+    each sought in the whole index, and the blocks' hits are united. A null item_id is the empty
+    string; null and empty texts have no words; repeated items count once; repeated documents and
+    null doc_ids are rows like others and come out as often; other columns are not read.
     """
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    keyed = docs.select("doc_id", "text")
+    index = build_index(docs.select("doc_id", "text"), gap=size)
+    phrases = durable(windows(items, size))
+    total = F.sum(F.octet_length(F.concat_ws(" ", "words")) + 8 * F.size("items"))
+    count, weight = phrases.agg(F.count("*"), F.coalesce(total, F.lit(0))).first()
+    blocks = max(-(-count // BLOCK_WINDOWS), -(-int(weight) // BLOCK_BYTES))
     found = None
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = part.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null").collect()  # one block
-        phrases: dict[tuple[str, ...], set[str]] = {}
-        for r in rows:
-            for w in windows_of(words_of(r.text), size):
-                phrases.setdefault(tuple(w), set()).add(r.item)
-        vocabulary = sorted({t for p in phrases for t in p})
-        index = build_index(keyed, vocabulary, gap=size)
-        hits = _search(index, phrases, term_counts(index), size, spans=blocks > 1)
+        part = phrases if blocks == 1 else phrases.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
+        hits = _search(index, _Block(part.toArrow(), size), size)
         found = hits if found is None else found.unionByName(hits)
-    if blocks == 1:
-        return found.drop("row")
-    spread = found.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
-    return spread.select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.array_sort("item_ids").alias("item_ids"))
-
-
-def _search(index: DataFrame, phrases: dict, counts: dict[str, int], size: int, spans: bool) -> DataFrame:
-    """Per document the hits of all phrases; with `spans` also the hit places and a row key, to unite blocks by."""
-    ordered = []
-    for p, ids in phrases.items():
-        if all(t in counts for t in p):
-            ordered.append((sorted(enumerate(p), key=lambda x: counts[x[1]]), len(p), sorted(ids)))
-    shared = index.sparkSession.sparkContext.broadcast(ordered)  # one block of the benchmark
-    schema = "doc_id long, n_words long, n_hit long, item_ids array<string>, row string" + ", places array<long>" * spans
+    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("at", "x"))
+    every = every.select("segment", "at", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").alias("n_words"))
+    if found is None:
+        return every.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+    united = found.groupBy("segment", "at").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    covered = F.aggregate("spans", start, lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end")), lambda s: s["n"])
+    united = united.select("segment", "at", covered.alias("n_hit"), "item_ids")
+    none = F.array().cast("array<string>")
+    return every.join(united, ["segment", "at"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
+
+
+def _search(index: DataFrame, block: _Block, size: int) -> DataFrame:
+    """Of each document that has a phrase of the block: segment, at, the spans of its words in any phrase, the items."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
+    kinds = pa.schema([("segment", pa.string()), ("at", pa.int32()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("item_ids", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
         for b in batches:
             for row in b.to_pylist():
                 seg = Postings(row)
+                have = np.fromiter((e - s for s, e in (seg.range.get(t, (0, 0)) for t in block.terms)), np.int64, len(block.terms))
+                have = np.r_[have, np.iinfo(np.int64).max]  # of the padding
+                present = np.flatnonzero((have > 0)[block.phrases].all(axis=1))
                 first = seg.starts(size)
-                hit = np.zeros(int(seg.sizes.sum() + size * len(seg.sizes)) + 1, np.int32)
-                items: list[set[str]] = [set() for _ in seg.docs]
-                for terms, n, ids in shared.value:
-                    at = seg.phrase(terms)
+                spans: dict[int, list] = {}
+                items: dict[int, set[str]] = {}
+                for p in present.tolist():
+                    terms, n = block.phrases[p], int(block.length[p])
+                    order = np.argsort(have[terms], kind="stable")[:n].tolist()
+                    at = seg.phrase([(o, block.terms[terms[o]]) for o in order])
                     if len(at):
-                        np.add.at(hit, at, 1)
-                        np.add.at(hit, at + n, -1)
-                        for d in np.unique(np.searchsorted(first, at, side="right") - 1).tolist():
-                            items[d].update(ids)
-                covered = np.r_[0, np.cumsum(np.cumsum(hit) > 0)]
-                n_hit = covered[first + seg.sizes] - covered[first] if len(first) else first
-                ids = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-                rows = [f"{row['segment']}-{i}" if spans else None for i in range(len(seg.docs))]  # the same in every block
-                columns = [pa.array(seg.docs, pa.int64()), pa.array(seg.sizes), pa.array(n_hit.astype(np.int64)), ids, pa.array(rows, pa.string())]
+                        doc = np.searchsorted(first, at, side="right") - 1
+                        for d, a in zip(doc.tolist(), (at - first[doc]).tolist(), strict=True):
+                            spans.setdefault(d, []).append((a, a + n))
+                            items.setdefault(d, set()).update(block.items_of(p))
                 if spans:
-                    on = np.cumsum(hit) > 0
-                    columns.append(pa.array([np.flatnonzero(on[f : f + s]).tolist() for f, s in zip(first.tolist(), seg.sizes.tolist(), strict=True)], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "item_ids", "row", "places"][: len(columns)])
+                    docs = sorted(spans)
+                    rows = {"segment": [row["segment"]] * len(docs), "at": docs, "spans": [[{"a": a, "b": b} for a, b in _merged(spans[d])] for d in docs], "item_ids": [sorted(items[d]) for d in docs]}
+                    yield pa.RecordBatch.from_pydict(rows, schema=kinds)
+
+    return index.mapInArrow(run, "segment string, at int, spans array<struct<a:long,b:long>>, item_ids array<string>")
 
-    return index.mapInArrow(run, schema)
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans (first, last + 1) that touch or overlap, as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def report(found: DataFrame) -> DataFrame:
