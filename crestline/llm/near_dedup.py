@@ -10,7 +10,13 @@ recall needs at the deepest level for it, and the bound of sketches follows from
 
 Hot groups: equal sets are collapsed before anything is paired; a node that stays large at the
 deepest level is one block without comparison; a block too large for a task is compared node by
-node, and a node too large for a task by pairs of its parts. No pair is dropped for size.
+node. Of a node too large for a task all members are first compared with one pivot; those
+confirmed need no comparison with each other, and the rest meets every member by pairs of parts.
+No pair is dropped for size.
+
+Sets are made from texts twice: for sketches, and in full for the representatives in blocks. The
+second pass skips texts by a bitmap of wanted ids, so that no text is shuffled; null and
+repeated ids only make it read more of them.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 
 from crestline.llm.common import durable
 
+#: Bits of the bitmap of wanted ids for each of them, and the most it may have (128 MB, which the driver holds and sends to each worker).
+ID_BITS, MOST_BITS = 16, 1 << 30
 SHINGLE, LEVELS, COORDINATES = 5, 3, 64
 #: Links have 100 * intersection >= percent * union; this is the percent of the query op6.
 PERCENT = 85
@@ -123,9 +131,9 @@ def signature(items: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def describe(docs: DataFrame, n_trees: int) -> DataFrame:
-    """(row, doc_id, n, s1, s2, tokens, sketch): a row number, the set's size and signature, tree tokens and sketch."""
-    schema = "row long, doc_id long, n long, s1 long, s2 long, tokens array<long>, sketch binary"
+def describe(docs: DataFrame, n_trees: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, n, s1, s2, tokens, sketch, keys...): a row number, the set's size and signature, tree tokens, sketch, and long columns of docs as they are."""
+    schema = "row long, doc_id long, n long, s1 long, s2 long, tokens array<long>, sketch binary" + "".join(f", `{k}` long" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -143,9 +151,10 @@ def describe(docs: DataFrame, n_trees: int) -> DataFrame:
                 row += 1
             kinds = {"row": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "tokens": pa.list_(pa.int64()), "sketch": pa.binary()}
             columns = {k: pa.array(v, kinds[k]) for k, v in out.items()}
-            yield pa.RecordBatch.from_arrays([columns["row"], b.column("doc_id"), *[columns[k] for k in ("n", "s1", "s2", "tokens", "sketch")]], names=["row", "doc_id", "n", "s1", "s2", "tokens", "sketch"])
+            made = [columns["row"], b.column("doc_id"), *[columns[k] for k in ("n", "s1", "s2", "tokens", "sketch")], *[b.column(k) for k in keys]]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "n", "s1", "s2", "tokens", "sketch", *keys])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(run, schema)
 
 
 def nodes(sets: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
@@ -232,13 +241,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _roots(rows: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _roots(rows: list[int], sets: list[np.ndarray], percent: int, seek: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Confirmed components of some sets: each distinct row and the least row it is linked to.
 
-    Inverted lists give a set's intersection with all others at once.
+    Inverted lists give a set's intersection with all others at once. With `seek` only links of rows marked so are sought.
     """
     rows_, first = np.unique(np.array(rows, np.int64), return_index=True)
     sets = [sets[i] for i in first]
+    sought = set(range(len(sets))) if seek is None else set(np.flatnonzero(np.isin(rows_, np.array(rows, np.int64)[np.array(seek, bool)])).tolist())
     size = np.array([len(s) for s in sets])
     parent = list(range(len(sets)))
 
@@ -255,6 +265,8 @@ def _roots(rows: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.nd
     bounds = np.flatnonzero(np.r_[True, items[1:] != items[:-1], True]) if len(items) else np.zeros(1, np.int64)
     distinct = items[bounds[:-1]]
     for i, s in enumerate(sets):
+        if i not in sought:
+            continue
         at = np.searchsorted(distinct, s)
         start, length = bounds[at], bounds[at + 1] - bounds[at]
         shared = length > 1
@@ -264,7 +276,7 @@ def _roots(rows: list[int], sets: list[np.ndarray], percent: int) -> tuple[np.nd
         ends = np.cumsum(length)
         common = np.bincount(owner[np.arange(ends[-1]) + np.repeat(start - (ends - length), length)], minlength=len(sets))
         for j in np.flatnonzero(100 * common >= percent * (size + size[i] - common)).tolist():
-            if j > i and (p := find(i)) != (q := find(j)):
+            if j != i and (p := find(i)) != (q := find(j)):
                 parent[max(p, q)] = min(p, q)
     return rows_, rows_[[find(i) for i in range(len(sets))]] if len(sets) else rows_
 
@@ -278,35 +290,55 @@ def _confirm(percent: int):
     return run
 
 
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of a doc_id in ids, by blocks of 32,768 bits that the executors build."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    blocks = ids.select(F.floor(at / F.lit(32_768)).cast("int").alias("block"), (at % 32_768).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        part = np.frombuffer(r.held, np.uint8)[: len(out) - r.block * 4096]
+        out[r.block * 4096 : r.block * 4096 + len(part)] = part
+    return out
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, items) for the representatives in wanted (row, doc_id, s1, s2), recomputed from their texts."""
+    """(row, items) for the representatives in wanted (row, doc_id, s1, s2), recomputed from their texts.
+
+    Texts are read where they are, and skipped by a bitmap of the wanted ids (of MOST_BITS at most: with more ids
+    more texts are made into sets, none is missed). Sets meet their rows on the signature, once each, so that
+    null and repeated ids cost a pass over their texts and nothing more.
+    """
+    bits = min(MOST_BITS, max(32_768, 1 << math.ceil(math.log2(1 + ID_BITS * wanted.count()))))
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("doc_id"), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, seen = held.value, set()
         for b in batches:
-            rows, sets = [], []
-            for row, s1, s2, text in zip(*(b.column(c).to_pylist() for c in ("row", "s1", "s2", "text")), strict=True):
-                items = shingles(text)
-                if signature(items) == (s1, s2):  # a doc_id can have several texts
-                    rows.append(row)
+            at = b.column(0).to_numpy()
+            marks, sets = [], []
+            for i in np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                items = shingles(b.column(1)[i].as_py())
+                mark = signature(items)
+                if len(items) and mark not in seen:
+                    seen.add(mark)
+                    marks.append(mark)
                     sets.append(items.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["row", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(sets, pa.binary())], names=["s1", "s2", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    same = texts.join(wanted.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
-    return same.select("row", "s1", "s2", "text").mapInArrow(run, "row long, items binary")
+    texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("at"), "text").where("text IS NOT NULL")
+    made = texts.mapInArrow(run, "s1 long, s2 long, items binary")
+    return made.join(wanted.select("row", "s1", "s2"), ["s1", "s2"]).groupBy("row").agg(F.first("items").alias("items"))
 
 
-def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept. Links are of a Jaccard similarity from percent on.
+def near_groups(docs: DataFrame, percent: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, group, keys...) of each row of docs: its set's size and a number that the rows of its component share.
 
-    Documents without words are linked with nothing; null doc_ids count only where a component has no
-    other id; repeated rows come out as often and are all kept or all not. Other columns are not read.
+    Documents without words have no group. `keys` are long columns of docs that come along.
     """
     edge = "a long, b long"
     n_trees = trees(percent)
-    sets = durable(describe(docs, n_trees))
-    groups = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
-    groups = durable(groups)
+    sets = durable(describe(docs, n_trees, keys))
+    groups = durable(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep")))
     reps = sets.join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
     small, large = nodes(reps.select("row", "tokens"), n_trees)
     members = small.join(reps.select("row", "sketch", "n"), "row").select("node", "row", "sketch", "n")
@@ -326,20 +358,77 @@ def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     if not hard.isEmpty():
         roots = roots.unionByName(components(_node_links(small.unionByName(large), hard, items, percent)))
     roots = durable(roots)
+    named = groups.join(roots.withColumnRenamed("row", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("group"))
+    return sets.select("doc_id", "n", "s1", "s2", *keys).join(named, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"), *keys)
+
+
+def near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Links are of a Jaccard similarity from percent on.
 
-    named = groups.join(roots.withColumnRenamed("row", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = named.join(least, "root").select("s1", "s2", "component_id", F.lit(True).alias("found"))
-    out = sets.select("doc_id", "n", "s1", "s2").join(of_set, ["s1", "s2"], "left")
-    component = F.when(F.col("found") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
+    Documents without words are linked with nothing; null doc_ids count only where a component has no
+    other id; repeated rows come out as often and are all kept or all not. Other columns are not read.
+    """
+    found = durable(near_groups(docs, percent))
+    least = found.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "group", "left")
+    component = F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _pivot_links(percent: int):
+    """Of each task, whose first row is the pivot, the members that are linked to it: (node, row, pivot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = pivot = own = None
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for task, first, node, row, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                items = np.frombuffer(data, np.uint64)
+                if task != now:
+                    now, pivot, own = task, row, items
+                    continue
+                common = np.isin(items, own, assume_unique=True).sum()
+                if row != pivot and 100 * common >= percent * (len(items) + len(own) - common):
+                    for column, value in zip(out, (node, row, pivot), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["node", "row", "pivot"])
+
+    return run
+
+
+def _sought(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, rows, sets, seek) in _grouped(batches):
+            a, b = _roots(rows, [np.frombuffer(s, np.uint64) for s in sets], percent, seek)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
 def _node_links(memberships: DataFrame, hard: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of the rows in blocks too large for a task, from their nodes; large nodes by pairs of parts."""
+    """Confirmed links (a, b) of the rows in blocks too large for a task, from their nodes.
+
+    A node is cut into parts that fit a task. All members are compared with the node's pivot, its least row, part by
+    part; those that are linked to it are one class. What is left is compared with every member: its parts
+    meet all parts. So a group of near copies of one text costs one comparison a member.
+    """
     held = durable(memberships.join(hard, "row"))
-    parts = held.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / (PART / 2)), F.ceil(F.sum("n") / (PART_SHINGLES / 2))).cast("int").alias("parts"))
-    dealt = held.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    pair = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) AS i, greatest(p, part) AS j))")
-    pairs = dealt.withColumn("pair", F.explode(pair)).where("parts <= 1 OR pair.i < pair.j").select(F.xxhash64("node", "pair.i", "pair.j").alias("task"), "row")
-    return pairs.join(items, "row").select("task", "row", "items").repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "a long, b long")
+    n_parts = lambda: F.greatest(F.ceil(F.count("*") / (PART / 2)), F.ceil(F.sum("n") / (PART_SHINGLES / 2))).cast("int")
+    parts = held.groupBy("node").agg(n_parts().alias("parts"), F.min("row").alias("pivot"))
+    dealt = durable(held.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).select("node", "row", "n", "parts", "part", "pivot"))
+    with_items = dealt.join(items, "row")
+    first = with_items.where("row = pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = first.withColumn("at", F.lit(0)).unionByName(with_items.where("row <> pivot").withColumn("at", F.lit(1))).withColumn("task", F.xxhash64("node", "part"))
+    near = tasks.repartition("task").sortWithinPartitions("task", "at").select("task", "at", "node", "row", "items").mapInArrow(_pivot_links(percent), "node long, row long, pivot long")
+    near = durable(near)
+    links = near.select(F.col("row").alias("a"), F.col("pivot").alias("b"))
+    rest = dealt.where("row <> pivot").join(near.select("node", "row"), ["node", "row"], "left_anti")
+    if rest.isEmpty():
+        return links
+    cut = rest.groupBy("node").agg(n_parts().alias("cuts"))
+    rest = rest.join(cut, "node").withColumn("cut", F.pmod(F.xxhash64("row", F.lit(1)), F.col("cuts")).cast("int"))
+    seeking = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", "part", "cut", "row", F.lit(True).alias("seek"))
+    met = dealt.join(cut, "node").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("node", "part", "cut", "row", F.lit(False).alias("seek"))
+    pairs = seeking.unionByName(met).select(F.xxhash64("node", "part", "cut").alias("task"), "row", "seek")
+    compared = pairs.join(items, "row").select("task", "row", "items", "seek").repartition("task").sortWithinPartitions("task").mapInArrow(_sought(percent), "a long, b long")
+    return links.unionByName(compared)
