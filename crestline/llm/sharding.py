@@ -1,9 +1,10 @@
 """Best-fit-decreasing packing of indivisible groups into fixed-capacity shards.
 
 One packing of all groups would be one task, so it runs twice. First each bay (a hash share of
-the groups) packs its groups, largest first, into crates: a group enters the crate with the
-tightest remaining capacity that holds it, found in a balanced tree. Then the crates, whose
-number is bounded by parameters and not by the data, are packed the same way into shards.
+the groups, about BAY_GROUPS of them) packs its groups, largest first, into crates: a group enters the
+crate with the tightest remaining capacity that holds it, found in a balanced tree. Then crates are
+packed the same way: into a number of shards all of them (some CRATES and more for a shard, and one
+and more for a bay), into shards of a capacity only what bays left less than half full.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 
 from crestline.llm.common import durable
 
-#: Crates for each shard, bays at most, groups and rows that one task should pack or number.
-CRATES, BAYS, BAY_GROUPS, BLOCK_ROWS = 256, 4096, 50_000, 50_000
+#: Crates for each shard, groups and rows that one task should pack or number.
+CRATES, BAY_GROUPS, BLOCK_ROWS = 256, 50_000, 50_000
 
 
 class BinTree:
@@ -147,21 +148,20 @@ def shard_groups(rows: DataFrame, group: list[str], size: str, shards: int | Non
     no rows. `rows` is read more than once: pass a written or checkpointed table.
     """
     spark = rows.sparkSession
-    groups = rows.groupBy(*group).agg(F.sum(size).alias("__bytes"))
-    total, n = groups.agg(F.coalesce(F.sum("__bytes"), F.lit(0)), F.count("*")).first()
-    if shards is None and not capacity:
+    groups = rows.groupBy(*group).agg(F.sum(size).alias("__bytes"), F.count("*").alias("__rows"))
+    total, n, n_rows = groups.agg(F.coalesce(F.sum("__bytes"), F.lit(0)), F.count("*"), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+    if (shards is None) == (not capacity):
         raise ValueError("either shards or capacity is needed")
-    expected = shards or max(1, -(-total // capacity))
-    crate = max(1, (capacity or -(-total // expected)) // CRATES)
-    bays = max(1, min(BAYS, -(-n // BAY_GROUPS)))
+    crate = max(1, -(-total // shards) // CRATES) if shards else capacity
+    bays = max(1, -(-n // BAY_GROUPS))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.select(*group).schema)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        """One bay's groups into crates; the smallest groups, of about two crates together, into small ones that even out shards."""
+        """One bay's groups into crates; for even shards the smallest groups, of about two crates together, into small ones."""
         frame = frame.sort_values(["__bytes", *group], ascending=[False, *[True] * len(group)], kind="stable").reset_index(drop=True)
         sizes = frame["__bytes"].to_numpy()
         after = sizes[::-1].cumsum()[::-1]
-        head = int(np.searchsorted(-after, -2 * crate)) if len(sizes) else 0
+        head = len(sizes) if capacity else int(np.searchsorted(-after, -2 * crate)) if len(sizes) else 0
         big = best_fit_decreasing(sizes[:head].tolist(), crate)
         small = best_fit_decreasing(sizes[head:].tolist(), max(1, crate // 32))
         first = max(big, default=-1) + 1
@@ -171,22 +171,52 @@ def shard_groups(rows: DataFrame, group: list[str], size: str, shards: int | Non
     packed = durable(
         groups.withColumn("__bay", F.pmod(F.xxhash64(*group), F.lit(bays)).cast("int"))
         .groupBy("__bay")
-        .applyInPandas(pack, f"{kinds}, __bytes long, __bay int, __crate long")
+        .applyInPandas(pack, f"{kinds}, __bytes long, __rows long, __bay int, __crate long")
     )
-    crates = packed.groupBy("__bay", "__crate").agg(F.sum("__bytes").alias("b")).orderBy(F.desc("b"), "__bay", "__crate").collect()
-    sizes = [r.b for r in crates]
-    places = pack_into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    where = spark.createDataFrame([(r["__bay"], r["__crate"], p) for r, p in zip(crates, places, strict=True)], "__bay int, __crate long, shard int")
-    placed = packed.join(F.broadcast(where), ["__bay", "__crate"])  # of bounded size
-    # groups of over a crate are few (their sizes add up to the total) and may be hot: they need no shuffle
-    large = placed.where(F.col("__bytes") > crate).select(*group, F.col("shard").alias("__large"))
-    small = placed.where(F.col("__bytes") <= crate).select(*group, "shard")
+    crates = packed.groupBy("__bay", "__crate").agg(F.sum("__bytes").alias("b"))
+    if shards:
+        listed = crates.orderBy(F.desc("b"), "__bay", "__crate").collect()
+        places = pack_into([r.b for r in listed], shards)
+        where = spark.createDataFrame([(r["__bay"], r["__crate"], p) for r, p in zip(listed, places, strict=True)], "__bay int, __crate long, shard int")
+        placed = packed.join(F.broadcast(where), ["__bay", "__crate"])  # CRATES and more for a shard, one and more for a bay
+    else:
+        placed = packed.join(_capacity_shards(crates, capacity), ["__bay", "__crate"])
+    # groups with a good share of a shard's bytes or rows are few and may be hot: they need no shuffle
+    heavy = (F.col("__bytes") * F.lit(HOT) > total) | (F.col("__rows") * F.lit(HOT) > n_rows)
+    large = placed.where(heavy).select(*group, F.col("shard").alias("__large"))
+    small = placed.where(~heavy).select(*group, "shard")
     known = rows.join(F.broadcast(large), group, "left")
     hot = known.where(F.col("__large").isNotNull()).withColumnRenamed("__large", "shard")
     cold = known.where(F.col("__large").isNull()).drop("__large").join(small, group)
     return hot.select(*rows.columns, "shard").unionByName(cold.select(*rows.columns, "shard"))
 
 
+#: A group with more than this part of all bytes or rows is joined by broadcast: at most twice as many groups.
+HOT = 4096
+
+
+def _capacity_shards(crates: DataFrame, capacity: int) -> DataFrame:
+    """(__bay, __crate, shard) of crates (__bay, __crate, b) that are shards of the capacity.
+
+    Crates at least half full are numbered where they are, by bay; of the others a bay has one or so (any two
+    would have gone into one), and they are packed together in the driver.
+    """
+    spark = crates.sparkSession
+    crates = durable(crates)
+    full = F.col("b") * 2 > capacity
+    before, bases = 0, []
+    for r in crates.where(full).groupBy("__bay").agg(F.count("*").alias("n")).orderBy("__bay").collect():
+        bases.append((r["__bay"], before))
+        before += r.n
+    first = F.broadcast(spark.createDataFrame(bases, "__bay int, __base long"))  # a row for each bay
+    at = F.row_number().over(Window.partitionBy("__bay").orderBy("__crate")) - 1
+    numbered = crates.where(full).withColumn("__at", at).join(first, "__bay").select("__bay", "__crate", (F.col("__base") + F.col("__at")).cast("int").alias("shard"))
+    left = crates.where(~full).orderBy(F.desc("b"), "__bay", "__crate").collect()
+    places = best_fit_decreasing([r.b for r in left], capacity)
+    merged = spark.createDataFrame([(r["__bay"], r["__crate"], before + p) for r, p in zip(left, places, strict=True)], "__bay int, __crate long, shard int")
+    return numbered.unionByName(merged)
+
+
 def number_slots(rows: DataFrame, order: list[str], n: int, shards: int, out: str = "slot") -> DataFrame:
     """Add the place of each row in its `shard`, from 0 without gaps, by (hash block, order).
 
@@ -209,5 +239,5 @@ def shard_texts(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = durable(docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__text")))
     placed = durable(shard_groups(rows, ["__text", "text_crc32", "size"], "size", shards=shards))
-    numbered = number_slots(placed, ["doc_id", "text_crc32", "size"], placed.count(), shards)
+    numbered = number_slots(placed, ["doc_id", "text_crc32", "size"], rows.count(), shards)
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
