@@ -11,11 +11,15 @@ that travels in blocks of bounded size, and the hits of all blocks are united by
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,37 +30,37 @@ from crestline.llm.common import durable
 WINDOW, SEGMENT_WORDS = 10, 400_000
 #: Windows and bytes of their words that one block has about: what the driver and each worker hold at a time.
 BLOCK_WINDOWS, BLOCK_BYTES = 200_000, 32_000_000
-#: A word: letters a-z, digits and all that is not ASCII, after lower-casing A-Z.
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: A word: letters a-z, digits and all that is not ASCII, after lower-casing A-Z; read in UTF-8, whose other bytes are all over 0x7F.
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 SEGMENT = "segment string, doc_ids array<long>, n_words array<long>, term_sizes array<int>, terms array<string>, positions binary"
 _SEGMENT = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("term_sizes", pa.list_(pa.int32())), ("terms", pa.list_(pa.string())), ("positions", pa.binary())])
 
 
+def _encoded_words(text: str | None) -> list[bytes]:
+    return _WORD.findall(text.encode().lower()) if text else []  # lower() of bytes changes A-Z only
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(_LOWER)) if text else []
+    return [w.decode() for w in _encoded_words(text)]
 
 
 class _Segment:
     """Documents being indexed: positions of the wanted terms, documents WINDOW apart from each other."""
 
-    def __init__(self, wanted: dict[str, int] | None, gap: int):
+    def __init__(self, wanted: dict[bytes, int] | None, gap: int):
         self.wanted, self.gap = wanted, gap
         self.clear()
 
     def clear(self) -> None:
         self.docs, self.sizes, self.at = [], [], 0
         self.ids, self.places = [], []
-        self.own: dict[str, int] = {} if self.wanted is None else self.wanted
+        self.own: dict[bytes, int] = defaultdict(itertools.count().__next__) if self.wanted is None else self.wanted
 
     def add(self, doc, text) -> None:
-        words = words_of(text)
-        if self.wanted is None:
-            ids = np.fromiter((self.own.setdefault(w, len(self.own)) for w in words), np.int32, len(words))
-        else:
-            get = self.own.get
-            ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        words = _encoded_words(text)
+        number = self.own.__getitem__ if self.wanted is None else functools.partial(_number, self.own)
+        ids = np.fromiter(map(number, words), np.int32, len(words))
         places = np.flatnonzero(ids >= 0)
         self.ids.append(ids[places])
         self.places.append((places + self.at).astype(np.int64))
@@ -74,8 +78,14 @@ class _Segment:
         step = np.diff(places, prepend=0)
         step[np.cumsum(size) - size] = places[np.cumsum(size) - size]
         segment = f"{TaskContext.get().partitionId()}-{number}"
-        row = {"segment": [segment], "doc_ids": [self.docs], "n_words": [self.sizes], "term_sizes": [size.tolist()], "terms": [[names[i] for i in present.tolist()]], "positions": [pack(step)]}
-        return pa.RecordBatch.from_pydict(row, schema=_SEGMENT)
+        terms = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(present))
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        columns = [pa.array([segment]), one(pa.array(self.docs, pa.int64())), one(pa.array(self.sizes, pa.int64())), one(pa.array(size, pa.int32())), one(terms), pa.array([pack(step)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=_SEGMENT)
+
+
+def _number(own: dict[bytes, int], word: bytes) -> int:
+    return own.get(word, -1)
 
 
 def pack(steps: np.ndarray) -> bytes:
@@ -99,7 +109,7 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, gap: int = WIND
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = _Segment(None if terms is None else {t: i for i, t in enumerate(terms)}, gap), 0
+        held, number = _Segment(None if terms is None else {t.encode(): i for i, t in enumerate(terms)}, gap), 0
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.add(doc, t)
@@ -114,34 +124,39 @@ def build_index(docs: DataFrame, terms: list[str] | None = None, gap: int = WIND
 
 
 class Postings:
-    """One segment opened for reading."""
+    """One segment opened for reading: a row of the index, with lists or Arrow arrays in it."""
 
     def __init__(self, row: dict):
-        self.docs, self.sizes = row["doc_ids"], np.array(row["n_words"], np.int64)
-        size = np.array(row["term_sizes"], np.int64)
+        self.docs, self.sizes = row["doc_ids"], np.asarray(row["n_words"], np.int64)
+        self.terms, self.size = row["terms"], np.asarray(row["term_sizes"], np.int64)
         steps = unpack(row["positions"])
-        ends = np.cumsum(size)
+        self.ends = np.cumsum(self.size)
         total = np.cumsum(steps)
-        before = np.r_[0, total][ends - size] if len(size) else size
-        self.places = total - np.repeat(before, size)
-        self.range = {t: (e - s, e) for t, s, e in zip(row["terms"], size.tolist(), ends.tolist(), strict=True)}
+        before = np.r_[0, total][self.ends - self.size] if len(self.size) else self.size
+        self.places = total - np.repeat(before, self.size)
+
+    @functools.cached_property
+    def range(self) -> dict[str, int]:
+        """The number of each term."""
+        return {t: i for i, t in enumerate(self.terms.to_pylist() if isinstance(self.terms, pa.Array) else self.terms)}
+
+    def numbered(self, i: int) -> np.ndarray:
+        return self.places[self.ends[i] - self.size[i] : self.ends[i]]
 
     def of(self, term: str) -> np.ndarray:
-        a, b = self.range.get(term, (0, 0))
-        return self.places[a:b]
+        i = self.range.get(term, -1)
+        return self.numbered(i) if i >= 0 else self.places[:0]
 
     def starts(self, gap: int) -> np.ndarray:
         return np.cumsum(self.sizes + gap) - (self.sizes + gap)
 
-    def phrase(self, terms: list[tuple[int, str]]) -> np.ndarray:
-        """Where a phrase begins, given (offset, term) from the rarest term on: lists shifted by their offsets, intersected."""
-        if any(t not in self.range for _, t in terms):
-            return np.zeros(0, np.int64)
-        found = self.of(terms[0][1]) - terms[0][0]
+    def phrase(self, terms: list[tuple[int, int]]) -> np.ndarray:
+        """Where a phrase begins, given (offset, number of a term) from the rarest term on: lists shifted by their offsets, intersected."""
+        found = self.numbered(terms[0][1]) - terms[0][0]
         for offset, term in terms[1:]:
             if not len(found):
                 break
-            shifted = self.of(term)
+            shifted = self.numbered(term)
             at = np.searchsorted(shifted, found + offset)
             at[at == len(shifted)] = len(shifted) - 1
             found = found[shifted[at] == found + offset]
@@ -183,6 +198,13 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return named.mapInArrow(run, "words array<string>, item string").groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of the index in a batch, with their lists as Arrow arrays."""
+    for i in range(batch.num_rows):
+        row = {c: batch.column(c)[i] for c in batch.schema.names}
+        yield {c: v.values if isinstance(v, pa.ListScalar) else v.as_py() for c, v in row.items()}
+
+
 class _Block:
     """Phrases as one matrix of term numbers, rows padded with the number after the last term."""
 
@@ -240,10 +262,12 @@ def _search(index: DataFrame, block: _Block, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
+        asked = pa.array(block.terms, pa.string())
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 seg = Postings(row)
-                have = np.fromiter((e - s for s, e in (seg.range.get(t, (0, 0)) for t in block.terms)), np.int64, len(block.terms))
+                number = pc.fill_null(pc.index_in(asked, value_set=seg.terms), -1).to_numpy()
+                have = np.where(number >= 0, np.r_[seg.size, 0][number], 0)
                 have = np.r_[have, np.iinfo(np.int64).max]  # of the padding
                 present = np.flatnonzero((have > 0)[block.phrases].all(axis=1))
                 first = seg.starts(size)
@@ -252,7 +276,7 @@ def _search(index: DataFrame, block: _Block, size: int) -> DataFrame:
                 for p in present.tolist():
                     terms, n = block.phrases[p], int(block.length[p])
                     order = np.argsort(have[terms], kind="stable")[:n].tolist()
-                    at = seg.phrase([(o, block.terms[terms[o]]) for o in order])
+                    at = seg.phrase([(o, number[terms[o]]) for o in order])
                     if len(at):
                         doc = np.searchsorted(first, at, side="right") - 1
                         for d, a in zip(doc.tolist(), (at - first[doc]).tolist(), strict=True):
