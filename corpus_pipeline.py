@@ -6,7 +6,7 @@ and read again as the next one's documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.llm import common, decontamination, near_dedup, piece_codec, toxicity
@@ -19,39 +19,67 @@ NEAR = 80
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column that names each row: doc_id where it does, else a checkpointed row number."""
-    if docs.groupBy("doc_id").count().where("`count` > 1 OR doc_id IS NULL").isEmpty():
-        return docs, "doc_id"
-    return common.durable(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+def _free(docs: DataFrame, name: str) -> str:
+    """The name with as many underscores after it as docs' own columns ask for."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _without(docs: DataFrame, key: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), F.col(key) == F.col("__gone"), "left_anti").select(*columns)
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits that name a row by its doc_id and text; rows equal in both share them."""
+    return F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under TOXIC; the model is learned from the labels that are not held out."""
+    """Documents whose score is under TOXIC; the model is learned from the labels that are not held out.
+
+    Null, empty and blank texts score like a text without any match and stay; equal texts are judged alike,
+    whatever their doc_ids; whole texts are read. Without labels of both kinds the seed words decide.
+    """
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="__score").where(F.col("__score") < TOXIC).select(*docs.columns)
+    score = _free(docs, "__score")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component at NEAR percent: the one with the least doc_id."""
-    keyed, key = _keyed(docs)
-    found = near_dedup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR)
-    return _without(keyed, key, found.where("NOT kept"), docs.columns)
+    """One document of each near-duplicate component at NEAR percent: the one with the least doc_id, nulls last.
+
+    Of several texts with that doc_id the least by hash stays, of rows equal in doc_id and text one of them, so that a
+    component always leaves one row. Null, empty and blank texts are in no component and all stay. Other
+    columns come along and may have any name.
+    """
+    one, two = _keys(docs)
+    keyed = docs.select("doc_id", "text", one.alias("__one"), two.alias("__two"))
+    found = common.durable(near_dedup.near_groups(keyed, NEAR, ("__one", "__two")).where("group IS NOT NULL").drop("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__one", "__two")
+    best = found.groupBy("group").agg(F.min(order).alias("best"))
+    judged = found.groupBy("group", "__one", "__two").agg(F.count("*").alias("rows")).join(best, "group")
+    judged = common.durable(judged.select("__one", "__two", "rows", ((F.col("best.__one") == F.col("__one")) & (F.col("best.__two") == F.col("__two"))).alias("stays")))
+    here = lambda keys: (one == keys["__one"]) & (two == keys["__two"])
+    gone, again = judged.where("NOT stays OR rows > 1"), judged.where("stays AND rows > 1")
+    whole = docs.join(gone, here(gone), "left_anti")
+    # of rows that are equal in doc_id and text, one
+    a, b = _free(docs, "__one"), _free(docs, "__two")
+    doubled = docs.join(again, here(again), "left_semi").withColumn(a, one).withColumn(b, two).dropDuplicates([a, b])
+    return whole.select(*docs.columns).unionByName(doubled.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    keyed, key = _keyed(docs)
-    found = decontamination.matches(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(keyed, key, found.where("n_hit > 0"), docs.columns)
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts, and all texts where the benchmark is empty, have none and stay. Rows are named by a hash of
+    doc_id and text: null and repeated doc_ids, repeated rows and columns of any name are as good as others.
+    """
+    one, _ = _keys(docs)
+    found = decontamination.matches(docs.select(one.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where("n_hit > 0").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, one == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded text of what is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left: a row for each row, null texts as empty ones, whatever other columns there are."""
     return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
