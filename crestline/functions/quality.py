@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crestline.functions.rasters import stencil
+
 
 @dataclass(frozen=True)
 class Caps:
@@ -22,33 +24,13 @@ class Caps:
     weights: tuple[float, float, float, float] = (0.4, 0.2, 0.2, 0.2)
 
 
-def _mirror(k: Column, n: int) -> Column:
-    if n == 1:
-        return F.lit(0)
-    return F.when(k < 0, -k).when(k >= n, 2 * n - 2 - k).otherwise(k)
-
-
-def _stencil(v: Column, width: int, height: int, taps: list[tuple[int, int, float]]) -> Column:
-    """Per pixel the weighted sum of neighbours (dx, dy, weight)."""
-
-    def at(i: Column) -> Column:
-        y, x = F.floor(i / width), i % width
-        total = None
-        for dx, dy, w in taps:
-            cell = F.get(v, (_mirror(y + dy, height) * width + _mirror(x + dx, width)).cast("int")) * w
-            total = cell if total is None else total + cell
-        return total
-
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), at)
-
-
 def laplacian(v: Column, width: int, height: int) -> Column:
-    return _stencil(v, width, height, [(0, -1, 1.0), (-1, 0, 1.0), (1, 0, 1.0), (0, 1, 1.0), (0, 0, -4.0)])
+    return stencil(v, width, height, [(0, -1, 1.0), (-1, 0, 1.0), (1, 0, 1.0), (0, 1, 1.0), (0, 0, -4.0)])
 
 
 def sobel(v: Column, width: int, height: int) -> tuple[Column, Column]:
     across = [(s, d, float(s * (2 if d == 0 else 1))) for s in (-1, 1) for d in (-1, 0, 1)]
-    return _stencil(v, width, height, across), _stencil(v, width, height, [(d, s, w) for s, d, w in across])
+    return stencil(v, width, height, across), stencil(v, width, height, [(d, s, w) for s, d, w in across])
 
 
 def mean(v: Column) -> Column:
@@ -99,6 +81,11 @@ def sharpness_band(variance_: Column) -> Column:
     return F.when(variance_ > 1000, "median_7").when(variance_ > 500, "median_5").when(variance_ < 50, "sharpen_15").when(variance_ < 100, "sharpen_9").otherwise("none")
 
 
+def region_means(planes: list[Column], width: int, height: int, x1: int, x2: int, y2: int, rows: int = 100) -> list[Column]:
+    """region_mean() of each channel."""
+    return [region_mean(p, width, height, x1, x2, y2, rows) for p in planes]
+
+
 def region_mean(v: Column, width: int, height: int, x1: int, x2: int, y2: int, rows: int = 100) -> Column:
     """Mean of the region under a box: rows y2 to y2 + rows, columns x1 to x2, clamped to the frame; null if that is empty."""
     last = min(y2 + rows, height)

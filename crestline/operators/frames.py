@@ -22,6 +22,17 @@ def interval(fps: Column, target_fps: float) -> Column:
     return F.when(step >= 1, step).otherwise(F.raise_error(F.lit("fps is below the target rate: no frame interval")).cast("int"))
 
 
+def videos(frames: DataFrame, video: str, fps: Column, target_fps: float) -> DataFrame:
+    """video, fps, frame_count, frame_interval of each video; `fps` is the same for all frames of one."""
+    counted = frames.groupBy(video).agg(F.max(fps).cast("double").alias("fps"), F.count("*").alias("frame_count"))
+    return counted.withColumn("frame_interval", interval(F.col("fps"), target_fps))
+
+
+def with_pixels(selected: DataFrame, frames: DataFrame, keys: list[str], pixels: str) -> DataFrame:
+    """Selected frames with their pixels joined back; only narrow rows were selected on, and of the pixels those of kept frames are all that is left."""
+    return selected.join(frames.select(*keys, pixels), keys)
+
+
 def sample(frames: DataFrame, every: Column, src: str = "src_frame_no") -> DataFrame:
     """Every so many frames of each video."""
     return frames.where(F.col(src) % every == 0)
