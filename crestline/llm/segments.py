@@ -97,6 +97,15 @@ class Lookup:
         order = np.argsort(key, kind="stable")
         self.key, self.start, self.length, self.ids = key[order], start[order], length[order], ids
 
+    def _add(self, key, start, length, ids):
+        """The new keys go to their places among the sorted ones: one pass, no sort of what is there."""
+        order = np.argsort(key, kind="stable")
+        at = np.searchsorted(self.key, key[order])
+        self.start = np.insert(self.start, at, (start + len(self.ids))[order])
+        self.length = np.insert(self.length, at, length[order])
+        self.key = np.insert(self.key, at, key[order])
+        self.ids = np.r_[self.ids, ids].astype(np.int32)
+
     def __call__(self, key, codes, starts, lengths):
         """Rows of start and length (into self.ids) for distinct units."""
         at = np.searchsorted(self.key, key)
@@ -111,7 +120,7 @@ class Lookup:
                 o_ids = gather(self.ids, self.start[at[old]], o_len)
                 self._set(np.r_[key[old], key[new]], np.r_[np.cumsum(o_len) - o_len, begin + len(o_ids)], np.r_[o_len, counts], np.r_[o_ids, ids].astype(np.int32))
             else:
-                self._set(np.r_[self.key, key[new]], np.r_[self.start, begin + len(self.ids)], np.r_[self.length, counts], np.r_[self.ids, ids].astype(np.int32))
+                self._add(key[new], begin, counts, ids)
             at = np.searchsorted(self.key, key)
         return self.start[at], self.length[at]
 

@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
-Offline, every string of the vocabulary is merged from its bytes; those that end as one token
-are proven whole. A pre-token that equals one counts 1 at once; only the rest are merged, each
+Offline, once in the driver, every string of the vocabulary is merged from its bytes; those that end as
+one token are proven whole, and their sorted keys (8 bytes a token) go to the workers. A pre-token that equals one counts 1 at once; only the rest are merged, each
 distinct one once per chunk, and remembered in bounded memory.
 """
 
@@ -45,11 +45,11 @@ def whole_tokens(path: str) -> np.ndarray:
 
 
 class Counter:
-    """Token counts of whole texts under one byte-level BPE file."""
+    """Token counts of whole texts under one byte-level BPE file; `whole` has what whole_tokens() proved."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: np.ndarray | None = None):
         first, table, self.special, _ = S.byte_bpe(path)
-        self.whole = whole_tokens(path)
+        self.whole = whole_tokens(path) if whole is None else whole
         self.encoder = S.Encoder(S.ByteSplitter(), lambda codes, lengths: self._counts(codes, lengths, first, table))
 
     @staticmethod
@@ -72,22 +72,29 @@ class Counter:
         return out
 
 
-@functools.cache
-def counter(path: str) -> Counter:
-    return Counter(path)
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter(path: str, whole: np.ndarray | None = None) -> Counter:
+    """This process's counter of a file."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path, whole)
+    return _COUNTERS[path]
 
 
 def count_tokens(df: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Add `out`, the number of tokens of the whole `text` under the byte-level BPE file `tokenizer`.
 
-    The file must be at that path on every executor. Null and empty texts count 0; special
+    The file must be at that path on the driver and on every executor. Null and empty texts count 0; special
     strings in a text count one each; other columns stay, whatever their names; repeated rows
     are counted each. Narrow: one pass, no shuffle.
     """
 
+    proven = df.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))
+
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(tokenizer)
+        count = counter(tokenizer, proven.value)
         for s in batches:
             yield pd.Series(count([t or "" for t in s]), dtype="int64")
 
