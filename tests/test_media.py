@@ -137,3 +137,22 @@ def test_live_shots(spark, tmp_path):
     take_what_is_there()
     got = sorted((r.video, r.frame_no, r.shot_id) for r in spark.read.parquet(told).collect())
     assert got == [("a", 0, 0), ("a", 1, 1), ("a", 2, 1), ("b", 0, 0)]
+
+
+def test_videos_are_read_by_ranges_of_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "RANGE_BYTES", 100)
+    pictures = [np.full((4, 6), 10 * i, np.uint8) for i in range(25)]
+    (tmp_path / "a.y4m").write_bytes(y4m(pictures, fps=3) + b"FRAME\n123")  # the last frame is cut off
+    (tmp_path / "b.y4m").write_bytes(b"YUV4MPEG2 W2 H2 F30000:1001 C420\n" + b"FRAME\n" + bytes([200] * 4 + [128, 128]))
+    (tmp_path / "c.y4m").write_bytes(b"YUV4MPEG2 W2 H2 F1:2 C444\n")
+    made = media.y4m_videos(spark, str(tmp_path / "*.y4m")).orderBy("video_id").collect()
+    assert [(r.video_id, round(r.fps, 2), r.frame_count, r.frame_interval) for r in made] == [("a.y4m", 3.0, 25, 3), ("b.y4m", 29.97, 1, 29), ("c.y4m", 0.5, 0, None)]
+    got = media.y4m(spark, str(tmp_path / "*.y4m"))
+    rows = sorted((r.video_id, r.frame_no, r.image.data[0], r.image.nChannels) for r in got.collect())
+    assert rows == [("a.y4m", i, 10 * i, 1) for i in range(25)] + [("b.y4m", 0, 214, 3)]
+    images = tmp_path / "n.y4m"
+    images.write_bytes(b"no video\n")
+    with pytest.raises(Exception, match="not a YUV4MPEG2 video"):
+        media.y4m(spark, str(images)).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        media.y4m(spark, str(tmp_path / "none.y4m")).collect()
