@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-# Sharpening kernels of frames and of blurred and very blurred stills.
-SHARPEN_FRAME = ((-1, -1, -1), (-1, 9, -1), (-1, -1, -1))
-SHARPEN_9 = ((0, -2, 0), (-2, 9, -2), (0, -2, 0))
-SHARPEN_15 = ((0, -3, 0), (-3, 15, -3), (0, -3, 0))
-_CIRCLE = ((0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3))
+from crestline.functions.rasters import RING, SHARPEN_9, SHARPEN_15, SHARPEN_FRAME, WHITE, XYZ
+
 
 
 def saturate(a: np.ndarray) -> np.ndarray:
@@ -75,8 +72,7 @@ def median(image: np.ndarray, size: int) -> np.ndarray:
     return np.median(windows, axis=(-2, -1)).astype(np.uint8)
 
 
-_XYZ = np.array([[0.180423, 0.357580, 0.412453], [0.072169, 0.715160, 0.212671], [0.950227, 0.119193, 0.019334]])  # rows X, Y, Z of B, G, R
-_WHITE = np.array([0.950456, 1.0, 1.088754])
+_XYZ, _WHITE = np.array(XYZ), np.array(WHITE)  # rows X, Y, Z of B, G, R
 
 
 def to_lab(image: np.ndarray) -> np.ndarray:
@@ -185,7 +181,7 @@ def fast(g: np.ndarray, threshold: int) -> np.ndarray:
     if h < 7 or w < 7:
         return np.zeros((0, 2), int)
     v = g.astype(int)
-    ring = np.stack([v[3 + dy : h - 3 + dy, 3 + dx : w - 3 + dx] for dx, dy in _CIRCLE]) - v[3:-3, 3:-3]
+    ring = np.stack([v[3 + dy : h - 3 + dy, 3 + dx : w - 3 + dx] for dx, dy in RING]) - v[3:-3, 3:-3]
     twice = np.concatenate([ring, ring[:8]])
     score = np.zeros(ring.shape[1:], int)
     for sign in (1, -1):
@@ -318,52 +314,3 @@ def hough_segments(edges: np.ndarray, threshold: int = 100, least: float = 20.0,
         np.subtract.at(votes, (np.broadcast_to(np.arange(180), rho[on].shape), rho[on]), 1)
         votes[t, r] = 0
     return out
-
-
-def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
-    h, w = image.shape[:2]
-    y, x = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1), np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    a = image.astype(float)
-    fy, fx = (y - y0).reshape(-1, *[1] * (image.ndim - 1)), (x - x0).reshape(1, -1, *[1] * (image.ndim - 2))
-    return saturate((a[y0][:, x0] * (1 - fx) + a[y0][:, x1] * fx) * (1 - fy) + (a[y1][:, x0] * (1 - fx) + a[y1][:, x1] * fx) * fy)
-
-
-def grid(images: list[np.ndarray], rows: int = 3, columns: int = 4, cell_w: int = 400, cell_h: int = 300) -> np.ndarray:
-    """Pictures scaled to fit the cells of a black sheet, in reading order; those over the number of cells are left out."""
-    sheet = np.zeros((rows * cell_h, columns * cell_w, 3), np.uint8)
-    for k, image in enumerate(images[: rows * columns]):
-        if image is None:
-            continue
-        colour = np.repeat(image[..., None], 3, 2) if image.ndim == 2 else image
-        h, w = colour.shape[:2]
-        scale = min(cell_w * 0.9 / w, cell_h * 0.8 / h)
-        small = resize(colour, max(1, int(w * scale)), max(1, int(h * scale)))
-        y, x = k // columns * cell_h + (cell_h - small.shape[0]) // 2, k % columns * cell_w + (cell_w - small.shape[1]) // 2
-        sheet[y : y + small.shape[0], x : x + small.shape[1]] = small
-    return sheet
-
-
-def mark(image: np.ndarray, points: np.ndarray, colour: tuple[int, int, int], radius: int = 0) -> np.ndarray:
-    """The picture in colour, with squares around points (x, y); what lies outside is left out."""
-    out = np.repeat(image[..., None], 3, 2) if image.ndim == 2 else image.copy()
-    for x, y in np.rint(np.asarray(points, float)).astype(int).reshape(-1, 2).tolist():
-        if -radius <= x < out.shape[1] + radius and -radius <= y < out.shape[0] + radius:
-            out[max(0, y - radius) : max(0, y + radius + 1), max(0, x - radius) : max(0, x + radius + 1)] = colour
-    return out
-
-
-def along_line(x1: float, y1: float, x2: float, y2: float) -> np.ndarray:
-    n = int(max(abs(x2 - x1), abs(y2 - y1))) + 1
-    return np.stack([np.linspace(x1, x2, n), np.linspace(y1, y2, n)], 1)
-
-
-def along_ellipse(cx: float, cy: float, w: float, h: float, angle: float) -> np.ndarray:
-    """Points of the rim; none for an invalid ellipse."""
-    if not np.isfinite([cx, cy, w, h, angle]).all() or w <= 0 or h <= 0:
-        return np.zeros((0, 2))
-    a, t = np.linspace(0, 2 * np.pi, int(4 * (w + h)) + 8), np.radians(angle)
-    u, v = w / 2 * np.cos(a), h / 2 * np.sin(a)
-    return np.stack([cx + u * np.cos(t) - v * np.sin(t), cy + u * np.sin(t) + v * np.cos(t)], 1)

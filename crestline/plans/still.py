@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.functions import geometry as G
 from crestline.functions import images as I
-from crestline.functions import kernels as K
 from crestline.functions import quality as Q
 from crestline.operators import detection, features
-from crestline.schemas import IMAGE, STEPS
+from crestline.operators import rasters as R
 
 
 def ready(images: DataFrame) -> DataFrame:
@@ -24,12 +21,13 @@ def ready(images: DataFrame) -> DataFrame:
 def best_ellipses(images: DataFrame, padding: int = 100, surf_circularity: float = 0.5, fast_circularity: float = 0.4, line_votes: int = 100, **limits) -> DataFrame:
     """One row per image that has a candidate: its best ellipse, whether that is the fallback, scores and the crop box.
 
-    One pass of the corner detector serves both feature kinds, which differ in roundness only.
+    The two kinds of corners differ in roundness only: each corner is found once and listed for every kind that it fits.
     """
     prepared = ready(images).select("image_id", "image")
     points = detection.corners(prepared, least_circularity=min(surf_circularity, fast_circularity))
-    rounder = lambda least: points.where(F.col("failed") | (F.col("circularity") >= least))
-    every = features.stack(surf=rounder(surf_circularity), line=features.line_ends(detection.lines(prepared, threshold=line_votes)), fast=rounder(fast_circularity))
+    fits = lambda kind, least: F.when(R.round_enough(F.col("circularity"), F.col("failed"), least), F.lit(kind))
+    corners = points.select("image_id", F.explode(F.array_compact(F.array(fits("surf", surf_circularity), fits("fast", fast_circularity)))).alias("kind"), "x", "y")
+    every = corners.unionByName(features.stack(line=features.line_ends(detection.lines(prepared, threshold=line_votes))))
     size = images.select("image_id", F.col("image.width").alias("width"), F.col("image.height").alias("height"))
     candidates = detection.ellipses(prepared, **limits).join(size, "image_id")
     scored = features.scores(candidates, every, F.col("width"), F.col("height"))
@@ -41,67 +39,3 @@ def crops(images: DataFrame, best: DataFrame) -> DataFrame:
     """image_id and the crop of the original; images without an ellipse stay whole."""
     boxed = images.join(best.select("image_id", "box"), "image_id", "left")
     return boxed.select("image_id", F.when(F.col("box").isNull(), F.col("image")).otherwise(I.crop(F.col("image"), F.col("box"))).alias("image"))
-
-
-def _drawn(images: DataFrame, shapes: DataFrame, name: str) -> DataFrame:
-    """Images with shapes (image_id, kind point | line | ellipse, values array<double>, strong boolean) drawn on: the strong ones last, in yellow."""
-    per_image = shapes.groupBy("image_id").agg(F.collect_list(F.struct("strong", "kind", "values")).alias("shapes"))  # an image's own features
-
-    @F.pandas_udf(IMAGE)
-    def draw(pictures: pd.DataFrame, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for (origin, a), own in zip(I._rows(pictures), lists, strict=True):
-            if a is None:
-                out.append((None,) * 6)
-                continue
-            for s in sorted([] if own is None else own, key=lambda s: (s["strong"], s["kind"], list(s["values"]))):
-                at = {"point": lambda v: np.array([v]), "line": lambda v: K.along_line(*v), "ellipse": lambda v: K.along_ellipse(*v)}[s["kind"]](list(s["values"]))
-                a = K.mark(a, at, (0, 255, 255) if s["strong"] else {"point": (255, 0, 0), "line": (0, 255, 0), "ellipse": (0, 0, 255)}[s["kind"]], 1 if s["strong"] or s["kind"] == "point" else 0)
-            out.append(I.record(a, origin))
-        return pd.DataFrame(out, columns=["origin", "height", "width", "nChannels", "mode", "data"]).astype({c: "Int32" for c in ("height", "width", "nChannels", "mode")})
-
-    joined = images.select("image_id", "image").join(per_image, "image_id", "left")
-    return joined.select("image_id", F.lit(name).alias("step_name"), draw("image", "shapes").alias("image"))
-
-
-def _values(df: DataFrame, kind: str, columns: list[str], strong: Column | None = None) -> DataFrame:
-    return df.select("image_id", F.lit(kind).alias("kind"), F.array(*[F.col(c).cast("double") for c in columns]).alias("values"), (F.lit(False) if strong is None else strong).alias("strong"))
-
-
-_ELLIPSE = ["cx", "cy", "w", "h", "angle"]
-
-
-def debug_images(images: DataFrame, best: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """image_id, step_no, step_name, image of the steps that pictures show, in their fixed order."""
-    prepared = ready(images)
-    points = detection.corners(prepared)
-    found = _values(points, "point", ["x", "y"]).unionByName(_values(detection.lines(prepared), "line", ["x1", "y1", "x2", "y2"]))
-    chosen = _values(best, "ellipse", _ELLIPSE, F.lit(True))
-    others = chosen if candidates is None else chosen.unionByName(_values(candidates, "ellipse", _ELLIPSE))
-    steps = [
-        prepared.select("image_id", F.lit("Original").alias("step_name"), F.col("original").alias("image")),
-        prepared.where(F.col("band").startswith("sharpen")).select("image_id", F.lit("Sharpened"), "image"),
-        prepared.select("image_id", F.lit("Blurred"), I.blurred(F.col("image"))),
-        prepared.select("image_id", F.lit("Canny Edges"), I.edges(F.col("image"))),
-        _drawn(images, _values(points, "point", ["x", "y"]), "FAST Keypoints"),
-        _drawn(prepared, found, "Detected Features"),
-        _drawn(prepared, others, "Ellipse Comparison"),
-        _drawn(images, chosen, "Final Result"),
-        crops(images, best).select("image_id", F.lit("Cropped Result"), "image"),
-    ]
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.union(s)
-    return features.debug_order(out, STEPS)
-
-
-def sheets(steps: DataFrame) -> DataFrame:
-    """image_id and one PNG with all of its steps on a grid."""
-    listed = steps.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("step_no", "image"))).alias("steps"))  # at most twelve
-
-    @F.pandas_udf("binary")
-    def compose(lists: pd.Series) -> pd.Series:
-        sheet = lambda own: K.grid([I.pixels(s["image"]["height"], s["image"]["width"], s["image"]["nChannels"], s["image"]["data"]) for s in own])
-        return pd.Series([I.png(sheet(own)) for own in lists], dtype=object)
-
-    return listed.select("image_id", compose("steps").alias("png"))

@@ -19,13 +19,17 @@ def representative_frames(frames: DataFrame, fps: str = "fps", target_fps: float
     Frames are sampled before anything costs, then prepared, measured and cut into shots.
     `normalize` is "double" (the mean difference divided by the pixels again, as the original
     does: frames of usual size are then one shot) or "mean". Without `select` every sampled
-    frame is kept. Measures are taken where the frame lies; only they go through the windows,
-    and the pixels of kept frames are joined back.
+    frame is kept. Measures are taken where the frame lies, and only they and frame numbers go through the
+    windows of a video. Pixels meet their predecessor's in a join on both frames' numbers, dealt by frame and not
+    by video, and the pixels of kept frames are joined back.
     """
     sampled = O.sample(frames.withColumn("__every", O.interval(F.col(fps), target_fps)), F.col("__every"))
     prepared = (lambda c: I.preprocess(c)) if prepare else (lambda c: c)
     w = Window.partitionBy("video_id").orderBy("src_frame_no")
-    measured = sampled.withColumn("image", prepared(F.col("image"))).withColumn("q", I.quality_parts(F.col("image"))).withColumn("__diff", I.difference(F.col("image"), F.lag("image").over(w)))
+    measured = sampled.withColumn("image", prepared(F.col("image"))).withColumn("q", I.quality_parts(F.col("image")))
+    numbers = sampled.select("video_id", "src_frame_no").withColumn("__before", F.lag("src_frame_no").over(w))
+    earlier = measured.select("video_id", F.col("src_frame_no").alias("__before"), F.col("image").alias("__earlier"))
+    measured = measured.join(numbers, ["video_id", "src_frame_no"]).join(earlier, ["video_id", "__before"], "left").withColumn("__diff", I.difference(F.col("image"), F.col("__earlier")))
     narrow = measured.select("video_id", "src_frame_no", (F.col("image.height") * F.col("image.width")).alias("__pixels"), "__diff", *[F.col(f"q.{c}").alias(c) for c in ("sharpness", "brightness", "contrast", "focus")])
     narrow = O.number(narrow, "video_id", ["src_frame_no"])
     change = F.col("__diff") / F.col("__pixels") if normalize == "double" else F.col("__diff")
