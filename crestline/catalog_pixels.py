@@ -16,7 +16,7 @@ from crestline.operators import frames
 from crestline.operators import rasters as T
 from crestline.session import table
 
-SIZE, CORNER, VOTES, ROUND = 8, 15, 3, 0.05
+SIZE, CORNER, VOTES, ROUND, EDGE = 8, 15, 3, 0.05, (150.0, 400.0)
 
 
 def _frames(spark: SparkSession, root: str) -> DataFrame:
@@ -81,6 +81,18 @@ def corner_points(spark, root):
     return T.local_maxima(placed, "vec_id", CORNER).select("vec_id", "x", "y", "score")
 
 
+def resized_frames(spark, root):
+    return _frames(spark, root).select("vec_id", _sum(R.resized(F.col("v"), SIZE, SIZE, 5, 11)).alias("resized"))
+
+
+def edge_pixels(spark, root):
+    """Edges of frames, with bounds at which chains of weak pixels occur."""
+    thin = _frames(spark, root).select("vec_id", F.posexplode(R.gradient_maxima(F.col("v"), SIZE, SIZE)).alias("i", "size"))
+    placed = thin.where("size > 0").select("vec_id", (F.col("i") % SIZE).alias("x"), F.floor(F.col("i") / SIZE).cast("int").alias("y"), "size")
+    found = T.edges(placed, "vec_id", *EDGE)
+    return found.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.col("x") + 8 * F.col("y")).cast("long").alias("places"))
+
+
 def point_patches(spark, root):
     """Patches around points, some of them at or beyond the border; empty ones go."""
     x, y = (F.col("vec_id") % 17 - 5).cast("int"), (F.col("vec_id") % 13 - 4).cast("int")
@@ -179,6 +191,7 @@ _LAB = f"""p AS (SELECT vec_id, v[3 * k + 1]::DOUBLE AS b, v[3 * k + 2]::DOUBLE
 n AS (SELECT vec_id, {_LINEAR.format("b")} AS b, {_LINEAR.format("g")} AS g, {_LINEAR.format("r")} AS r FROM p),
 t AS (SELECT vec_id, {", ".join(f"(b * {x[0]}::DOUBLE + g * {x[1]}::DOUBLE + r * {x[2]}::DOUBLE) / {w}::DOUBLE AS {n}" for n, x, w in zip("xyz", R.XYZ, R.WHITE, strict=True))} FROM n),
 s AS (SELECT vec_id, y, {", ".join(f"{_ROOT.format(n)} AS f{n}" for n in "xyz")} FROM t)"""
+_AX, _AY = (" + ".join(f"{_at(*((s, d) if x else (d, s)))} * {s * (2 if d == 0 else 1)}" for s in (-1, 1) for d in (-1, 0, 1)) for x in (True, False))
 _INNER = ", ".join(f"({y * 8 + x}, {x}, {y})" for y in (3, 4) for x in (3, 4))
 _RING = ", ".join(f"v[c + {dy * 8 + dx} + 1] - v[c + 1]" for dx, dy in [*R.RING, *R.RING[:8]])
 _ED = "ed AS (SELECT DISTINCT p_type AS image_id, p_size AS x, floor(p_retailprice - 900)::INT AS y FROM part)"
@@ -206,6 +219,17 @@ ORACLES = {
     "corner_points": f"""WITH {_F}, i AS (SELECT * FROM (VALUES {_INNER}) q(c, x, y)), d AS (SELECT vec_id, x, y, [{_RING}] AS a FROM f, i),
         s AS (SELECT vec_id, x, y, greatest(list_max([list_min(a[k:k + 8]) for k in range(1, 17)]), list_max([-list_max(a[k:k + 8]) for k in range(1, 17)])) AS score FROM d)
         SELECT vec_id, x, y, score FROM s WHERE score > {CORNER} AND NOT EXISTS (SELECT 1 FROM s o WHERE o.vec_id = s.vec_id AND (o.x <> s.x OR o.y <> s.y) AND abs(o.x - s.x) <= 1 AND abs(o.y - s.y) <= 1 AND o.score > {CORNER} AND o.score >= s.score)""",
+    "resized_frames": f"""WITH {_F}, c AS (SELECT (k // 5 * 5 + k % 5)::INT AS k, least(greatest((k % 5 + 0.5::DOUBLE) * 8 / 5 - 0.5::DOUBLE, 0), 7) AS px, least(greatest((k // 5 + 0.5::DOUBLE) * 8 / 11 - 0.5::DOUBLE, 0), 7) AS py FROM range(55) r(k)),
+        a AS (SELECT k, trunc(px)::INT AS x, trunc(py)::INT AS y, px - trunc(px) AS fx, py - trunc(py) AS fy, least(trunc(px)::INT + 1, 7) AS x1, least(trunc(py)::INT + 1, 7) AS y1 FROM c),
+        o AS (SELECT vec_id, k, round_even((v[y * 8 + x + 1] * (1 - fx) + v[y * 8 + x1 + 1] * fx) * (1 - fy) + (v[y1 * 8 + x + 1] * (1 - fx) + v[y1 * 8 + x1 + 1] * fx) * fy, 0) AS p FROM f, a)
+        SELECT vec_id, sum(least(greatest(p, 0), 255)::BIGINT * (k + 1))::BIGINT AS resized FROM o GROUP BY 1""",
+    "edge_pixels": f"""WITH RECURSIVE {_F}, g AS (SELECT vec_id, [{_AX} for i in range(64)] AS gx, [{_AY} for i in range(64)] AS gy FROM f),
+        p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, abs(gx[i + 1]) + abs(gy[i + 1]) AS size, ((round(atan2(gy[i + 1], gx[i + 1]) / (pi() / 4))::INT % 4) + 4) % 4 AS turn FROM g, range(64) r(i)),
+        w AS (SELECT *, CASE turn WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END AS dx, CASE turn WHEN 0 THEN 0 ELSE 1 END AS dy FROM p),
+        t AS (SELECT w.vec_id, w.x, w.y, w.size FROM w LEFT JOIN p a ON a.vec_id = w.vec_id AND a.x = w.x + dx AND a.y = w.y + dy LEFT JOIN p b ON b.vec_id = w.vec_id AND b.x = w.x - dx AND b.y = w.y - dy
+          WHERE w.size > coalesce(b.size, 0) AND w.size >= coalesce(a.size, 0)),
+        e AS (SELECT vec_id, x, y FROM t WHERE size > {EDGE[1]} UNION SELECT t.vec_id, t.x, t.y FROM e JOIN t ON t.vec_id = e.vec_id AND abs(t.x - e.x) <= 1 AND abs(t.y - e.y) <= 1 WHERE t.size > {EDGE[0]})
+        SELECT vec_id, count(*) AS n, sum(x + 8 * y)::BIGINT AS places FROM e GROUP BY 1""",
     "point_patches": f"""WITH {_F}, q AS (SELECT *, (vec_id % 17 - 5)::INT AS x, (vec_id % 13 - 4)::INT AS y FROM f), o AS (SELECT vec_id, [v[k + 1] for k in range(64) if k % 8 >= x - 3 AND k % 8 < x + 3 AND k // 8 >= y - 3 AND k // 8 < y + 3] AS patch FROM q)
         SELECT vec_id, len(patch)::INT AS n, {_check("patch")} FROM o WHERE len(patch) > 0""",
     "line_votes": f"WITH {_VT} SELECT image_id, theta, rho, votes FROM bl",

@@ -144,3 +144,38 @@ def patch(v: Column, width: int, height: int, x: Column, y: Column, size: int) -
     top, bottom = F.greatest(y - half, F.lit(0)), F.least(y + half, F.lit(height))
     rows = F.transform(F.sequence(top, bottom - 1), lambda r: F.slice(v, (r * width + left + 1).cast("int"), (right - left).cast("int")))
     return F.when((right > left) & (bottom > top), F.flatten(rows)).otherwise(F.array().cast("array<int>"))
+
+
+def resized(v: Column, width: int, height: int, new_width: int, new_height: int) -> Column:
+    """Scaled bilinearly with pixel centres aligned, saturated."""
+    cells = []
+    for y in range(new_height):
+        for x in range(new_width):
+            px, py = (min(max((k + 0.5) * n / m - 0.5, 0.0), n - 1.0) for k, n, m in ((x, width, new_width), (y, height, new_height)))
+            x0, y0 = int(px), int(py)
+            cells.append((y0 * width + x0, min(x0 + 1, width - 1) - x0, (min(y0 + 1, height - 1) - y0) * width, px - x0, py - y0))
+    at, right, down, fx, fy = (F.array(*map(F.lit, c)) for c in zip(*cells, strict=True))
+
+    def cell(i: Column) -> Column:
+        k, r, d, x, y = F.get(at, i), F.get(right, i), F.get(down, i), F.get(fx, i), F.get(fy, i)
+        top = F.get(v, k) * (1 - x) + F.get(v, k + r) * x
+        return top * (1 - y) + (F.get(v, k + d) * (1 - x) + F.get(v, k + d + r) * x) * y
+
+    return saturate(F.transform(F.sequence(F.lit(0), F.lit(new_width * new_height - 1)), cell))
+
+
+def gradient_maxima(v: Column, width: int, height: int) -> Column:
+    """For each pixel |gx| + |gy| where that is a maximum along the gradient's direction (to the nearest eighth turn), else 0; outside a frame it is 0."""
+    across = [(s, d, float(s * (2 if d == 0 else 1))) for s in (-1, 1) for d in (-1, 0, 1)]
+    gx, gy = stencil(v, width, height, across), stencil(v, width, height, [(d, s, w) for s, d, w in across])
+    both = F.zip_with(gx, gy, lambda a, b: F.struct((F.abs(a) + F.abs(b)).alias("size"), F.pmod(F.round(F.atan2(b, a) / (F.pi() / 4)).cast("int"), F.lit(4)).alias("turn")))
+    ways = ((1, 0), (1, 1), (0, 1), (-1, 1))
+    # -1 for a neighbour outside: its size counts as 0
+    index = lambda dx, dy: _literal([(y + dy) * width + x + dx if 0 <= x + dx < width and 0 <= y + dy < height else -1 for y in range(height) for x in range(width)])
+    ahead, behind = F.array(*[index(dx, dy) for dx, dy in ways]), F.array(*[index(-dx, -dy) for dx, dy in ways])
+
+    def thin(all_: Column) -> Column:
+        near = lambda way, p, i: F.coalesce(F.get(all_, F.get(F.get(way, p["turn"]), i))["size"], F.lit(0.0))
+        return F.transform(all_, lambda p, i: F.when((p["size"] > near(behind, p, i)) & (p["size"] >= near(ahead, p, i)), p["size"]).otherwise(0.0))
+
+    return F.aggregate(F.array(both), F.array().cast("array<double>"), lambda _, b: thin(b))

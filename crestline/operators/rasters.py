@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.session import durable
+
 
 def otsu(pixels: DataFrame, image: str, value: str) -> DataFrame:
     """image, threshold: of each image's pixels the value (0..255) that separates two classes best; those over it are the bright ones.
@@ -36,6 +38,21 @@ def local_maxima(scores: DataFrame, image: str, threshold: float) -> DataFrame:
     return high.join(most, [image, "x", "y"], "left").where(F.col("near").isNull() | (F.col("score") > F.col("near"))).drop("near")
 
 
+def edges(maxima: DataFrame, image: str, low: float, high: float) -> DataFrame:
+    """image, x, y of edge pixels: gradient maxima (image, x, y, size) over `high`, and those over `low` that touch an edge pixel, directly or by others.
+
+    Each round is an equi-join with the pixels found last; there are as many rounds as the longest chain of weak pixels has.
+    """
+    weak = durable(maxima.where(F.col("size") > low).select(image, "x", "y", (F.col("size") > high).alias("strong")))
+    found = last = weak.where("strong").select(image, "x", "y")
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
+    while not last.isEmpty():
+        near = last.select(image, F.explode(shifts).alias("s"), "x", "y").select(image, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).distinct()
+        last = durable(weak.select(image, "x", "y").join(near, [image, "x", "y"], "left_semi").join(found, [image, "x", "y"], "left_anti"))
+        found = durable(found.unionByName(last))
+    return found
+
+
 def line_votes(points: DataFrame, image: str, angles: int = 180) -> DataFrame:
     """image, theta, rho, votes: how many points (x, y) lie on each line, by whole degrees of its normal and whole pixels from the origin.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cre
     )
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in spark.checkpoint.dir; a local session without one makes a folder, a cluster must have one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crestline-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table `name` under `root`, read by Spark so that any store works."""
     return spark.read.parquet(f"{root}/{name}.parquet")
