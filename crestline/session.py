@@ -22,15 +22,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cre
     )
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder, None if there is none and the session is local; an error on a cluster without one."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if folder is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in spark.checkpoint.dir; a local session without one makes a folder, a cluster must have one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage with a checkpoint in the cluster's shared folder (an own folder only in a local session where none is set)."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crestline-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="crestline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
