@@ -13,6 +13,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline.session import durable, shared_folder
+
+__all__ = ["durable", "shared_folder", "documents", "with_bucket", "slices", "scratch", "discard"]
+
 #: Rows that one ordered range should hold, and the most split points that go through the driver: beyond 4e8 rows ranges
 #: grow (to some 500 MB at 100 TB of documents), which tasks stream and spill.
 BUCKET_ROWS, MAX_SPLITS = 2048, 200_000
@@ -20,23 +24,6 @@ BUCKET_ROWS, MAX_SPLITS = 2048, 200_000
 LOWEST = -1.7976931348623157e308
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder, None if there is none and the session is local; an error on a cluster without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if folder is None and not (master.startswith("local") and not master.startswith("local-cluster")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder (an own folder only in a local session where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="crestline-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/documents.parquet")
 
