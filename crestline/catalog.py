@@ -132,6 +132,14 @@ def shot_ranges(spark, root):
     return frames.ranges(_event_shots(_events(spark, root), "src_frame_no"), "user_id", "shot_id", "src_frame_no")
 
 
+def shot_ranges_blocked(spark, root):
+    """shot_ranges for users with very many events: windows run within days, and days hand over to each other."""
+    day, events = F.to_date("ts"), table(spark, root, "events").select("user_id", "ts", "event_id", "value")
+    numbered = frames.blocked_number(events, "user_id", ["ts", "event_id"], day, "src_frame_no")
+    changed = frames.blocked_differences(numbered, "user_id", ["src_frame_no"], day, ["value"], lambda lag: F.abs(F.col("value") - lag("value")))
+    return frames.ranges(frames.blocked_shots(changed, "user_id", ["src_frame_no"], day, F.col("diff"), EVENT_CUT), "user_id", "shot_id", "src_frame_no")
+
+
 def sample_then_select(spark, root):
     """Sample, number what is left, cut into shots, keep the best frame of each, with both frame numbers."""
     df = frames.number(_sampled(spark, root), "user_id", ["src_frame_no"])
@@ -389,6 +397,7 @@ ORACLES = {
 }
 
 
+ORACLES["shot_ranges_blocked"] = ORACLES["shot_ranges"]
 ORACLES["selected_pixels"] = f"WITH {_E}, {_D}, {_R}, {catalog_pixels._F} SELECT r.label, shot_id, rank, r.vec_id, {catalog_pixels._check('v').replace(' AS v', ' AS pixels')} FROM rep r JOIN f ON f.label = r.label AND f.vec_id = r.vec_id"
 _OWN = set(ORACLES) - {"selected_pixels"}
 ORACLES |= catalog_pixels.ORACLES

@@ -1,7 +1,9 @@
 """Sampling, shots and representative frames of videos, as windows over (video, order) columns.
 
 All windows partition by the video, so a plan has one exchange on it. Frames' pixels need not
-travel: select by measures first and join pixels to what is kept.
+travel: select by measures first and join pixels to what is kept. A video too long for one task is
+cut into blocks of its order (the functions named blocked_*): windows run within a block, and a
+narrow table with a row for each block carries numbers, last values and shots over.
 """
 
 from __future__ import annotations
@@ -58,6 +60,40 @@ def shots(frames: DataFrame, video: str, order: list[str], change: Column, thres
     return frames.withColumn("__cut", cut).withColumn(out, F.sum("__cut").over(w).cast("long")).drop("__cut")
 
 
+def _carried(held: DataFrame, blocks: DataFrame, video: str) -> DataFrame:
+    """Each frame with the row of its block; null videos are a video like others."""
+    b = blocks.withColumnRenamed(video, "__v").withColumnRenamed("__block", "__b")
+    return held.join(b, held[video].eqNullSafe(b["__v"]) & held["__block"].eqNullSafe(b["__b"])).drop("__v", "__b")
+
+
+def blocked_number(frames: DataFrame, video: str, order: list[str], block: Column, out: str = "frame_no") -> DataFrame:
+    """number() of videos of any length; `block` ascends with the order and cuts a video into parts that fit a task."""
+    held = frames.withColumn("__block", block)
+    earlier = Window.partitionBy(video).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = held.groupBy(video, "__block").agg(F.count("*").alias("__n")).select(video, "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    at = F.row_number().over(Window.partitionBy(video, "__block").orderBy(*order)) - 1
+    return _carried(held, blocks, video).withColumn(out, (F.col("__first") + at).cast("long")).drop("__block", "__first")
+
+
+def blocked_differences(frames: DataFrame, video: str, order: list[str], block: Column, values: list[str], diff, out: str = "diff") -> DataFrame:
+    """differences() of videos of any length: a block's first frame takes the `values` of the last frame of the block before."""
+    held = frames.withColumn("__block", block)
+    ends = held.groupBy(video, "__block").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__end"))
+    blocks = ends.select(video, "__block", F.lag("__end").over(Window.partitionBy(video).orderBy("__block")).alias("__end"))
+    w = Window.partitionBy(video, "__block").orderBy(*order)
+    first = F.row_number().over(w) == 1
+    return _carried(held, blocks, video).withColumn(out, diff(lambda c: F.when(first, F.col("__end")[c]).otherwise(F.lag(c, 1).over(w)))).drop("__block", "__end")
+
+
+def blocked_shots(frames: DataFrame, video: str, order: list[str], block: Column, change: Column, threshold: float, out: str = "shot_id") -> DataFrame:
+    """shots() of videos of any length: shots are counted within blocks, and those of the blocks before are added."""
+    held = frames.withColumn("__block", block).withColumn("__cut", F.when(change > threshold, 1).otherwise(0))
+    earlier = Window.partitionBy(video).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = held.groupBy(video, "__block").agg(F.sum("__cut").alias("__n")).select(video, "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    w = Window.partitionBy(video, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _carried(held, blocks, video).withColumn(out, (F.col("__before") + F.sum("__cut").over(w)).cast("long")).drop("__block", "__cut", "__before")
+
+
 def ranges(framed: DataFrame, video: str, shot: str, no: str) -> DataFrame:
     """First frame of each shot, and the one after its last: the next shot's first, or the video's length."""
     firsts = framed.groupBy(video, shot).agg(F.min(no).alias("start_no"), F.max(no).alias("last_no"))
