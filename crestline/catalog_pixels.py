@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from crestline.functions import geometry as G
 from crestline.functions import quality as Q
@@ -16,7 +17,7 @@ from crestline.operators import frames
 from crestline.operators import rasters as T
 from crestline.session import table
 
-SIZE, CORNER, VOTES, ROUND, EDGE = 8, 15, 3, 0.05, (150.0, 400.0)
+SIZE, CORNER, VOTES, ROUND, EDGE = 8, 15, 3, 0.9, (150.0, 400.0)
 
 
 def _frames(spark: SparkSession, root: str) -> DataFrame:
@@ -131,9 +132,10 @@ def largest_contours(spark, root):
 
 
 def round_contours(spark, root):
-    """Contours that are round enough, or whose roundness failed to compute (those of one point stand for that)."""
+    """Contours that are about as round as their image's are on average, or whose roundness failed to compute (those of one point stand for that)."""
     m = _contours(spark, root).withColumn("circularity", F.round(G.circularity(F.col("area"), F.col("perimeter")), 6))
-    return m.where(T.round_enough(F.col("circularity"), F.col("n_points") == 1, ROUND)).select("image_id", "contour", "n_points", "circularity")
+    m = m.withColumn("least", ROUND * F.avg("circularity").over(Window.partitionBy("image_id")))
+    return m.where(T.round_enough(F.col("circularity"), F.col("n_points") == 1, F.col("least"))).select("image_id", "contour", "n_points", "circularity")
 
 
 def sheet_cells(spark, root):
@@ -241,8 +243,8 @@ ORACLES = {
         SELECT image_id, segment, x1, y1, x2, y2, n FROM g WHERE length >= 5""",
     "contour_measures": f"WITH {_CM} SELECT image_id, contour, n_points, round(area, 3) AS area, round(perimeter, 3) AS perimeter FROM cm",
     "largest_contours": f"WITH {_CM}, r AS (SELECT image_id, contour, round(area, 3) AS area, row_number() OVER (PARTITION BY image_id ORDER BY round(area, 3) DESC, contour) AS pos FROM cm) SELECT image_id, contour, area FROM r WHERE pos = 1",
-    "round_contours": f"""WITH {_CM}, c AS (SELECT image_id, contour, n_points, round(CASE WHEN area > 0 AND perimeter > 0 THEN 4 * pi() * area / (perimeter * perimeter) END, 6) AS circularity FROM cm)
-        SELECT * FROM c WHERE n_points = 1 OR circularity >= {ROUND}""",
+    "round_contours": f"""WITH {_CM}, c AS (SELECT image_id, contour, n_points, round(CASE WHEN area > 0 AND perimeter > 0 THEN 4 * pi() * area / (perimeter * perimeter) END, 6) AS circularity FROM cm),
+        l AS (SELECT *, {ROUND}::DOUBLE * avg(circularity) OVER (PARTITION BY image_id) AS least FROM c) SELECT image_id, contour, n_points, circularity FROM l WHERE n_points = 1 OR circularity >= least""",
     "sheet_cells": """WITH i AS (SELECT l_orderkey AS image_id, l_linenumber - 1 AS step_no, max(l_quantity) AS w, max(l_discount) * 1000 AS h FROM lineitem GROUP BY 1, 2),
         s AS (SELECT *, least(360.0::DOUBLE / w, 240.0::DOUBLE / h) AS scale FROM i WHERE w > 0 AND h > 0)
         SELECT image_id, step_no, (step_no // 4)::INT AS cell_row, (step_no % 4)::INT AS cell_column, (step_no % 4 * 400)::INT AS x0, (step_no // 4 * 300)::INT AS y0, floor(w * scale)::INT AS shown_w, floor(h * scale)::INT AS shown_h FROM s""",

@@ -104,7 +104,7 @@ def largest_contour(measured: DataFrame, image: str, contour: str) -> DataFrame:
     return measured.withColumn("__at", F.row_number().over(w)).where("__at = 1").drop("__at")
 
 
-def round_enough(circularity: Column, failed: Column, least: float) -> Column:
+def round_enough(circularity: Column, failed: Column, least: Column | float) -> Column:
     """Whether a keypoint stays: its roundness reaches the bound (inclusive), or failed to compute; one without area or outline goes."""
     return F.coalesce(failed, F.lit(False)) | F.coalesce(circularity >= least, F.lit(False))
 
