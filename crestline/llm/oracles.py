@@ -44,3 +44,14 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.d
 r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.o),
 m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN c ON c.doc_id = d.doc_id JOIN m ON m.doc_id = d.doc_id"""
+
+_NEAREST = """a{0} AS MATERIALIZED (SELECT vec_id, e, min({{'d': list_sum(list_transform(list_zip(v.e, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) AS z FROM v, c{0} c GROUP BY vec_id, e)"""
+_MOVED = """s{0} AS (SELECT z.c AS c, i, sum(e[i])::HUGEINT AS s, count(*) AS n FROM a{0}, range(1, 65) r(i) GROUP BY ALL),
+c{1} AS MATERIALIZED (SELECT c.c, coalesce(x.m, c.m) AS m FROM c{0} c LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{0} GROUP BY c) x ON x.c = c.c)"""
+
+CENTROIDS = f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e AS m FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v ORDER BY h LIMIT 40)),
+{", ".join(f"{_NEAREST.format(k)}, {_MOVED.format(k, k + 1)}" for k in range(5))}, {_NEAREST.format(5)}
+SELECT vec_id, z.c::INTEGER AS cluster, z.d::BIGINT AS distance, sum(z.d) OVER (PARTITION BY z.c)::BIGINT AS cluster_inertia, sum(z.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a5 JOIN c5 c ON c.c = z.c"""
