@@ -55,3 +55,13 @@ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, e AS m FROM
 {", ".join(f"{_NEAREST.format(k)}, {_MOVED.format(k, k + 1)}" for k in range(5))}, {_NEAREST.format(5)}
 SELECT vec_id, z.c::INTEGER AS cluster, z.d::BIGINT AS distance, sum(z.d) OVER (PARTITION BY z.c)::BIGINT AS cluster_inertia, sum(z.d) OVER ()::BIGINT AS inertia,
   sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a5 JOIN c5 c ON c.c = z.c"""
+
+_TERMS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS nw FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS t FROM benchmark),
+wt AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM tf, s GROUP BY t, nd),
+x AS (SELECT item_id, r, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // nw))))::BIGINT AS score FROM q JOIN tf USING (t) JOIN wt USING (t), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0) WHERE rank <= 10"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import centroids, common, decontamination, fingerprints, fixity, html_text, near_dedup, oracles, piece_codec, sharding, token_counts, token_store, toxicity
+from crestline.llm import centroids, common, decontamination, fingerprints, fixity, html_text, near_dedup, oracles, piece_codec, ranking, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -101,14 +101,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranking.rank(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of 40 centroids of every embedding after five rounds, and the inertia of its cluster and of all."""
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity, "op13_centroids": op13_centroids}
+    return {"op1_sharding": op1_sharding, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity, "op12_ranked_search": op12_ranked_search, "op13_centroids": op13_centroids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_fixity": oracles.WARC_FIXITY, "op5_decontamination": oracles.DECONTAMINATION, "op6_near_dedup": oracles.NEAR_DEDUP, "op13_centroids": oracles.CENTROIDS}
+    return {"op2_warc_fixity": oracles.WARC_FIXITY, "op5_decontamination": oracles.DECONTAMINATION, "op6_near_dedup": oracles.NEAR_DEDUP, "op12_ranked_search": oracles.RANKED_SEARCH, "op13_centroids": oracles.CENTROIDS}
