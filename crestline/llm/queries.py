@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import centroids, common, decontamination, fingerprints, fixity, html_text, near_dedup, oracles, piece_codec, ranking, sharding, token_counts, token_store, toxicity
+from crestline.llm import centroids, common, decontamination, fingerprints, fixity, html_text, near_dedup, oracles, piece_codec, quality, ranking, sharding, token_counts, token_store, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-SHARDS, TOKEN_LIMIT, END_ID, TOXIC = 16, 1024, 2, 0.3
+SHARDS, TOKEN_LIMIT, END_ID, TOXIC, GOOD = 16, 1024, 2, 0.3, 0.3
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's quality; labels are learned only from rows that are not held out."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     return ranking.rank(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -112,7 +119,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity, "op12_ranked_search": op12_ranked_search, "op13_centroids": op13_centroids}
+    return {"op1_sharding": op1_sharding, "op2_warc_fixity": op2_warc_fixity, "op3_fingerprints": op3_fingerprints, "op4_token_counts": op4_token_counts, "op5_decontamination": op5_decontamination, "op6_near_dedup": op6_near_dedup, "op7_token_store": op7_token_store, "op8_html_text": op8_html_text, "op9_piece_codec": op9_piece_codec, "op10_toxicity": op10_toxicity, "op11_quality": op11_quality, "op12_ranked_search": op12_ranked_search, "op13_centroids": op13_centroids}
 
 
 def oracle_sql() -> dict[str, str]:
