@@ -46,6 +46,8 @@ def written(spark, nasty, nothing, tmp_path_factory):
     out = {}
     pages = [(1, "u", "<html><body><nav><a>menu</a></nav><article><h1>Head</h1><p>Some &amp; words<br>more</p></article><footer>foot</footer></body></html>"), (2, None, None), (3, "v", ""), (1, "u", "<p>only"), (None, "w", "no tags at all")]
     bench = [(1, nasty_rows()[3][1]), (2, None), (3, ""), (4, "One two THREE"), (4, "One two THREE"), (None, "a")]
+    vectors = [(i, [float((i * j) % 11) / 11 - 0.4 for j in range(64)]) for i in range(60)] + [(7, [0.25] * 64), (8, [0.25] * 64), (8, [0.25] * 64), (None, [0.1] * 64)]
+    vectors += [(61, None), (62, []), (63, [0.5] * 63), (64, [0.5] * 65), (65, [None] + [0.5] * 63), (66, [float("nan")] * 64), (67, [float("inf")] + [0.0] * 63), (68, [1e30] + [-3e38] * 63)]
     labels = [(i, 1, int(i % 7 == 0)) for i in range(40)] + [(None, 1, 1), (5, 0, None)]
     for name, docs in (("nasty", nasty), ("empty", nothing)):
         d = str(tmp_path_factory.mktemp(name))
@@ -53,6 +55,7 @@ def written(spark, nasty, nothing, tmp_path_factory):
         cut = slice(None) if name == "nasty" else slice(0, 0)
         spark.createDataFrame(pages[cut], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
         spark.createDataFrame(bench[cut], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(*v, 1, 2, 3) for v in vectors[cut]], "vec_id long, embedding array<float>, label int, `cluster` int, distance int").write.parquet(f"{d}/embeddings.parquet")
         spark.createDataFrame(labels[cut], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         out[name] = d
     return out
