@@ -24,8 +24,8 @@ from crestline.llm.common import with_bucket
 
 #: Least, wanted and greatest bytes of a chunk; bits of the strict and the loose mask. Chunks have 8 bytes on average.
 LEAST, WANTED, MOST, STRICT, LOOSE = 2, 8, 16, 3, 2
-#: Low bits of a digest that hold the bytes it covers (at most all of them set), and bits of hash above them.
-COVERED, HASH = 16, 32
+#: Low bits of a digest that hold the bytes it covers (a string of Spark has fewer than 2**31), and bits of hash above them.
+COVERED, HASH = 32, 32
 #: Characters of fingerprints that a batch of rows holds.
 HELD = 2_000_000
 #: Bytes that the gear hash is computed for at a time, and that one of its values depends on; boundaries look at its low 16 bits only.
@@ -96,7 +96,7 @@ def fingerprint(text: str) -> np.ndarray:
         h ^= h >> np.uint64(29)
     digest, which = np.unique(h >> np.uint64(64 - HASH), return_inverse=True)
     covers = np.bincount(which, ends - starts).astype(np.uint64)
-    return (digest << np.uint64(COVERED)) | np.minimum(covers, np.uint64((1 << COVERED) - 1))
+    return (digest << np.uint64(COVERED)) | covers
 
 
 def containment(own: np.ndarray, other: np.ndarray) -> float:
@@ -111,13 +111,44 @@ def containment(own: np.ndarray, other: np.ndarray) -> float:
 
 
 def as_text(print_: np.ndarray) -> str:
-    """8 letters of base64 a digest: 32 bits of hash, 16 of the bytes it covers, highest first."""
-    return base64.b64encode(np.ascontiguousarray(print_.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:])).decode()
+    """Base64 of a fingerprint: the number of digests, their hashes in ascending order (4 bytes each, highest first), the bytes that each covers.
+
+    Numbers have seven bits a byte, lowest first, the top bit set on all but the last: most digests take five bytes.
+    An empty fingerprint is an empty string.
+    """
+    if not len(print_):
+        return ""
+    hashes = (print_ >> np.uint64(COVERED)).astype(">u4").tobytes()
+    covers = print_ & np.uint64((1 << COVERED) - 1)
+    return base64.b64encode(_numbers(np.array([len(print_)], np.uint64)) + hashes + _numbers(covers)).decode()
 
 
 def from_text(text: str) -> np.ndarray:
-    six = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 6)
-    return np.concatenate([np.zeros((len(six), 2), np.uint8), six], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    if not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(base64.b64decode(text), np.uint8)
+    head = int(np.argmax(data < 128)) + 1
+    n = int(_read(data[:head])[0])
+    hashes = data[head : head + 4 * n].view(">u4").astype(np.uint64)
+    return hashes << np.uint64(COVERED) | _read(data[head + 4 * n :])
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    long = sum((values >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10)) + 1
+    at = np.cumsum(long) - long
+    out = np.zeros(int(long.sum()), np.uint8)
+    for k in range(int(long.max(initial=0))):
+        more = long > k
+        out[at[more] + k] = (values[more] >> np.uint64(7 * k)) & np.uint64(127) | (long[more] > k + 1) * np.uint64(128)
+    return out.tobytes()
+
+
+def _read(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128) + 1
+    starts = np.r_[0, ends][:-1]
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    parts = (data & 127).astype(np.uint64) << (np.uint64(7) * place.astype(np.uint64))
+    return np.add.reduceat(parts, starts)
 
 
 def edited(text: str, following: str) -> str:

@@ -78,6 +78,25 @@ def test_repeated_lines_count_as_often_as_they_stand():
     assert P.containment(own, P.fingerprint(line * 20)) > 0.6
 
 
+def test_digests_that_cover_much_count_in_full():
+    """A digest's bytes have no upper bound: a text after a long run of one letter, and after many equal lines."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100_000))
+    assert abs(P.containment(P.fingerprint("a" * 300_000 + text), P.fingerprint(text)) - 0.25) < 0.01
+    line = "Permission is granted to use and copy this text as long as it is kept. "[:50]
+    assert abs(P.containment(P.fingerprint(line * 20_000 + text), P.fingerprint(text)) - 1 / 11) < 0.01
+    own = P.fingerprint("a" * 3_000_000 + text)
+    assert (P.from_text(P.as_text(own)) == own).all() and int((own & np.uint64((1 << P.COVERED) - 1)).sum()) == 3_100_000
+
+
+def test_a_fingerprint_is_shorter_than_its_text():
+    rng = random.Random(10)
+    for n in (100, 1000, 30_000):
+        text = prose(rng, n)
+        assert len(P.as_text(P.fingerprint(text))) < 0.95 * len(text)
+    assert (P.from_text(P.as_text(P.fingerprint(""))) == P.fingerprint("")).all()
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """A third of the rows without an id, a third with one id, the others with ids of their own."""
