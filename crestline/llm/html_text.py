@@ -2,11 +2,14 @@
 
 A page is a sequence of words and tags. Every word scores positive and every tag negative; one
 linear scan finds the contiguous run with the greatest sum, and that run is the main text, but for
-sections that are no text of an article (menus, adverts, forms, comments and the like) within it.
+sections that are no text of an article (menus, adverts, forms, comments and the like) within it: such
+elements, and containers of such a class or role. A name on a heading, a paragraph or within a line cuts
+nothing, as it mostly is an anchor, and an id of a container does only if it names a part of the layout
+or if the container has neither a headed text nor a paragraph of some length.
 
 Weights are log odds of standing inside the article rather than outside it, counted on labelled
 pages: a bounded sample of the pages that mark their own article. A word's feature is where it
-stands (inside a mark, outside one, in an apart section, or on a page without marks), its element,
+stands (inside a mark, outside one, in an apart section, on a page without marks, or there in a section of such an id that stays), its element,
 the length of its block and whether that is a link; a tag's is where it stands and its name.
 Labelled pages are counted twice, with their marks and names and without both, so that pages
 without marks are scored from the same labels.
@@ -52,6 +55,11 @@ SITE = frozenset(
 COMMENTS = frozenset("comment comments respond disqus".split())
 #: Names that parts of an article have too: within a marked one they say nothing.
 OWN = frozenset("header masthead alert notice banner".split())
+#: Elements that hold sections; of those names the ones that stand for a part of the layout as an id, too.
+CONTAINERS = frozenset("div section article main ul ol dl li table header center".split())
+LAYOUT = frozenset("nav navbar navigation sidebar footer masthead breadcrumb breadcrumbs pagination pager toolbar popup modal adsense".split())
+#: Words of paragraphs from which on a section with such an id is text.
+PARAGRAPH = 25
 #: First parts of names that tell a state of the layout.
 STATES = frozenset("has have no not with without is hide show".split())
 
@@ -83,27 +91,30 @@ class Block:
 
 @dataclass(slots=True)
 class _Section:
-    """An element apart by its name: the section around it, whether it holds comments, its first block and the one after its last."""
+    """An element apart by its name: the section around it, whether it holds comments, its first block and the one after its last, whether only its id says so."""
 
     parent: int
     comments: bool
     first: int
     last: int = -1
+    weak: bool = False
 
 
-def _names(attributes: str) -> tuple[list[str], list[str]]:
-    """What class, id and role say, and what role and itemprop say alone."""
-    names, roles = [], []
+def _names(attributes: str) -> tuple[list[str], list[str], list[str]]:
+    """What class and role say, what id says, and what role and itemprop say alone."""
+    names, ids, roles = [], [], []
     if attributes and _SPEAKS.search(attributes):
         for m in _ATTRIBUTE.finditer(attributes):
             key = m[1].lower()
             if key in ("class", "id", "role", "itemprop"):
                 said = (m[2] or m[3] or m[4] or "").split()
-                if key != "itemprop":
+                if key in ("class", "role"):
                     names += said
+                if key == "id":
+                    ids += said
                 if key in ("role", "itemprop"):
                     roles += said
-    return names, roles
+    return names, ids, roles
 
 
 def _apart_name(name: str, marked: bool) -> str | None:
@@ -119,6 +130,19 @@ def _apart_name(name: str, marked: bool) -> str | None:
     return None
 
 
+def _section_of(element: str, names: list[str], ids: list[str], marked: bool) -> str | None:
+    """"comments", "apart" or "weak" (by an id that may be an anchor) for a container whose names set it apart, else None."""
+    if element not in CONTAINERS:
+        return None
+    said = next((x for x in (_apart_name(n, marked) for n in names) if x), None)
+    for n in () if said else ids:
+        kind = _apart_name(n, marked)
+        if kind == "apart" and not LAYOUT.intersection(p.lower() for p in _PART.findall(n)):
+            kind = None if marked else "weak"
+        said = said or kind
+    return said
+
+
 def _tag_end(page: str, at: int, lost: set[str]) -> int:
     """Where the tag that goes on at `at` ends, by its first > outside of quoted values; -1 if it is cut off by the page's end."""
     while m := _STOP.search(page, at):
@@ -212,15 +236,13 @@ def blocks_of(page: str) -> list[Block]:
                 close(next(i for i, x in enumerate(stack) if x[0] == "head"))
                 element, hard, section, root = stack[-1] if stack else ("", False, 0, 0)
             attributes = page[m.end() : end]
-            names, roles = _names(attributes)
+            names, ids, roles = _names(attributes)
             own_hard, own_section, own_root = hard, section, root
             if name in APART or (name == "header" and not root):
                 own_hard = True
-            elif names and name not in ("html", "body"):
-                said = next((s for s in (_apart_name(x, root > 0) for x in names) if s), None)
-                if said:
-                    own_section = len(sections)
-                    sections.append(_Section(section, said == "comments" or sections[section].comments, len(found)))
+            elif (names or ids) and (said := _section_of(name, names, ids, root > 0)):
+                own_section = len(sections)
+                sections.append(_Section(section, said == "comments" or sections[section].comments, len(found), weak=said == "weak"))
             if (name in MARKS or "main" in roles or "articleBody" in roles) and not root and not sections[own_section].comments and not (hard and not _only_forms(stack)):
                 roots += 1
                 own_root, own_hard = roots, False
@@ -250,21 +272,27 @@ def _raw_end(name: str) -> re.Pattern:
 
 def _resolved(found: list[tuple], sections: list[_Section], marked: bool) -> list[Block]:
     """The blocks with their features, once it is known which named sections are apart."""
-    words, content = [0], [0]
+    words, content, heads, other, prose = [0], [0], [0], [0], [0]
     sizes = [f[0].count(" ") + 1 for f in found]
     for f, k in zip(found, sizes, strict=True):
         words.append(words[-1] + (0 if f[2] else k))
         content.append(content[-1] + (f[4] > 0))
-    apart = [False]
+        kind = None if f[2] or f[5] else KINDS.get(f[1], "other")
+        heads.append(heads[-1] + (kind == "heading"))
+        other.append(other[-1] + (kind not in (None, "heading")))
+        prose.append(prose[-1] + (k if kind == "prose" else 0))
+    apart, named = [False], [False]
     for s in sections[1:]:
         last = s.last if s.last >= 0 else len(found)
         most = 2 * (words[last] - words[s.first]) > words[-1] and (not marked or content[last] > content[s.first])
-        apart.append(apart[s.parent] or s.comments or not most)
+        text = s.weak and (prose[last] - prose[s.first] >= PARAGRAPH or (heads[last] > heads[s.first] and other[last] > other[s.first]))
+        apart.append(apart[s.parent] or s.comments or not (most or text))
+        named.append(named[s.parent] or (s.weak and text))
     out = []
     for (text, element, hard, section, root, linked, tags), k in zip(found, sizes, strict=True):
         away = hard or apart[section]
         shape = (KINDS.get(element, "other"), min(k.bit_length(), 7), linked)
-        place = "apart" if away else "in" if root else "out" if marked else "plain"
+        place = "apart" if away else "in" if root else "out" if marked else "named" if named[section] else "plain"
         block = Block(text, k, root > 0 and not away, away, (place, *shape), [])
         block.hidden = ("apart" if hard else "plain", *shape)
         for name, t_hard, t_section, t_root, edge, boundary in tags:
@@ -284,10 +312,10 @@ def _prior(kind: str, feature: tuple) -> float:
     place = feature[0]
     if kind == "tag":
         return {"edge": -COST, "inner": 0.0, "apart": -4.0, "in": 4.0, "out": -1.0}.get(place, -TAG_PRIOR.get(feature[1], 1.0))
-    if place != "plain":
+    if place not in ("plain", "named"):
         return {"in": 4.0, "out": -3.0, "apart": -4.0}[place]
     _, element, size, linked = feature
-    return (WORD_PRIOR[element] + 0.15 * (size - 3)) * (0.1 if linked else 1.0)
+    return (WORD_PRIOR[element] + 0.15 * (size - 3)) * (0.1 if linked else 1.0) * (0.7 if place == "named" else 1.0)
 
 
 @dataclass

@@ -122,6 +122,37 @@ def test_nothing_else_is_dropped_within_an_article(inner, want, mark):
     assert H.main_text(last, H.Weights()) == "\n".join(x for x in (LONG, want) if x)
 
 
+ANCHORS = [
+    '<h2 id="Advertising">Advertising rules</h2>',
+    '<h2 id="menu">The school menu</h2>',
+    '<section id="social"><h2>Social policy</h2><p>It changed in May.</p></section>',
+    '<p id="comment">The mayor gave a comment on it.</p>',
+    '<h3 class="share">A fair share</h3>',
+    f'<div id="notice"><p>{LONG}</p></div>',
+    '<p>They <span class="ad">placed</span> an <b id="footer">advert</b> there.</p>',
+    '<ul><li>one <i class="menu">menu</i></li></ul>',
+]
+
+
+@pytest.mark.parametrize("inner", ANCHORS)
+@pytest.mark.parametrize("mark", ["article", "main", 'div class="content"', "div"])
+@pytest.mark.parametrize("trained", [False, True])
+def test_names_of_headings_paragraphs_and_anchors_cut_nothing(inner, mark, trained):
+    w = learned([f"<nav><ul><li><a>menu</a></ul></nav><div class='ad'>buy now</div><article><h1>t</h1><p>{'w ' * k}</article>" for k in range(1, 60)]) if trained else H.Weights()
+    want = "\n".join(" ".join(re.sub(r"<[^>]*>", "", x).split()) for x in re.split(r"</(?:h2|h3|p|li)>", inner) if re.sub(r"<[^>]*>", "", x).strip())
+    page = f"<nav><p>menu</p></nav><{mark}><p>{LONG}</p>{inner}<p>{LONG}</p></{mark.split()[0]}><footer><p>foot</p></footer>"
+    assert H.main_text(page, w) == "\n".join([LONG, want, LONG])
+
+
+@pytest.mark.parametrize("inner", [
+    '<div class="ad"><h2>Buy</h2><p>now</p></div>', '<ul class="menu"><li>one</li></ul>', '<div id="comments"><h2>Comments</h2><p>First, I say.</p></div>', '<li class="comment"><p>A reader.</p></li>',
+    '<div id="sidebar"><h3>About</h3><p>Some words.</p></div>', '<div id="social">Follow us</div>', '<div id="share"><a>tell</a> <a>others</a></div>', '<section class="newsletter"><p>Join</p></section>',
+])
+def test_menus_adverts_and_comments_still_go(inner):
+    page = f"<nav><p>menu</p></nav><div><p>{LONG}</p>{inner}<p>{LONG}</p></div><footer><p>foot</p></footer>"
+    assert H.main_text(page, H.Weights()) == f"{LONG}\n{LONG}"
+
+
 def test_heads_without_an_end_and_pages_within_a_form():
     assert H.main_text(f"<html><head><title>t</title><body><p>{LONG}", H.Weights()) == LONG
     assert H.main_text(f"<form><main><p>{LONG}</p></main></form>", H.Weights()) == LONG
