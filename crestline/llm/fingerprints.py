@@ -134,6 +134,8 @@ def from_text(text: str) -> np.ndarray:
 
 
 def _numbers(values: np.ndarray) -> bytes:
+    if not (values > 127).any():
+        return values.astype(np.uint8).tobytes()
     long = sum((values >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10)) + 1
     at = np.cumsum(long) - long
     out = np.zeros(int(long.sum()), np.uint8)

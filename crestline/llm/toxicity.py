@@ -3,14 +3,17 @@
 Words map to classes (insult, threat, target, negation, reporting, intent, quote). Five small
 machines read the classes of a clause, one each for insults, threats, targets, negation and reported
 speech; their composition is one table whose arcs say what a matched word counts as: a bare,
-targeted, negated or reported insult, a threat, or a target after an insult. Each arc has a weight,
-a clause's score is the sum over its path of arc weight times word weight, and a document is
-scored from its clauses: the same words in other clauses give another score.
+targeted, negated or reported insult, a threat, or a target after an insult. Each arc has a weight.
+
+A clause's strength is the sum over its path of arc weight times word weight, and its score
+1 - exp(-RATE * strength ** POWER): what stands together in a clause counts more than apart. The clauses'
+scores are combined by noisy-or; a logistic regression on that and on the highest clause score gives
+the document's score. So the same words in other clauses give another score.
 
 Lexica and weights are learned: stems (words and word beginnings) that are significantly more
-frequent in toxic documents are threats if they mostly follow a word of intent, else insults; arc
-weights are fitted within the order that the grammar sets, and a logistic regression over the
-clauses' total gives the score. All are fitted on a bounded sample of labelled rows (SAMPLE).
+frequent in toxic documents are threats if they mostly follow a word of intent, else insults; stems that
+differ in their last letter only share one weight; arc weights are fitted within the order that the
+grammar sets. All are fitted on a bounded sample of labelled rows (SAMPLE).
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crestline.llm.common import durable
+from crestline.llm.fitting import labelled_sample, logistic
 from crestline.llm.near_dedup import minwise, shingles
 
 #: Labelled rows of each class that the fit may use at most, stems that the lexicon may hold.
 SAMPLE, STEMS = {1: 4_000, 0: 8_000}, 2_000
+#: Log odds of a stem from which on it weighs as much as a seed insult.
+SURE = 5.0
 #: Stems are words and word beginnings that go on. One counts if toxic documents have it so many times as often as others, and if chance would
 #: give that less than exp(-SURPRISE) times over all stems in at least SUPPORT toxic documents.
 RATIO, SURPRISE, SUPPORT, BEGINNINGS = 15.0, 3.0, 4, (4, 5, 6, 7, 8)
@@ -156,37 +162,59 @@ class Grammar:
                     known[t] = self.classify(t)
             return [known[t] for t in tokens]
 
-    def matches(self, text: str) -> np.ndarray:
-        """Sums of word weights by kind of match over all clauses, then the number of words and marks."""
+    def clauses(self, text: str) -> tuple[list[tuple[float, ...]], int]:
+        """Of each clause with a match the sums of word weights by kind of match; the number of the text's words and marks."""
         found = self.classes(text)
-        sums = np.zeros(MATCHES + 1)
-        sums[MATCHES] = len(found)
+        out: list[tuple[float, ...]] = []
         if not any(c == INSULT or c == THREAT for c, _ in found):
-            return sums
-        state = 0
+            return out, len(found)
+        state, sums, matched = 0, [0.0] * MATCHES, False
         for c, w in found:
             if c == END:
+                if matched:
+                    out.append(tuple(sums))
+                    sums, matched = [0.0] * MATCHES, False
                 state = 0
                 continue
             o = self.out[state][c]
             state = self.next[state][c]
             if o >= 0:
                 sums[o] += w or 1.0
-        return sums
+                matched = True
+        if matched:
+            out.append(tuple(sums))
+        return out, len(found)
+
+    def matches(self, text: str) -> np.ndarray:
+        """Sums of word weights by kind of match over all clauses, then the number of words and marks."""
+        found, words = self.clauses(text)
+        return np.append(np.sum(found, axis=0) if found else np.zeros(MATCHES), words)
 
 
+#: A clause's score is 1 - exp(-RATE * strength ** POWER); one bare insult has the strength 1.
+RATE, POWER = 0.2, 1.5
 #: Weights of the arcs by kind of match before any label is seen, and the bounds that the grammar sets to what is learned:
 #: a negated or reported insult never counts more than half a bare one, one at a target or a threat never less.
 ARCS = np.array([1.0, 1.5, 0.25, 0.25, 1.5, 0.5])
 BOUNDS = ((1.0, 1.0), (1.0, 3.0), (0.05, 0.5), (0.05, 0.5), (1.0, 3.0), (0.0, 1.0))
-#: Of features(): intercept, log of the total, its share of the words, whether it goes beyond one bare insult.
+#: Of features(): intercept, log of the noisy-or in single insults, highest clause score, whether the noisy-or goes beyond one bare insult.
 PLAIN = np.array([-4.0, 1.5, 1.0, 3.0])
 
 
-def features(sums: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-    """Of rows of matches: an intercept, the clauses' total score (by weighted arcs) on a log scale, its share of the words, how far it goes from 1 to 2."""
-    total, words = sums[:, :MATCHES] @ arcs, np.maximum(1, sums[:, MATCHES])
-    return np.column_stack([np.ones(len(sums)), np.log1p(total), np.minimum(1, 10 * total / words), np.clip(total - 1, 0, 1)])
+def clause_scores(clauses: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    """Of rows of sums by kind of match, a clause each: scores in 0..1."""
+    return 1 - np.exp(-RATE * (clauses[:, :MATCHES] @ arcs) ** POWER)
+
+
+def features(scores: np.ndarray, of: np.ndarray, documents: int, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Of documents, from the scores of their clauses (clause k stands times[k] times in document of[k]).
+
+    An intercept, their noisy-or on a log scale of single insults, the highest score, how far the noisy-or goes from 1 to 2 insults.
+    """
+    insults_worth = np.bincount(of, weights=-times * np.log1p(-np.minimum(scores, 1 - 1e-12)) / RATE, minlength=documents)
+    highest = np.zeros(documents)
+    np.maximum.at(highest, of, scores)
+    return np.column_stack([np.ones(documents), np.log1p(insults_worth), highest, np.clip(insults_worth - 1, 0, 1)])
 
 
 @dataclass
@@ -207,8 +235,10 @@ class Model:
         return self._grammar
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        grammar = self.grammar()
-        x = features(np.array([grammar.matches(t) for t in texts]).reshape(len(texts), MATCHES + 1), self.arcs)
+        found = [self.grammar().clauses(t)[0] for t in texts]
+        of = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        clauses = np.array([c for f in found for c in f]).reshape(-1, MATCHES)
+        x = features(clause_scores(clauses, self.arcs), of, len(texts))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -244,19 +274,8 @@ def _first_of_copies(rows: DataFrame) -> frozenset:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of at most SAMPLE labelled rows of each class that are not held out, by hash order; and all such rows' counts.
-
-    A doc_id with several labels is toxic if any of them says so; of several documents with one doc_id, one is taken (by the texts' hashes).
-    """
-    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
-    counts = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
-    picked = None
-    for y, most in SAMPLE.items():
-        part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("x")).join(F.broadcast(picked), "doc_id")
-    return durable(found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("doc_id", "x.text", "y")), counts
+    """(doc_id, text, y) of at most SAMPLE labelled rows of each class that are not held out, by hash order; and all such rows' counts; a doc_id with several labels is toxic if any of them says so."""
+    return labelled_sample(docs, labels, label, held_out(F.col("doc_id")), SAMPLE)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -299,14 +318,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grammar = fitted.grammar()
         for b in batches:
-            yield pd.DataFrame({"y": b.y, "m": [grammar.matches(t).tolist() for t in b.text]})
+            for y, text in zip(b.y, b.text, strict=True):
+                found = Counter(grammar.clauses(text)[0])  # like clauses once, with how often they stand
+                yield pd.DataFrame({"y": [y], "m": [[x for c in found for x in c]], "n": [list(found.values())]})
 
-    table = rows.mapInPandas(sums, "y int, m array<double>").toPandas()  # of at most the sampled rows, one a doc_id, a few numbers each
+    table = rows.mapInPandas(sums, "y int, m array<double>, n array<long>").toPandas()  # of at most the sampled rows, one a doc_id, their unlike clauses
     if table.y.nunique() < 2:
         return fitted
-    found, y = np.array(table.m.tolist()), table.y.to_numpy(float)
+    y, times = table.y.to_numpy(float), [np.asarray(n, np.int64) for n in table.n]
+    of = np.repeat(np.arange(len(y)), [len(n) for n in times])
+    clauses = np.concatenate([np.asarray(m, float) for m in table.m]).reshape(-1, MATCHES)
     weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    arcs, weights = fit(found, y, weight / weight.mean())
+    arcs, weights = fit(clauses, y, weight / weight.mean(), of, np.concatenate(times))
     return Model(fitted.lexicon, fitted.threats, arcs, weights)
 
 
@@ -338,18 +361,21 @@ def _threats_among(toxic: DataFrame, lexicon: dict[str, float]) -> set[str]:
     return {r.stem for r in found.where((F.col("m") >= SUPPORT) & (F.col("m") >= THREATENS * F.col("n"))).collect()}
 
 
-def fit(sums: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit(clauses: np.ndarray, y: np.ndarray, weight: np.ndarray, of: np.ndarray | None = None, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Arc weights within BOUNDS and weights of features: coordinate search over arcs, a logistic regression for each choice.
 
-    What labels do not tell stays near ARCS. No feature counts against a document.
+    Clause k stands times[k] times in document of[k] (without `of`: once, in document k). What labels do not tell stays near ARCS.
+    No feature counts against a document.
     """
+    of = np.arange(len(clauses)) if of is None else of
+    times = np.ones(len(clauses)) if times is None else times
 
     def cost(arcs: np.ndarray) -> tuple[float, np.ndarray]:
-        x = features(sums, arcs)
-        w = _logistic(x, y, weight)
+        x = features(clause_scores(clauses, arcs), of, len(y), times)
+        w = logistic(x, y, weight)
         while (w[1:] < 0).any():  # what would count against a document goes
             x = x * np.r_[1.0, w[1:] > 0]
-            w = _logistic(x, y, weight)
+            w = logistic(x, y, weight)
             w[1:][~x[:, 1:].any(axis=0)] = 0
         z = np.clip(x @ w, -30, 30)
         loss = float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
@@ -375,7 +401,7 @@ def fit(sums: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
 def _shortest(kept: list[tuple[str, int, int]], bad: int, good: int) -> dict[str, float]:
     """Stems that stand for all that are kept: a beginning gives way to one that is longer and as frequent; what a kept beginning covers goes."""
     count = {s: (b, g) for s, b, g in kept}
-    value = lambda b, g: float(min(1.0, max(0.2, np.log(((b + 0.5) / bad) / ((g + 0.5) / good)) / 5)))
+    value = lambda b, g: float(min(1.0, max(0.2, np.log(((b + 0.5) / bad) / ((g + 0.5) / good)) / SURE)))
     starts = sorted((s for s in count if s.endswith("*")), key=len)
     longer: dict[str, int] = {}
     for s in starts:
@@ -390,27 +416,17 @@ def _shortest(kept: list[tuple[str, int, int]], bad: int, good: int) -> dict[str
         stem = s[:-1]
         if longer.get(stem, 0) < 0.95 * count[s][0] and not any(stem[:n] + "*" in out for n in BEGINNINGS if n < len(stem)):
             out[s] = value(*count[s])
+    alike: dict[str, list[str]] = {}
+    for s in out:
+        alike.setdefault(s[:-2], []).append(s)
+    for group in alike.values():  # endings of one stem share a weight, that of their counts together
+        out.update(dict.fromkeys(group, value(*(sum(count[s][k] for s in group) for k in (0, 1)))))
     for w in words:
         if not any(w[:n] + "*" in out for n in BEGINNINGS if len(w) > n):
             out[w] = value(*count[w])
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weighted logistic regression by Newton's method, with a small ridge on all but the intercept."""
-    w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1]) * ridge
-    keep[0, 0] = 1e-6
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + keep @ w
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + keep, grad)
-        w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add `out` in 0..1 to docs. Null and empty texts match nothing and get the score of that; whole texts are read; other columns stay."""
 

@@ -148,3 +148,57 @@ def test_held_out_labels_of_the_given_tables(spark):
     toxic, clean = found[1, True] + found.get((1, False), 0), found[0, False] + found.get((0, True), 0)
     print(found, model.arcs, model.weights)
     assert toxic > 100 and found[1, True] >= 0.88 * toxic and found.get((0, True), 0) <= 0.005 * clean
+
+
+def test_clause_scores_against_a_plain_reading():
+    """Each clause's strength by arcs that match in the machines read apart; noisy-or and highest score of the document."""
+    rng = random.Random(8)
+    words = "idiot moron you will kill not said plain words here . ! \" and".split()
+    model = T.Model({"idiot": 1.0, "moron": 0.5}, {}, T.ARCS, T.PLAIN)
+    g = model.grammar()
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 50)))
+        want, clause = [], []
+        for c, w in [*g.classes(text), (T.END, 0.0)]:
+            if c != T.END:
+                clause.append((c, w))
+                continue
+            strength = sum(T.ARCS[o] * (weight or 1.0) for o, (_, weight) in zip(apart([k for k, _ in clause]), clause, strict=True) if o >= 0)
+            if strength and any(k in (T.INSULT, T.THREAT) for k, _ in g.classes(text)):
+                want.append(1 - np.exp(-T.RATE * strength**T.POWER))
+            clause = []
+        got = T.clause_scores(np.array(g.clauses(text)[0]).reshape(-1, T.MATCHES), T.ARCS)
+        assert np.allclose(got, want)
+        worth = -np.log(1 - (1 - np.prod(1 - np.array(want)))) / T.RATE
+        x = np.array([1.0, np.log1p(worth), max(want, default=0.0), np.clip(worth - 1, 0, 1)])
+        assert np.isclose(model.scores([text])[0], 1 / (1 + np.exp(-x @ T.PLAIN)))
+
+
+def test_words_of_one_clause_count_more_than_apart():
+    model = T.Model({"idiot": 1.0, "moron": 1.0}, {}, T.ARCS, T.PLAIN)
+    together, spread = model.scores(["an idiot and a moron here . plain words there .", "an idiot here . plain words and a moron there ."])
+    assert together > spread
+
+
+def test_like_clauses_are_counted_once_in_the_fit():
+    rng = np.random.default_rng(6)
+    clauses, of = rng.random((60, T.MATCHES)), rng.integers(0, 20, 60)
+    twice = T.features(T.clause_scores(np.repeat(clauses, 3, axis=0), T.ARCS), np.repeat(of, 3), 20)
+    assert np.allclose(twice, T.features(T.clause_scores(clauses, T.ARCS), of, 20, np.full(60, 3)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_planted_documents_with_the_same_words_in_other_clauses(spark, tmp_path):
+    """Through the query itself, learned from given labels: who is insulted, and whether it is denied or reported, decides."""
+    from crestline.llm import queries
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    planted = {10**9 + i: (k, f"{plain} {text} . {plain}") for i, (k, text, plain) in enumerate((k, t, p) for p in ("the words of a day", "some more of them here and there") for k, t in CLAUSES.items())}
+    rows = spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, (_, t) in planted.items()], docs.schema)
+    docs.unionByName(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, str(tmp_path)).where(F.col("doc_id") >= 10**9).collect()}
+    for i in (0, 4):
+        score = {planted[10**9 + i + k][0]: got[10**9 + i + k] for k in range(4)}
+        assert score["targeted"].score > score["bare"].score > max(score["negated"].score, score["reported"].score)
+        assert score["targeted"].predicted == 1 and score["negated"].predicted == score["reported"].predicted == 0
