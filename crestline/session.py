@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for written files: in the cluster's shared folder, in a local one only in a local session where none is set."""
+    return f"{shared_folder(spark) or tempfile.mkdtemp(prefix='crestline-')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder (an own folder only in a local session where none is set)."""
     sc = df.sparkSession.sparkContext
