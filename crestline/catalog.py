@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline import catalog_pixels, catalog_sources
+from crestline import catalog_contours, catalog_pixels, catalog_sources
 from crestline.functions import geometry as G
 from crestline.functions import quality as Q
 from crestline.operators import clustering, features, frames
@@ -400,11 +400,11 @@ ORACLES = {
 ORACLES["shot_ranges_blocked"] = ORACLES["shot_ranges"]
 ORACLES["selected_pixels"] = f"WITH {_E}, {_D}, {_R}, {catalog_pixels._F} SELECT r.label, shot_id, rank, r.vec_id, {catalog_pixels._check('v').replace(' AS v', ' AS pixels')} FROM rep r JOIN f ON f.label = r.label AND f.vec_id = r.vec_id"
 _OWN = set(ORACLES) - {"selected_pixels"}
-ORACLES |= catalog_pixels.ORACLES | catalog_sources.oracle_sql(ORACLES["selected_outputs"])
+ORACLES |= catalog_pixels.ORACLES | catalog_contours.ORACLES | catalog_sources.oracle_sql(ORACLES["selected_outputs"])
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES if name in _OWN} | catalog_pixels.queries() | catalog_sources.queries()
+    return {name: globals()[name] for name in ORACLES if name in _OWN} | catalog_pixels.queries() | catalog_contours.queries() | catalog_sources.queries()
 
 
 def oracle_sql() -> dict[str, str]:
