@@ -400,7 +400,7 @@ ORACLES = {
 ORACLES["shot_ranges_blocked"] = ORACLES["shot_ranges"]
 ORACLES["selected_pixels"] = f"WITH {_E}, {_D}, {_R}, {catalog_pixels._F} SELECT r.label, shot_id, rank, r.vec_id, {catalog_pixels._check('v').replace(' AS v', ' AS pixels')} FROM rep r JOIN f ON f.label = r.label AND f.vec_id = r.vec_id"
 _OWN = set(ORACLES) - {"selected_pixels"}
-ORACLES |= catalog_pixels.ORACLES | catalog_contours.ORACLES | catalog_sources.oracle_sql(ORACLES["selected_outputs"])
+ORACLES |= catalog_pixels.ORACLES | catalog_contours.ORACLES | {"pixel_areas": catalog_contours.areas_oracle(_P, _IN)} | catalog_sources.oracle_sql(ORACLES["selected_outputs"])
 
 
 def queries() -> dict:

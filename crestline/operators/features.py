@@ -31,24 +31,37 @@ def stack(**kinds: DataFrame) -> DataFrame:
 def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column, cell: float | None = 256.0) -> DataFrame:
     """A row for each point and ellipse of one image that holds it: the ellipse's columns, then the point's.
 
-    An ellipse goes to the cells of its bounding square that the image has; `cell` None joins on the image alone.
+    Grids of doubling cells lie over an image, the finest of `cell` pixels. An ellipse goes to the grid whose
+    cells are as large as what the image has of its bounding square, so to four cells at most; a point asks its
+    cell in each grid, of which there are as many as doublings from `cell` to the image's size. `cell` None
+    joins on the image alone.
     """
     e = ellipses.where(G.valid(F.col("w"), F.col("h")))
     test = G.inside(*(F.col(c) for c in ("x", "y", "cx", "cy", "w", "h", "angle")), width, height)
     p = points.withColumnRenamed("image_id", "__image")
     if cell is None:
         return e.join(p, (F.col("image_id") == F.col("__image")) & test).drop("__image")
-    reach = F.greatest("w", "h") / 2 + 1
+    e = cells_of(e, width, height, cell)
+    last = F.greatest(F.ceil(F.log2(F.greatest(width, height).cast("double") / cell)), F.lit(0)).cast("int")
+    p = p.withColumn("__pl", F.explode(F.sequence(F.lit(0), last)))
+    side = cell * F.pow(F.lit(2.0), F.col("__pl"))
+    p = p.withColumn("__px", F.floor(G.whole(F.col("x")) / side)).withColumn("__py", F.floor(G.whole(F.col("y")) / side))
+    on = (F.col("image_id") == F.col("__image")) & (F.col("__level") == F.col("__pl")) & (F.col("__gx") == F.col("__px")) & (F.col("__gy") == F.col("__py"))
+    return e.join(p, on & test).drop("__image", "__level", "__gx", "__gy", "__pl", "__px", "__py")
 
-    def spread(c: str, size: Column, name: str) -> Column:
-        low = F.floor(F.greatest(F.col(c) - reach, F.lit(0.0)) / cell)
-        high = F.floor(F.least(F.col(c) + reach, size.cast("double") - 1) / cell)
-        return F.explode(F.when(low <= high, F.sequence(low, high))).alias(name)
 
-    e = e.select("*", spread("cx", width, "__gx")).select("*", spread("cy", height, "__gy"))
-    p = p.withColumn("__px", F.floor(G.whole(F.col("x")) / cell)).withColumn("__py", F.floor(G.whole(F.col("y")) / cell))
-    on = (F.col("image_id") == F.col("__image")) & (F.col("__gx") == F.col("__px")) & (F.col("__gy") == F.col("__py"))
-    return e.join(p, on & test).drop("__image", "__gx", "__gy", "__px", "__py")
+def cells_of(ellipses: DataFrame, width: Column, height: Column, cell: float) -> DataFrame:
+    """A row for each of the at most four cells that an ellipse has in its grid: __level, __gx, __gy. One beside the image has none."""
+    reach = F.greatest("w", "h") / 2 + 1
+    low = {c: F.floor(F.greatest(F.col(c) - reach, F.lit(0.0))) for c in ("cx", "cy")}
+    high = {c: F.floor(F.least(F.col(c) + reach, size.cast("double") - 1)) for c, size in (("cx", width), ("cy", height))}
+    e = ellipses.where((low["cx"] <= high["cx"]) & (low["cy"] <= high["cy"]))
+    extent = F.greatest(*[high[c] - low[c] + 1 for c in ("cx", "cy")]).cast("double")
+    e = e.withColumn("__level", F.greatest(F.ceil(F.log2(extent / cell)), F.lit(0)).cast("int"))
+    side = cell * F.pow(F.lit(2.0), F.col("__level"))
+    for c, out in (("cx", "__gx"), ("cy", "__gy")):
+        e = e.withColumn(out, F.explode(F.sequence(F.floor(low[c] / side), F.floor(high[c] / side))))
+    return e
 
 
 def centre_weight(x: Column, y: Column, width: Column, height: Column, weight: float = 2.0) -> Column:
