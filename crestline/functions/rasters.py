@@ -1,7 +1,7 @@
 """Pixel operations on arrays (row-major, width and height known) as column expressions, without leaving the JVM.
 
-Where a pixel's neighbours lie is worked out once, as literal index arrays. Borders mirror without
-repeating the edge ("mirror") or repeat it ("edge").
+Where a pixel's neighbours lie is worked out from its index, so that a plan does not grow with the
+frame; width and height may be columns. Borders mirror without repeating the edge ("mirror") or repeat it ("edge").
 """
 
 from __future__ import annotations
@@ -19,35 +19,53 @@ XYZ = ((0.180423, 0.357580, 0.412453), (0.072169, 0.715160, 0.212671), (0.950227
 WHITE = (0.950456, 1.0, 1.088754)
 
 
-def _inside(k: int, n: int, border: str) -> int:
-    if border == "edge" or n == 1:
-        return min(max(k, 0), n - 1)
-    while not 0 <= k < n:
-        k = -k if k < 0 else 2 * n - 2 - k
-    return k
+Size = Column | int
 
 
-def _literal(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values)) if len(values) < 64 else F.from_json(F.lit(str(values)), "array<int>")
+def _col(n: Size) -> Column:
+    return n if isinstance(n, Column) else F.lit(n)
 
 
-def neighbours(width: int, height: int, dx: int, dy: int, border: str = "mirror") -> Column:
-    """For each pixel the index of the one at (dx, dy) from it."""
-    return _literal([_inside(y + dy, height, border) * width + _inside(x + dx, width, border) for y in range(height) for x in range(width)])
+def _column(i: Column, width: Size) -> Column:
+    return i % width
 
 
-def stencil(v: Column, width: int, height: int, taps: list[tuple[int, int, float]], border: str = "mirror") -> Column:
+def _row(i: Column, width: Size) -> Column:
+    return ((i - i % width) / width).cast("int")
+
+
+def _pixels(width: Size, height: Size) -> Column:
+    """The indexes of all pixels; none for a frame without any."""
+    n = (_col(width) * height).cast("int")
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _inside(k: Column, n: Size, border: str) -> Column:
+    """The place in 0..n-1 that stands for k."""
+    last = _col(n) - 1
+    if border == "edge":
+        return F.least(F.greatest(k, F.lit(0)), last)
+    return last - F.abs(last - F.pmod(k, F.greatest(2 * last, F.lit(1))))
+
+
+def neighbour(i: Column, width: Size, height: Size, dx: int, dy: int, border: str = "mirror") -> Column:
+    """The index of the pixel at (dx, dy) from pixel i."""
+    x = _inside(_column(i, width) + dx, width, border) if dx else _column(i, width)
+    y = _inside(_row(i, width) + dy, height, border) if dy else _row(i, width)
+    return (y * width + x).cast("int")
+
+
+def stencil(v: Column, width: Size, height: Size, taps: list[tuple[int, int, float]], border: str = "mirror") -> Column:
     """Per pixel the weighted sum of its neighbours (dx, dy, weight)."""
-    at = [(neighbours(width, height, dx, dy, border), w) for dx, dy, w in taps]
 
     def total(i: Column) -> Column:
         out = None
-        for index, w in at:
-            cell = F.get(v, F.get(index, i)) * F.lit(w)
+        for dx, dy, w in taps:
+            cell = F.get(v, neighbour(i, width, height, dx, dy, border)) * F.lit(w)
             out = cell if out is None else out + cell
         return out
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), total)
+    return F.transform(_pixels(width, height), total)
 
 
 def saturate(v: Column) -> Column:
@@ -55,44 +73,43 @@ def saturate(v: Column) -> Column:
     return F.transform(v, lambda x: F.least(F.greatest(F.rint(x), F.lit(0.0)), F.lit(255.0)).cast("int"))
 
 
-def filter2d(v: Column, width: int, height: int, kernel) -> Column:
+def filter2d(v: Column, width: Size, height: Size, kernel) -> Column:
     """Correlation with an odd square kernel, saturated."""
     n = len(kernel) // 2
     taps = [(dx - n, dy - n, float(k)) for dy, row in enumerate(kernel) for dx, k in enumerate(row) if k]
     return saturate(stencil(v, width, height, taps))
 
 
-def gaussian(v: Column, width: int, height: int) -> Column:
+def gaussian(v: Column, width: Size, height: Size) -> Column:
     """The 5 x 5 blur."""
     k = (1, 4, 6, 4, 1)
     return filter2d(v, width, height, [[a * b / 256 for b in k] for a in k])
 
 
-def median(v: Column, width: int, height: int, size: int) -> Column:
+def median(v: Column, width: Size, height: Size, size: int) -> Column:
     """The median of each pixel's square of an odd size; the edge is repeated."""
     n = size // 2
-    at = [neighbours(width, height, dx, dy, "edge") for dy in range(-n, n + 1) for dx in range(-n, n + 1)]
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.get(F.array_sort(F.array(*[F.get(v, F.get(a, i)) for a in at])), len(at) // 2))
-
+    near = lambda i: F.array(*[F.get(v, neighbour(i, width, height, dx, dy, "edge")) for dy in range(-n, n + 1) for dx in range(-n, n + 1)])
+    return F.transform(_pixels(width, height), lambda i: F.get(F.array_sort(near(i)), size * size // 2))
 
-def _gathered(v: Column, index: list[int]) -> Column:
-    return F.transform(_literal(index), lambda i: F.get(v, i))
 
-
-def turned(v: Column, width: int, height: int, quarters: int = 1) -> Column:
+def turned(v: Column, width: Size, height: Size, quarters: int = 1) -> Column:
     """Turned counter-clockwise by so many quarters; odd ones exchange width and height."""
-    grid = [[y * width + x for x in range(width)] for y in range(height)]
-    for _ in range(quarters % 4):
-        grid = [list(row) for row in zip(*grid, strict=True)][::-1]
-    return _gathered(v, [i for row in grid for i in row])
+    w, h = _col(width), _col(height)
+    source = {
+        1: lambda i: _column(i, height) * w + (w - 1 - _row(i, height)),
+        2: lambda i: w * h - 1 - i,
+        3: lambda i: (h - 1 - _column(i, height)) * w + _row(i, height),
+    }.get(quarters % 4)
+    return v if source is None else F.transform(_pixels(width, height), lambda i: F.get(v, source(i).cast("int")))
 
 
-def upright(v: Column, width: int, height: int) -> Column:
+def upright(v: Column, width: Size, height: Size) -> Column:
     """A landscape frame turned a quarter counter-clockwise, others as they are."""
-    return turned(v, width, height) if width > height else v
+    return F.when(_col(width) > height, turned(v, width, height)).otherwise(v)
 
 
-def oriented(v: Column, width: int, height: int, exif: Column) -> Column:
+def oriented(v: Column, width: Size, height: Size, exif: Column) -> Column:
     """Turned as an EXIF orientation says; mirrored and unknown ones stay as they are."""
     return F.when(exif == 3, turned(v, width, height, 2)).when(exif == 6, turned(v, width, height, 3)).when(exif == 8, turned(v, width, height, 1)).otherwise(v)
 
@@ -123,21 +140,22 @@ def lab(blue: Column, green: Column, red: Column) -> tuple[Column, Column, Colum
     return light * 255 / 100, 500 * (f[0] - f[1]) + 128, 200 * (f[1] - f[2]) + 128
 
 
-def corner_scores(v: Column, width: int, height: int) -> Column:
+def corner_scores(v: Column, width: Size, height: Size) -> Column:
     """For each pixel that has a whole ring around it, row by row: the most by which nine ring pixels in a row are all brighter or all darker."""
-    inner = [(x, y) for y in range(3, height - 3) for x in range(3, width - 3)]
-    ring = [_literal([(y + dy) * width + x + dx for x, y in inner]) for dx, dy in RING]
-    middle = _literal([y * width + x for x, y in inner])
+    w, h = _col(width), _col(height)
 
-    def score(i: Column) -> Column:
-        away = F.array(*[F.get(v, F.get(r, i)) - F.get(v, F.get(middle, i)) for r in [*ring, *ring[:8]]])
-        runs = lambda a: F.array_max(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.array_min(F.slice(a, k, F.lit(9)))))
-        return F.greatest(runs(away), runs(F.transform(away, lambda x: -x)))
+    def score(k: Column) -> Column:
+        middle = (_row(k, w - 6) + 3) * w + _column(k, w - 6) + 3
+        away = F.array(*[F.get(v, (middle + dy * w + dx).cast("int")) - F.get(v, middle.cast("int")) for dx, dy in [*RING, *RING[:8]]])
+        # the ring's differences are worked out once, then read from both sides
+        runs = lambda a, sign: F.array_max(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: F.array_min(F.transform(F.slice(a, j, F.lit(9)), lambda x: sign * x))))
+        return F.aggregate(F.array(away), F.lit(None).cast("int"), lambda _, a: F.greatest(runs(a, F.lit(1)), runs(a, F.lit(-1))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(len(inner) - 1)), score) if inner else F.array().cast("array<int>")
+    inner = F.when((w > 6) & (h > 6), F.sequence(F.lit(0), ((w - 6) * (h - 6)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(inner, score)
 
 
-def patch(v: Column, width: int, height: int, x: Column, y: Column, size: int) -> Column:
+def patch(v: Column, width: Size, height: Size, x: Column, y: Column, size: int) -> Column:
     """The square around a point that a corner is judged by, cut at the frame's border; empty where nothing of it is left."""
     half = size // 2
     left, right = F.greatest(x - half, F.lit(0)), F.least(x + half, F.lit(width))
@@ -146,36 +164,37 @@ def patch(v: Column, width: int, height: int, x: Column, y: Column, size: int) -
     return F.when((right > left) & (bottom > top), F.flatten(rows)).otherwise(F.array().cast("array<int>"))
 
 
-def resized(v: Column, width: int, height: int, new_width: int, new_height: int) -> Column:
+def resized(v: Column, width: Size, height: Size, new_width: Size, new_height: Size) -> Column:
     """Scaled bilinearly with pixel centres aligned, saturated."""
-    cells = []
-    for y in range(new_height):
-        for x in range(new_width):
-            px, py = (min(max((k + 0.5) * n / m - 0.5, 0.0), n - 1.0) for k, n, m in ((x, width, new_width), (y, height, new_height)))
-            x0, y0 = int(px), int(py)
-            cells.append((y0 * width + x0, min(x0 + 1, width - 1) - x0, (min(y0 + 1, height - 1) - y0) * width, px - x0, py - y0))
-    at, right, down, fx, fy = (F.array(*map(F.lit, c)) for c in zip(*cells, strict=True))
+
+    def source(k: Column, n: Size, m: Size) -> tuple[Column, Column, Column]:
+        """The pixel before, the one after, and how far it is between them."""
+        p = F.least(F.greatest((k + 0.5) * n / m - 0.5, F.lit(0.0)), _col(n) - 1.0)
+        low = F.floor(p).cast("int")
+        return low, F.least(low + 1, _col(n) - 1), p - low
 
     def cell(i: Column) -> Column:
-        k, r, d, x, y = F.get(at, i), F.get(right, i), F.get(down, i), F.get(fx, i), F.get(fy, i)
-        top = F.get(v, k) * (1 - x) + F.get(v, k + r) * x
-        return top * (1 - y) + (F.get(v, k + d) * (1 - x) + F.get(v, k + d + r) * x) * y
+        x0, x1, fx = source(_column(i, new_width), width, new_width)
+        y0, y1, fy = source(_row(i, new_width), height, new_height)
+        at = lambda x, y: F.get(v, (y * width + x).cast("int"))
+        return (at(x0, y0) * (1 - fx) + at(x1, y0) * fx) * (1 - fy) + (at(x0, y1) * (1 - fx) + at(x1, y1) * fx) * fy
 
-    return saturate(F.transform(F.sequence(F.lit(0), F.lit(new_width * new_height - 1)), cell))
+    return saturate(F.transform(_pixels(new_width, new_height), cell))
 
 
-def gradient_maxima(v: Column, width: int, height: int) -> Column:
+def gradient_maxima(v: Column, width: Size, height: Size) -> Column:
     """For each pixel |gx| + |gy| where that is a maximum along the gradient's direction (to the nearest eighth turn), else 0; outside a frame it is 0."""
     across = [(s, d, float(s * (2 if d == 0 else 1))) for s in (-1, 1) for d in (-1, 0, 1)]
     gx, gy = stencil(v, width, height, across), stencil(v, width, height, [(d, s, w) for s, d, w in across])
     both = F.zip_with(gx, gy, lambda a, b: F.struct((F.abs(a) + F.abs(b)).alias("size"), F.pmod(F.round(F.atan2(b, a) / (F.pi() / 4)).cast("int"), F.lit(4)).alias("turn")))
-    ways = ((1, 0), (1, 1), (0, 1), (-1, 1))
-    # -1 for a neighbour outside: its size counts as 0
-    index = lambda dx, dy: _literal([(y + dy) * width + x + dx if 0 <= x + dx < width and 0 <= y + dy < height else -1 for y in range(height) for x in range(width)])
-    ahead, behind = F.array(*[index(dx, dy) for dx, dy in ways]), F.array(*[index(-dx, -dy) for dx, dy in ways])
+    way_x, way_y = (F.array(*map(F.lit, c)) for c in ((1, 1, 0, -1), (0, 1, 1, 1)))
 
     def thin(all_: Column) -> Column:
-        near = lambda way, p, i: F.coalesce(F.get(all_, F.get(F.get(way, p["turn"]), i))["size"], F.lit(0.0))
-        return F.transform(all_, lambda p, i: F.when((p["size"] > near(behind, p, i)) & (p["size"] >= near(ahead, p, i)), p["size"]).otherwise(0.0))
+        def near(p: Column, i: Column, sign: int) -> Column:
+            x, y = _column(i, width) + sign * F.get(way_x, p["turn"]), _row(i, width) + sign * F.get(way_y, p["turn"])
+            inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+            return F.coalesce(F.get(all_, F.when(inside, (y * width + x).cast("int")))["size"], F.lit(0.0))
+
+        return F.transform(all_, lambda p, i: F.when((p["size"] > near(p, i, -1)) & (p["size"] >= near(p, i, 1)), p["size"]).otherwise(0.0))
 
     return F.aggregate(F.array(both), F.array().cast("array<double>"), lambda _, b: thin(b))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crestline.operators.components import components
 from crestline.session import durable
 
 
@@ -41,16 +42,16 @@ def local_maxima(scores: DataFrame, image: str, threshold: float) -> DataFrame:
 def edges(maxima: DataFrame, image: str, low: float, high: float) -> DataFrame:
     """image, x, y of edge pixels: gradient maxima (image, x, y, size) over `high`, and those over `low` that touch an edge pixel, directly or by others.
 
-    Each round is an equi-join with the pixels found last; there are as many rounds as the longest chain of weak pixels has.
+    Pixels over `low` that touch are one component, found in rounds that grow with the logarithm of a chain; components with a strong pixel stay.
     """
-    weak = durable(maxima.where(F.col("size") > low).select(image, "x", "y", (F.col("size") > high).alias("strong")))
-    found = last = weak.where("strong").select(image, "x", "y")
-    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
-    while not last.isEmpty():
-        near = last.select(image, F.explode(shifts).alias("s"), "x", "y").select(image, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).distinct()
-        last = durable(weak.select(image, "x", "y").join(near, [image, "x", "y"], "left_semi").join(found, [image, "x", "y"], "left_anti"))
-        found = durable(found.unionByName(last))
-    return found
+    weak = durable(maxima.where(F.col("size") > low).groupBy(image, "x", "y").agg((F.max("size") > high).alias("strong")).withColumn("a", F.col("y").cast("long") * (1 << 32) + F.col("x")))
+    shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
+    near = weak.select(image, "a", F.explode(shifts).alias("s")).select(image, "a", (F.col("a") + F.col("s.dy").cast("long") * (1 << 32) + F.col("s.dx")).alias("b"))
+    touching = near.join(weak.select(image, F.col("a").alias("b")), [image, "b"])
+    roots = components(touching, image).withColumnRenamed("node", "a")
+    rooted = weak.join(roots, [image, "a"], "left").withColumn("root", F.coalesce("root", "a"))
+    kept = rooted.where("strong").select(image, "root").distinct()
+    return rooted.join(kept, [image, "root"], "left_semi").select(image, "x", "y")
 
 
 def line_votes(points: DataFrame, image: str, angles: int = 180) -> DataFrame:
