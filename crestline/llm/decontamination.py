@@ -30,6 +30,8 @@ from crestline.llm.common import durable
 WINDOW, SEGMENT_WORDS = 10, 400_000
 #: Windows and bytes of their words that one block has about: what the driver and each worker hold at a time.
 BLOCK_WINDOWS, BLOCK_BYTES = 200_000, 32_000_000
+#: Places that are intersected at a time when many phrases are sought.
+CANDIDATES = 2_000_000
 #: A word: letters a-z, digits and all that is not ASCII, after lower-casing A-Z; read in UTF-8, whose other bytes are all over 0x7F.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -162,6 +164,57 @@ class Postings:
             found = found[shifted[at] == found + offset]
         return found[found >= 0]
 
+    @functools.cached_property
+    def term_at(self) -> np.ndarray:
+        """The number of the term at each place, -1 between documents: all lists at once, to ask whether one holds a place."""
+        out = np.full(int(self.places.max(initial=-1)) + 1, -1, np.int32)
+        out[self.places] = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        return out
+
+    def phrases(self, terms: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of many phrases begin where: rows of term numbers, of which the first lengths[k] count.
+
+        The lists of all rarest terms, shifted by their offsets, are intersected with those of the second rarest and then of
+        the others, CANDIDATES places at a time.
+        """
+        inside = np.arange(terms.shape[1])[None, :] < lengths[:, None]
+        often = np.where(inside, self.size[np.where(inside, terms, 0)], np.iinfo(np.int64).max)
+        rarest = often.argmin(axis=1)
+        every, pick = np.arange(len(terms)), terms[np.arange(len(terms)), rarest]
+        often[every, rarest] = np.iinfo(np.int64).max
+        second = often.argmin(axis=1)
+        count = self.size[pick]
+        # where the second rarest must be, from a place of the rarest on; a phrase of one word asks for that word again
+        alone = lengths == 1
+        apart, other = np.where(alone, 0, second - rarest).astype(np.int32), np.where(alone, pick, terms[every, second]).astype(np.int32)
+        table = np.pad(self.term_at, terms.shape[1], constant_values=-1)
+        upto, found, begin = np.cumsum(count), [], 0
+        while begin < len(terms):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + CANDIDATES, side="right")))
+            n = count[begin:end]
+            at = np.arange(int(n.sum()), dtype=np.int32)
+            at += np.repeat((self.ends[pick[begin:end]] - np.cumsum(n)).astype(np.int32), n)
+            at = self.places[at]
+            kept = np.flatnonzero(table[at + np.repeat(apart[begin:end] + terms.shape[1], n)] == np.repeat(other[begin:end], n))
+            which = begin + np.searchsorted(np.cumsum(n), kept, side="right")
+            at = at[kept] - rarest[which]
+            for k in range(terms.shape[1]):
+                if not len(at):
+                    break
+                which, at = self._holding(which, at, terms, np.full(len(terms), k), lengths)
+            found.append((which, at))
+            begin = end
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (every, every)
+
+    def _holding(self, which: np.ndarray, at: np.ndarray, terms: np.ndarray, offset: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The begins `at` of phrases `which` whose term at their offset is there; one beyond a phrase's end is."""
+        o = offset[which]
+        place = at + o
+        ok = (at >= 0) & (place < len(self.term_at))
+        ok[ok] = self.term_at[place[ok]] == terms[which[ok], o[ok]]
+        ok |= (o >= lengths[which]) & (at >= 0)
+        return which[ok], at[ok]
+
     def near(self, terms: list[str], within: int) -> np.ndarray:
         """Places of the first term's occurrences that have every other term within so many words, in any order."""
         found = self.of(terms[0])
@@ -220,6 +273,9 @@ class _Block:
         names = ids.flatten().dictionary_encode()
         self.names: list[str] = names.dictionary.to_pylist()
         self.ids, self.first = names.indices.to_numpy(), ids.offsets.to_numpy()
+        order = sorted(range(len(self.names)), key=self.names.__getitem__)
+        self.sorted_names = [self.names[i] for i in order]
+        self.rank = np.argsort(np.array(order, np.int64))
 
     def items_of(self, phrase: int) -> list[str]:
         return [self.names[i] for i in self.ids[self.first[phrase] : self.first[phrase + 1]].tolist()]
@@ -266,39 +322,37 @@ def _search(index: DataFrame, block: _Block, size: int) -> DataFrame:
         for b in batches:
             for row in _rows(b):
                 seg = Postings(row)
-                number = pc.fill_null(pc.index_in(asked, value_set=seg.terms), -1).to_numpy()
-                have = np.where(number >= 0, np.r_[seg.size, 0][number], 0)
-                have = np.r_[have, np.iinfo(np.int64).max]  # of the padding
-                present = np.flatnonzero((have > 0)[block.phrases].all(axis=1))
-                first = seg.starts(size)
-                spans: dict[int, list] = {}
-                items: dict[int, set[str]] = {}
-                for p in present.tolist():
-                    terms, n = block.phrases[p], int(block.length[p])
-                    order = np.argsort(have[terms], kind="stable")[:n].tolist()
-                    at = seg.phrase([(o, number[terms[o]]) for o in order])
-                    if len(at):
-                        doc = np.searchsorted(first, at, side="right") - 1
-                        for d, a in zip(doc.tolist(), (at - first[doc]).tolist(), strict=True):
-                            spans.setdefault(d, []).append((a, a + n))
-                            items.setdefault(d, set()).update(block.items_of(p))
-                if spans:
-                    docs = sorted(spans)
-                    rows = {"segment": [row["segment"]] * len(docs), "at": docs, "spans": [[{"a": a, "b": b} for a, b in _merged(spans[d])] for d in docs], "item_ids": [sorted(items[d]) for d in docs]}
-                    yield pa.RecordBatch.from_pydict(rows, schema=kinds)
+                number = np.r_[pc.fill_null(pc.index_in(asked, value_set=seg.terms), -1).to_numpy(), 0]  # the last is the padding's
+                present = np.flatnonzero((number >= 0)[block.phrases].all(axis=1))
+                which, at = seg.phrases(number[block.phrases[present]], block.length[present])
+                if len(at):
+                    yield _hits(row["segment"], seg.starts(size), present[which], at, block, kinds)
 
     return index.mapInArrow(run, "segment string, at int, spans array<struct<a:long,b:long>>, item_ids array<string>")
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Spans (first, last + 1) that touch or overlap, as one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _hits(segment: str, first: np.ndarray, phrase: np.ndarray, at: np.ndarray, block: _Block, kinds: pa.Schema) -> pa.RecordBatch:
+    """Of each document with hits its number, the spans of its words in any of them (those that touch as one), and the items."""
+    doc = np.searchsorted(first, at, side="right") - 1
+    order = np.lexsort((at, doc))
+    begin, end = at[order], at[order] + block.length[phrase[order]]
+    # documents lie apart, so that spans of two never touch
+    reach = np.maximum.accumulate(end)
+    new = np.r_[True, begin[1:] > reach[:-1]]
+    of = doc[order][new]
+    starts, stops = begin[new] - first[of], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]] - first[of]
+    docs, n_spans = np.unique(of, return_counts=True)
+    spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(stops)], names=["a", "b"])
+    # items of the distinct phrases of each document
+    pairs = np.unique(np.stack([doc, phrase], axis=1), axis=0)
+    n_items = block.first[pairs[:, 1] + 1] - block.first[pairs[:, 1]]
+    ends = np.cumsum(n_items)
+    item = block.ids[np.repeat(block.first[pairs[:, 1]] - (ends - n_items), n_items) + np.arange(ends[-1])]
+    held = np.unique(np.stack([np.repeat(pairs[:, 0], n_items), block.rank[item]], axis=1), axis=0)
+    names = pa.array(block.sorted_names, pa.string()).take(pa.array(held[:, 1]))
+    lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+    columns = [pa.array([segment] * len(docs)), pa.array(docs.astype(np.int32)), lists(n_spans, spans), lists(np.unique(held[:, 0], return_counts=True)[1], names)]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """The whole index, blocks by windows, spans, and what one block takes in memory."""
 
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -68,3 +70,51 @@ def test_an_empty_benchmark_and_hot_words(spark):
     assert D.matches(docs, none).agg(F.sum("n_hit"), F.count("*")).first() == (0, 50)
     hot = spark.createDataFrame([(1, "same " * 30)], "item_id long, text string")
     assert D.matches(docs, hot).agg(F.sum("n_hit"), F.min("item_ids"), F.max("n_words")).first() == (25_000, ["1"], 501)
+
+
+def segment_of(words):
+    """An opened segment of one document."""
+    held = D._Segment(None, D.WINDOW)
+    held.add(1, " ".join(words))
+    number = D.TaskContext
+    D.TaskContext = type("Here", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)}))})
+    try:
+        return D.Postings(next(D._rows(held.row(0))))
+    finally:
+        D.TaskContext = number
+
+
+def test_many_phrases_at_once_equal_one_after_another():
+    rng = random.Random(12)
+    words = [f"t{rng.randrange(12)}" for _ in range(3000)]
+    seg = segment_of(words)
+    phrases = [words[i : i + n] if rng.random() < 0.7 else [f"t{rng.randrange(12)}" for _ in range(n)] for i, n in ((rng.randrange(2900), rng.choice([1, 2, 3, 5, 10])) for _ in range(400))]
+    lengths = np.array([len(p) for p in phrases])
+    terms = np.zeros((len(phrases), 10), np.int64)
+    for k, p in enumerate(phrases):
+        terms[k, : len(p)] = [seg.range[t] for t in p]
+    want = sorted((k, i) for k, p in enumerate(phrases) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p)
+    for most in (2_000_000, 50):
+        keep, D.CANDIDATES = D.CANDIDATES, most
+        which, at = seg.phrases(terms, lengths)
+        D.CANDIDATES = keep
+        assert sorted(zip(which.tolist(), at.tolist(), strict=True)) == want
+    one = [(k, i) for k, p in enumerate(phrases) for i in seg.phrase([(o, seg.range[t]) for o, t in sorted(enumerate(p), key=lambda x: seg.size[seg.range[x[1]]])]).tolist()]
+    assert sorted(one) == want
+
+
+def test_a_block_of_common_words_takes_little_time():
+    """200,000 windows of words that a segment of 1.7 MB is full of: no loop over windows."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in np.minimum(rng.zipf(1.3, 400_000), 20_000).tolist()]
+    seg = segment_of(words)
+    number = np.array([seg.range[w] for w in words])
+    common = number[np.argsort(-seg.size[number], kind="stable")[:380_000]]
+    terms = rng.choice(common, (200_000, 10))
+    terms[::100] = [number[i : i + 10] for i in range(0, 200_000, 100)]
+    seg.term_at  # noqa: B018
+    began = time.process_time()
+    which, at = seg.phrases(terms, np.full(len(terms), 10))
+    took = time.process_time() - began
+    print("seconds", took, "candidates", int(seg.size[terms].min(axis=1).sum()), len(at))
+    assert {k for k in range(0, 200_000, 100)} <= set(which.tolist()) and took < 10
