@@ -11,11 +11,17 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.catalog_pixels import _CM, _F, SIZE, _frames
+from crestline.catalog_pixels import _CM, _ED, _F, _RHO, SIZE, VOTES, _edge_pixels, _frames
 from crestline.operators import contours as C
+from crestline.operators import equalise as E
 from crestline.operators import rasters as T
 from crestline.session import table
 
+#: Times the mean of a tile's histogram that a value may have.
+LIMIT = 40.0
+#: Lines of an image at most.
+MOST = 5
+
 
 def _mask(spark: SparkSession, root: str) -> DataFrame:
     p = table(spark, root, "part")
@@ -54,6 +60,20 @@ def pixel_areas(spark, root):
     return measured.select("image_id", "ord", "pixels", F.round(features.density(F.coalesce("n", F.lit(0)), F.col("pixels").cast("double")), 6).alias("density"))
 
 
+def equalised_frames(spark, root):
+    """Frames with their histogram equalised in two by two tiles; a checksum of values and places."""
+    pixels = _frames(spark, root).select("vec_id", F.posexplode("v").alias("i", "v"))
+    placed = pixels.select("vec_id", (F.col("i") % SIZE).alias("x"), F.floor(F.col("i") / SIZE).cast("int").alias("y"), "v")
+    done = E.equalised(placed, "vec_id", SIZE, SIZE, (2, 2), LIMIT)
+    return done.groupBy("vec_id").agg(F.sum((F.col("equalised") * (F.col("y") * SIZE + F.col("x") + 1)).cast("long")).alias("equalised"), F.max("equalised").alias("brightest"))
+
+
+def many_segments(spark, root):
+    """The best lines of each image, each without the points of those before, as segments."""
+    lines, owned = T.many_lines(_edge_pixels(spark, root), "image_id", VOTES, MOST)
+    return T.owned_segments(owned, lines, "image_id", least=5.0, gap=30.0).join(lines.select("image_id", "line", "votes"), ["image_id", "line"])
+
+
 # --- oracle SQL: walks around every side, a flood from outside, determinants ------------------
 
 _STEP = ((1, 0), (0, 1), (-1, 0), (0, -1))  # along the sides above, right, below, left; outwards is the one before
@@ -111,11 +131,32 @@ el AS (SELECT image_id, contour, mx + unit * u0 AS cx, my + unit * v0 AS cy, 2 *
 _OTSU = f"""{_F}, px AS (SELECT vec_id, unnest(v) AS p, unnest(range(64)) AS i FROM f), hi AS (SELECT vec_id, t, count(CASE WHEN p <= t THEN 1 END) AS b, sum(CASE WHEN p <= t THEN p ELSE 0 END) AS ms, count(*) AS n, sum(p) AS s FROM px, range(256) r(t) GROUP BY 1, 2),
 ap AS (SELECT vec_id, t, CASE WHEN b > 0 AND b < n THEN pow(s::DOUBLE * b / n - ms, 2) / (b * (n - b)) ELSE 0 END AS apart FROM hi), th AS (SELECT vec_id, t FROM (SELECT vec_id, t, row_number() OVER (PARTITION BY vec_id ORDER BY apart DESC, t) AS pos FROM ap) WHERE pos = 1)"""
 
+_VOTED = "(SELECT image_id, theta::INT AS theta, {rho} AS rho, count(*) AS votes FROM p{n}, range(180) t(theta) GROUP BY 1, 2, 3)"
+_ROUNDS = ", ".join(
+    f"""p{n} AS MATERIALIZED ({"SELECT * FROM ed" if not n else f"SELECT p{n - 1}.* FROM p{n - 1} LEFT JOIN b{n - 1} USING (image_id) WHERE theta IS NULL OR {_RHO} <> rho"}),
+b{n} AS MATERIALIZED (SELECT image_id, theta, rho, votes FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, theta, rho) AS pos FROM {_VOTED.format(rho=_RHO, n=n)} WHERE votes >= {VOTES}) WHERE pos = 1)"""
+    for n in range(MOST)
+) + ", ow AS (" + " UNION ALL ".join(f"SELECT image_id, {n}::INT AS line, theta, rho, votes, x, y FROM p{n} JOIN b{n} USING (image_id) WHERE {_RHO} = rho" for n in range(MOST)) + ")"
+
 ORACLES = {
     "traced_contours": f"WITH RECURSIVE {_outlines('SELECT DISTINCT p_type AS image_id, (p_size // 2)::INT AS x, floor((p_retailprice - 900) / 4)::INT AS y FROM part', True)} SELECT image_id, contour, k, x, y FROM pt",
     "traced_measures": f"""WITH RECURSIVE {_OTSU.replace("f AS (", "fr AS (").replace("FROM f)", "FROM fr)")}, {_outlines("SELECT vec_id AS image_id, (i % 8)::INT AS x, (i // 8)::INT AS y FROM px JOIN th USING (vec_id) WHERE p > t", False)},
         an AS (SELECT *, coalesce(lead(x) OVER v, first(x) OVER v) AS ax, coalesce(lead(y) OVER v, first(y) OVER v) AS ay FROM pt WINDOW v AS (PARTITION BY image_id, contour ORDER BY k))
         SELECT image_id AS vec_id, contour, count(*) AS n_points, round((abs(sum(x * ay - y * ax)) / 2)::DOUBLE, 3) AS area, round(sum(sqrt(pow(ax - x, 2) + pow(ay - y, 2))), 3) AS perimeter FROM an GROUP BY 1, 2""",
+    "many_segments": f"""WITH {_ED}, {_ROUNDS}, o AS (SELECT *, round(y * cos(radians(theta::DOUBLE)) - x * sin(radians(theta::DOUBLE)), 6) AS along FROM ow),
+        c AS (SELECT *, CASE WHEN along - lag(along) OVER w > 30 THEN 1 ELSE 0 END AS cut FROM o WINDOW w AS (PARTITION BY image_id, line ORDER BY along, x, y)),
+        s AS (SELECT *, (sum(cut) OVER (PARTITION BY image_id, line ORDER BY along, x, y))::INT AS segment FROM c)
+        SELECT image_id, line, theta, rho, segment, first(x ORDER BY along, x, y) AS x1, first(y ORDER BY along, x, y) AS y1, last(x ORDER BY along, x, y) AS x2, last(y ORDER BY along, x, y) AS y2, count(*) AS n, votes
+        FROM s GROUP BY image_id, line, theta, rho, segment, votes HAVING max(along) - min(along) >= 5""",
+    "equalised_frames": f"""WITH {_F}, p AS (SELECT vec_id, unnest(v) AS v, unnest(range(64)) AS i FROM f), q AS (SELECT *, (i % 8)::INT AS x, (i // 8)::INT AS y FROM p),
+        h AS (SELECT vec_id, x // 4 AS tx, y // 4 AS ty, v, count(*) AS n FROM q GROUP BY ALL), o AS (SELECT vec_id, tx, ty, sum(greatest(n - {int(LIMIT * 16 / 256)}, 0))::BIGINT AS over FROM h GROUP BY ALL),
+        r AS (SELECT *, over // 256 AS each, over % 256 AS rest, greatest(256 // greatest(over % 256, 1), 1) AS step FROM o),
+        m AS (SELECT r.vec_id, r.tx, r.ty, k, least(round_even((coalesce(sum(least(n, {int(LIMIT * 16 / 256)})) FILTER (h.v <= k), 0) + each * (k + 1) + least(k // step + 1, rest)) * (255.0::DOUBLE / 16), 0), 255)::INT AS new
+          FROM r JOIN h ON h.vec_id = r.vec_id AND h.tx = r.tx AND h.ty = r.ty, range(256) t(k) GROUP BY r.vec_id, r.tx, r.ty, k, each, rest, step),
+        c AS (SELECT *, floor(x / 4.0::DOUBLE - 0.5) AS fx, floor(y / 4.0::DOUBLE - 0.5) AS fy FROM q), w AS (SELECT *, x / 4.0::DOUBLE - 0.5 - fx AS ax, y / 4.0::DOUBLE - 0.5 - fy AS ay FROM c),
+        e AS (SELECT w.vec_id, i, round_even(sum(new * CASE WHEN b.k = 0 THEN 1 - ax ELSE ax END * CASE WHEN d.k = 0 THEN 1 - ay ELSE ay END), 6) AS z
+          FROM w, (VALUES (0), (1)) b(k), (VALUES (0), (1)) d(k), m WHERE m.vec_id = w.vec_id AND m.k = w.v AND m.tx = least(greatest(fx + b.k, 0), 1) AND m.ty = least(greatest(fy + d.k, 0), 1) GROUP BY w.vec_id, i)
+        SELECT vec_id, sum(round_even(z, 0)::BIGINT * (i + 1))::BIGINT AS equalised, max(round_even(z, 0)::INT) AS brightest FROM e GROUP BY 1""",
     "fitted_ellipses": f"""WITH {_ELLIPSES} SELECT image_id, contour, n_points, {", ".join(f"round({c}, 3) AS {c}" for c in ("cx", "cy", "w", "h"))}, round(CASE WHEN turn < 0 THEN turn + 180 ELSE turn END, 3) AS angle
         FROM me LEFT JOIN el USING (image_id, contour)""",
 }

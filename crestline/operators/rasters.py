@@ -73,21 +73,65 @@ def best_line(votes: DataFrame, image: str, threshold: int = 1) -> DataFrame:
     return top.select(image, (-F.col("top.t")).alias("theta"), (-F.col("top.r")).alias("rho"), F.col("top.votes").alias("votes"))
 
 
-def line_segments(points: DataFrame, lines: DataFrame, image: str, least: float = 20.0, gap: float = 10.0) -> DataFrame:
-    """image, theta, rho, segment, x1, y1, x2, y2, n: runs of points on each line without a gap, of the least length or more.
+def _on_line(x: Column, y: Column, theta: Column, rho: Column) -> Column:
+    t = F.radians(theta.cast("double"))
+    return F.floor(x * F.cos(t) + y * F.sin(t) + 0.5 + 1e-7) == rho
 
-    Points of one line meet in a window, those of an image do not.
+
+def many_lines(points: DataFrame, image: str, least: int, most: int, angles: int = 180) -> tuple[DataFrame, DataFrame]:
+    """(image, line, theta, rho, votes) and (image, line, x, y): up to `most` lines of each image with `least` votes or more, and the points of each.
+
+    The line with most votes takes its points away, whose votes are subtracted from those of all lines; then the next is
+    the best of what is left. All images go on together: a round costs the votes of the points that were taken, and lines that
+    fell below `least` are forgotten. Repeated points count once.
     """
+    left = durable(points.select(image, "x", "y").distinct())
+    votes = durable(line_votes(left, image, angles).where(F.col("votes") >= least))
+    peaks, taken = [], []
+    for n in range(most):
+        peak = durable(best_line(votes, image, least).select(image, F.lit(n).alias("line"), "theta", "rho", "votes"))
+        if peak.isEmpty():
+            break
+        on = left.join(peak, image).where(_on_line(F.col("x"), F.col("y"), F.col("theta"), F.col("rho")))
+        gone = durable(on.select(image, "line", "x", "y"))
+        peaks.append(peak)
+        taken.append(gone)
+        if n + 1 < most:
+            left = durable(left.join(gone, [image, "x", "y"], "left_anti"))
+            back = line_votes(gone, image, angles).withColumn("votes", -F.col("votes")).join(votes.select(image, "theta", "rho"), [image, "theta", "rho"], "left_semi")
+            votes = durable(votes.unionByName(back).groupBy(image, "theta", "rho").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= least))
+    none = best_line(votes, image).select(image, F.lit(0).alias("line"), "theta", "rho", "votes").where("false")
+    lines, owned = none, left.select(image, F.lit(0).alias("line"), "x", "y").where("false")
+    for peak, gone in zip(peaks, taken, strict=True):
+        lines, owned = lines.unionByName(peak), owned.unionByName(gone)
+    return lines, owned
+
+
+def _runs(on: DataFrame, keys: list[str], least: float, gap: float) -> DataFrame:
+    """keys, segment, x1, y1, x2, y2, n: runs of the points (theta, x, y) of each line without a gap, of the least length or more."""
     t = F.radians(F.col("theta").cast("double"))
-    on = points.join(lines.select(image, "theta", "rho"), image).where(F.floor(F.col("x") * F.cos(t) + F.col("y") * F.sin(t) + 0.5 + 1e-7) == F.col("rho"))
     along = F.round(F.col("y") * F.cos(t) - F.col("x") * F.sin(t), 6)
-    w = Window.partitionBy(image, "theta", "rho").orderBy("along", "x", "y")
+    w = Window.partitionBy(*keys).orderBy("along", "x", "y")
     cut = on.withColumn("along", along).withColumn("cut", F.coalesce((F.col("along") - F.lag("along").over(w) > gap).cast("int"), F.lit(0)))
     named = cut.withColumn("segment", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
     place = F.struct("along", "x", "y")
-    runs = named.groupBy(image, "theta", "rho", "segment").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
+    runs = named.groupBy(*keys, "segment").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
     runs = runs.where(F.col("b.along") - F.col("a.along") >= least)
-    return runs.select(image, "theta", "rho", "segment", *[F.col(f"{e}.{c}").alias(f"{c}{k}") for k, e in ((1, "a"), (2, "b")) for c in ("x", "y")], "n")
+    return runs.select(*keys, "segment", *[F.col(f"{e}.{c}").alias(f"{c}{k}") for k, e in ((1, "a"), (2, "b")) for c in ("x", "y")], "n")
+
+
+def line_segments(points: DataFrame, lines: DataFrame, image: str, least: float = 20.0, gap: float = 10.0) -> DataFrame:
+    """image, theta, rho, segment, x1, y1, x2, y2, n: runs of points on each line without a gap, of the least length or more.
+
+    Points of one line meet in a window, those of an image do not.
+    """
+    on = points.join(lines.select(image, "theta", "rho"), image).where(_on_line(F.col("x"), F.col("y"), F.col("theta"), F.col("rho")))
+    return _runs(on, [image, "theta", "rho"], least, gap)
+
+
+def owned_segments(owned: DataFrame, lines: DataFrame, image: str, least: float = 20.0, gap: float = 10.0) -> DataFrame:
+    """The same of what many_lines() gives, each point on the line that took it: image, line, theta, rho, segment, x1, y1, x2, y2, n."""
+    return _runs(owned.join(lines.select(image, "line", "theta", "rho"), [image, "line"]), [image, "line", "theta", "rho"], least, gap)
 
 
 def contour_measures(points: DataFrame, image: str, contour: str, order: str) -> DataFrame:
