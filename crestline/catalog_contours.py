@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crestline.catalog_pixels import _CM, _ED, _F, _RHO, SIZE, VOTES, _edge_pixels, _frames
 from crestline.operators import contours as C
+from crestline.operators import denoise as N
 from crestline.operators import equalise as E
 from crestline.operators import rasters as T
 from crestline.session import table
@@ -21,6 +22,8 @@ from crestline.session import table
 LIMIT = 40.0
 #: Lines of an image at most.
 MOST = 5
+#: Root of the mean squared difference of patches that weighs 1/e.
+STRENGTH = 40.0
 
 
 def _mask(spark: SparkSession, root: str) -> DataFrame:
@@ -68,6 +71,14 @@ def equalised_frames(spark, root):
     return done.groupBy("vec_id").agg(F.sum((F.col("equalised") * (F.col("y") * SIZE + F.col("x") + 1)).cast("long")).alias("equalised"), F.max("equalised").alias("brightest"))
 
 
+def denoised_frames(spark, root):
+    """Frames by non-local means, with patches of 3 and a search of 5 pixels; a checksum of values and places."""
+    pixels = _frames(spark, root).select("vec_id", F.posexplode("v").alias("i", "v"))
+    placed = pixels.select("vec_id", (F.col("i") % SIZE).alias("x"), F.floor(F.col("i") / SIZE).cast("int").alias("y"), "v")
+    done = N.denoised(placed, "vec_id", SIZE, SIZE, STRENGTH, 3, 5)
+    return done.groupBy("vec_id").agg(F.sum((F.col("denoised") * (F.col("y") * SIZE + F.col("x") + 1)).cast("long")).alias("denoised"))
+
+
 def many_segments(spark, root):
     """The best lines of each image, each without the points of those before, as segments."""
     lines, owned = T.many_lines(_edge_pixels(spark, root), "image_id", VOTES, MOST)
@@ -131,6 +142,7 @@ el AS (SELECT image_id, contour, mx + unit * u0 AS cx, my + unit * v0 AS cy, 2 *
 _OTSU = f"""{_F}, px AS (SELECT vec_id, unnest(v) AS p, unnest(range(64)) AS i FROM f), hi AS (SELECT vec_id, t, count(CASE WHEN p <= t THEN 1 END) AS b, sum(CASE WHEN p <= t THEN p ELSE 0 END) AS ms, count(*) AS n, sum(p) AS s FROM px, range(256) r(t) GROUP BY 1, 2),
 ap AS (SELECT vec_id, t, CASE WHEN b > 0 AND b < n THEN pow(s::DOUBLE * b / n - ms, 2) / (b * (n - b)) ELSE 0 END AS apart FROM hi), th AS (SELECT vec_id, t FROM (SELECT vec_id, t, row_number() OVER (PARTITION BY vec_id ORDER BY apart DESC, t) AS pos FROM ap) WHERE pos = 1)"""
 
+_MIRROR = "(7 - abs(7 - abs({0})))"
 _VOTED = "(SELECT image_id, theta::INT AS theta, {rho} AS rho, count(*) AS votes FROM p{n}, range(180) t(theta) GROUP BY 1, 2, 3)"
 _ROUNDS = ", ".join(
     f"""p{n} AS MATERIALIZED ({"SELECT * FROM ed" if not n else f"SELECT p{n - 1}.* FROM p{n - 1} LEFT JOIN b{n - 1} USING (image_id) WHERE theta IS NULL OR {_RHO} <> rho"}),
@@ -148,6 +160,11 @@ ORACLES = {
         s AS (SELECT *, (sum(cut) OVER (PARTITION BY image_id, line ORDER BY along, x, y))::INT AS segment FROM c)
         SELECT image_id, line, theta, rho, segment, first(x ORDER BY along, x, y) AS x1, first(y ORDER BY along, x, y) AS y1, last(x ORDER BY along, x, y) AS x2, last(y ORDER BY along, x, y) AS y2, count(*) AS n, votes
         FROM s GROUP BY image_id, line, theta, rho, segment, votes HAVING max(along) - min(along) >= 5""",
+    "denoised_frames": f"""WITH {_F}, g AS (SELECT i, x, y, tx, ty, dx, dy, {_MIRROR.format("y + ty")} * 8 + {_MIRROR.format("x + tx")} AS a, {_MIRROR.format("y + ty + dy")} * 8 + {_MIRROR.format("x + tx + dx")} AS b
+          FROM (SELECT i, (i % 8)::INT AS x, (i // 8)::INT AS y, tx, ty, dx, dy FROM range(64) t(i), range(-1, 2) p(tx), range(-1, 2) q(ty), range(-2, 3) r(dx), range(-2, 3) s(dy))),
+        d AS (SELECT vec_id, i, dx, dy, sum((v[a + 1] - v[b + 1]) * (v[a + 1] - v[b + 1]))::DOUBLE AS away, max(CASE WHEN tx = 0 AND ty = 0 THEN v[b + 1] END) AS other FROM f, g GROUP BY ALL),
+        w AS (SELECT vec_id, i, exp(-(away / 9) / {STRENGTH * STRENGTH}::DOUBLE) AS k, other FROM d)
+        SELECT vec_id, sum(z * (i + 1))::BIGINT AS denoised FROM (SELECT vec_id, i, round_even(sum(k * other) / sum(k), 0)::BIGINT AS z FROM w WHERE k >= {N.LEAST} GROUP BY 1, 2) GROUP BY 1""",
     "equalised_frames": f"""WITH {_F}, p AS (SELECT vec_id, unnest(v) AS v, unnest(range(64)) AS i FROM f), q AS (SELECT *, (i % 8)::INT AS x, (i // 8)::INT AS y FROM p),
         h AS (SELECT vec_id, x // 4 AS tx, y // 4 AS ty, v, count(*) AS n FROM q GROUP BY ALL), o AS (SELECT vec_id, tx, ty, sum(greatest(n - {int(LIMIT * 16 / 256)}, 0))::BIGINT AS over FROM h GROUP BY ALL),
         r AS (SELECT *, over // 256 AS each, over % 256 AS rest, greatest(256 // greatest(over % 256, 1), 1) AS step FROM o),
