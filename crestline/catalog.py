@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crestline import catalog_contours, catalog_pixels, catalog_prepared, catalog_sources, catalog_sql
+from crestline import catalog_contours, catalog_pixels, catalog_prepared, catalog_sources, catalog_sql, catalog_still
 from crestline.functions import geometry as G
 from crestline.functions import quality as Q
 from crestline.operators import clustering, features, frames
@@ -402,11 +402,12 @@ ORACLES["selected_pixels"] = f"WITH {_E}, {_D}, {_R}, {catalog_pixels._F} SELECT
 _OWN = set(ORACLES) - {"selected_pixels"}
 ORACLES |= catalog_pixels.ORACLES | catalog_contours.ORACLES | {"pixel_areas": catalog_contours.areas_oracle(_P, _IN)} | catalog_sources.oracle_sql(ORACLES["selected_outputs"])
 ORACLES["prepared_frames"] = catalog_prepared.oracle(_E[_E.index("px AS") :], _D, _R)
+ORACLES["still_images"] = catalog_still.oracle(_C, _IN, _B, catalog_contours.ORACLES["many_segments"])
 ORACLES |= {name: ORACLES[other] for name, other in catalog_sql.SAME_AS.items()}
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES if name in _OWN} | catalog_pixels.queries() | catalog_contours.queries() | catalog_sources.queries() | catalog_sql.queries() | catalog_prepared.queries()
+    return {name: globals()[name] for name in ORACLES if name in _OWN} | catalog_pixels.queries() | catalog_contours.queries() | catalog_sources.queries() | catalog_sql.queries() | catalog_prepared.queries() | catalog_still.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -178,7 +178,9 @@ def fit_ellipses(points: DataFrame, keys: list[str]) -> DataFrame:
     fits = (F.col("n_points") >= LEAST) & (mean - half > 0)
     axis = lambda value: F.when(fits, 2 * F.col("unit") / F.sqrt(value))
     turn = F.pmod(F.degrees(F.atan2(F.col("r1"), F.col("r0") - F.col("r2"))) / 2 + 360, F.lit(180.0))
-    return df.select(*keys, "n_points", F.when(fits, F.col("mx") + F.col("unit") * F.col("u0")).alias("cx"), F.when(fits, F.col("my") + F.col("unit") * F.col("v0")).alias("cy"), axis(mean + half).alias("w"), axis(mean - half).alias("h"), F.when(fits, turn).alias("angle"))
+    found = df.select(*keys, "n_points", F.when(fits, F.col("mx") + F.col("unit") * F.col("u0")).alias("cx"), F.when(fits, F.col("my") + F.col("unit") * F.col("v0")).alias("cy"), axis(mean + half).alias("w"), axis(mean - half).alias("h"), F.when(fits, turn).alias("angle"))
+    # a filter on the result ends here: taken through the steps it would hold each of them many times over
+    return found.select(F.inline(F.array(F.struct(*found.columns))))
 
 
 def _choose(n: int, k: int) -> int:
