@@ -51,7 +51,7 @@ def fitted_ellipses(spark, root):
 
 
 def pixel_areas(spark, root):
-    """Pixels of the image that each ellipse covers, turned and partly beside the image; and the features' density over them."""
+    """Pixels of the image that each ellipse covers, turned and partly beside the image (0 without an axis); and the features' density over them."""
     from crestline.catalog import _dims, _ellipses, _points
     from crestline.functions import geometry as G
     from crestline.operators import features
@@ -59,7 +59,7 @@ def pixel_areas(spark, root):
     e = _ellipses(spark, root).withColumn("cx", F.col("cx") * 1.5).withColumn("w", F.col("w") * 1.7)
     area = G.pixel_area(*(F.col(c) for c in ("cx", "cy", "w", "h", "angle")), *_dims())
     found = features.hits(_points(spark, root), e, *_dims(), cell=8.0).groupBy("image_id", "ord").agg(F.count("*").alias("n"))
-    measured = e.select("image_id", "ord", area.alias("pixels")).join(found, ["image_id", "ord"], "left")
+    measured = e.select("image_id", "ord", F.coalesce(area, F.lit(0)).alias("pixels")).join(found, ["image_id", "ord"], "left")
     return measured.select("image_id", "ord", "pixels", F.round(features.density(F.coalesce("n", F.lit(0)), F.col("pixels").cast("double")), 6).alias("density"))
 
 
@@ -185,7 +185,7 @@ def areas_oracle(points: str, inside: str) -> str:
         gx AS (SELECT a.range::DOUBLE AS x, b.range::DOUBLE AS y FROM range(51) a, range(101) b),
         ar AS (SELECT image_id, ord, count(*) AS pixels FROM big el, gx WHERE {inside.format(p="gx")} GROUP BY 1, 2),
         nh AS (SELECT el.image_id, ord, count(*) AS n FROM big el JOIN pt ON el.image_id = pt.image_id AND {inside.format(p="pt")} GROUP BY 1, 2)
-        SELECT image_id, ord, CASE WHEN w > 0 AND h > 0 THEN coalesce(pixels, 0)::BIGINT END AS pixels, round(CASE WHEN pixels > 0 AND w > 0 AND h > 0 THEN 10.0::DOUBLE * coalesce(n, 0) * coalesce(n, 0) / pixels ELSE 0 END, 6) AS density
+        SELECT image_id, ord, coalesce(pixels, 0)::BIGINT AS pixels, round(CASE WHEN pixels > 0 AND w > 0 AND h > 0 THEN 10.0::DOUBLE * coalesce(n, 0) * coalesce(n, 0) / pixels ELSE 0 END, 6) AS density
         FROM big LEFT JOIN ar USING (image_id, ord) LEFT JOIN nh USING (image_id, ord)"""
 
 

@@ -1,7 +1,7 @@
 """Registered queries on pixels, points and contours, with their oracle SQL.
 
-Stand-ins: an embedding's absolute values, scaled to 0..255, are an 8 x 8 frame (or one of 16 x 4, or 21 pixels of three
-channels); parts are edge pixels of an image (its type), and the points of a contour (its brand) in order.
+Stand-ins: an embedding's absolute values, scaled to 0..255, are an 8 x 8 frame (or one of 16 x 4, or 22 pixels of three
+channels, the last two values being 0); parts are edge pixels of an image (its type), and the points of a contour (its brand) in order.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def turned_frames(spark, root):
 
 def channel_frames(spark, root):
     """Channels split, grayed, and merged the other way round."""
-    f = _frames(spark, root).withColumn("v", F.slice("v", 1, 63))
+    f = _frames(spark, root).withColumn("v", F.concat("v", F.array(F.lit(0), F.lit(0))))
     b, g, r = R.channels(F.col("v"))
     f = f.select("vec_id", b.alias("b"), g.alias("g"), r.alias("r"))
     gray = F.transform("b", lambda x, i: F.rint(R.gray(x, F.get("g", i), F.get("r", i))).cast("int"))
@@ -56,14 +56,14 @@ def channel_frames(spark, root):
 
 
 def channel_means(spark, root):
-    """Mean of each channel in the region under a box, of frames of 7 x 3 pixels."""
-    f = _frames(spark, root).withColumn("v", F.slice("v", 1, 63))
-    means = Q.region_means([F.transform(c, lambda x: x.cast("double")) for c in R.channels(F.col("v"))], 7, 3, 2, 6, 1)
+    """Mean of each channel in the region under a box, of frames of 11 x 2 pixels."""
+    f = _frames(spark, root).withColumn("v", F.concat("v", F.array(F.lit(0), F.lit(0))))
+    means = Q.region_means([F.transform(c, lambda x: x.cast("double")) for c in R.channels(F.col("v"))], 11, 2, 2, 6, 0)
     return f.select("vec_id", *[F.round(m, 6).alias(n) for n, m in zip("bgr", means, strict=True)])
 
 
 def lab_means(spark, root):
-    f = _frames(spark, root).select("vec_id", F.posexplode(F.sequence(F.lit(0), F.lit(20))).alias("i", "p"), "v")
+    f = _frames(spark, root).select("vec_id", F.posexplode(F.sequence(F.lit(0), F.lit(21))).alias("i", "p"), F.concat("v", F.array(F.lit(0), F.lit(0))).alias("v"))
     px = [F.get("v", F.col("p") * 3 + c).cast("double") for c in range(3)]
     parts = R.lab(*px)
     return f.select("vec_id", *[p.alias(n) for n, p in zip("lab", parts, strict=True)]).groupBy("vec_id").agg(*[F.round(F.avg(n), 4).alias(n) for n in "lab"])
@@ -189,7 +189,9 @@ _GAUSSIAN = [[a * b / 256 for b in (1, 4, 6, 4, 1)] for a in (1, 4, 6, 4, 1)]
 _TURN = "[v[({0}) + 1] for i in range(64)]"
 _LINEAR = "CASE WHEN {0} / 255 > 0.04045 THEN pow(({0} / 255 + 0.055) / 1.055, 2.4) ELSE {0} / 255 / 12.92 END"
 _ROOT = "CASE WHEN {0} > 0.008856 THEN cbrt({0}) ELSE 7.787 * {0} + 16::DOUBLE / 116 END"
-_LAB = f"""p AS (SELECT vec_id, v[3 * k + 1]::DOUBLE AS b, v[3 * k + 2]::DOUBLE AS g, v[3 * k + 3]::DOUBLE AS r FROM f, range(21) t(k)),
+#: Frames of three channels: 22 pixels.
+_F3 = f"{_F}, f3 AS (SELECT vec_id, list_concat(v, [0, 0]) AS v FROM f)"
+_LAB = f"""p AS (SELECT vec_id, v[3 * k + 1]::DOUBLE AS b, v[3 * k + 2]::DOUBLE AS g, v[3 * k + 3]::DOUBLE AS r FROM f3, range(22) t(k)),
 n AS (SELECT vec_id, {_LINEAR.format("b")} AS b, {_LINEAR.format("g")} AS g, {_LINEAR.format("r")} AS r FROM p),
 t AS (SELECT vec_id, {", ".join(f"(b * {x[0]}::DOUBLE + g * {x[1]}::DOUBLE + r * {x[2]}::DOUBLE) / {w}::DOUBLE AS {n}" for n, x, w in zip("xyz", R.XYZ, R.WHITE, strict=True))} FROM n),
 s AS (SELECT vec_id, y, {", ".join(f"{_ROOT.format(n)} AS f{n}" for n in "xyz")} FROM t)"""
@@ -210,10 +212,10 @@ ORACLES = {
     "turned_frames": f"""WITH {_F}, o AS (SELECT vec_id, {_TURN.format("i % 4 * 16 + 15 - i // 4")} AS upright, v AS portrait,
         CASE vec_id % 9 WHEN 3 THEN list_reverse(v) WHEN 6 THEN {_TURN.format("(3 - i % 4) * 16 + i // 4")} WHEN 8 THEN {_TURN.format("i % 4 * 16 + 15 - i // 4")} ELSE v END AS oriented FROM f)
         SELECT vec_id, {_check("upright")}, {_check("portrait")}, {_check("oriented")} FROM o""",
-    "channel_frames": f"""WITH {_F}, o AS (SELECT vec_id, [round_even(0.114::DOUBLE * v[3 * i + 1] + 0.587::DOUBLE * v[3 * i + 2] + 0.299::DOUBLE * v[3 * i + 3], 0)::INT for i in range(21)] AS gray,
-        [v[i - i % 3 + 2 - i % 3 + 1] for i in range(63)] AS rgb FROM f) SELECT vec_id, {_check("gray")}, {_check("rgb")} FROM o""",
-    "channel_means": f"WITH {_F} SELECT vec_id, {', '.join(f'round(list_sum([v[((1 + k // 4) * 7 + 2 + k % 4) * 3 + {c + 1}]::DOUBLE for k in range(8)]) / 8, 6) AS {n}' for c, n in enumerate('bgr'))} FROM f",
-    "lab_means": f"WITH {_F}, {_LAB} SELECT vec_id, round(avg((CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END) * 255 / 100), 4) AS l, round(avg(500 * (fx - fy) + 128), 4) AS a, round(avg(200 * (fy - fz) + 128), 4) AS b FROM s GROUP BY 1",
+    "channel_frames": f"""WITH {_F3}, o AS (SELECT vec_id, [round_even(0.114::DOUBLE * v[3 * i + 1] + 0.587::DOUBLE * v[3 * i + 2] + 0.299::DOUBLE * v[3 * i + 3], 0)::INT for i in range(22)] AS gray,
+        [v[i - i % 3 + 2 - i % 3 + 1] for i in range(66)] AS rgb FROM f3) SELECT vec_id, {_check("gray")}, {_check("rgb")} FROM o""",
+    "channel_means": f"WITH {_F3} SELECT vec_id, {', '.join(f'round(list_sum([v[((k // 4) * 11 + 2 + k % 4) * 3 + {c + 1}]::DOUBLE for k in range(8)]) / 8, 6) AS {n}' for c, n in enumerate('bgr'))} FROM f3",
+    "lab_means": f"WITH {_F3}, {_LAB} SELECT vec_id, round(avg((CASE WHEN y > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * y END) * 255 / 100), 4) AS l, round(avg(500 * (fx - fy) + 128), 4) AS a, round(avg(200 * (fy - fz) + 128), 4) AS b FROM s GROUP BY 1",
     "otsu_thresholds": f"""WITH {_F}, p AS (SELECT vec_id, unnest(v) AS p FROM f), h AS (SELECT vec_id, t, count(CASE WHEN p <= t THEN 1 END) AS b, sum(CASE WHEN p <= t THEN p ELSE 0 END) AS m, count(*) AS n, sum(p) AS s FROM p, range(256) r(t) GROUP BY 1, 2),
         a AS (SELECT vec_id, t, CASE WHEN b > 0 AND b < n THEN pow(s::DOUBLE * b / n - m, 2) / (b * (n - b)) ELSE 0 END AS apart FROM h),
         k AS (SELECT vec_id, t, row_number() OVER (PARTITION BY vec_id ORDER BY apart DESC, t) AS pos FROM a)
