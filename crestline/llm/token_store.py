@@ -120,7 +120,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = None, p
     """Write the ids of df's texts (columns doc_id, text) in ascending doc_id to `path`.
 
     Null texts are empty; null doc_ids come first; equal doc_ids follow each other
-    in no set order; an empty table gives an empty file; other columns are not read. Texts are encoded
+    by the hash range of their texts, then by their ids; an empty table gives an empty file; other columns are not read. Texts are encoded
     where they are read; the ids are shuffled once.
     """
     spark = df.sparkSession

@@ -46,16 +46,6 @@ def test_op1_shards(spark, written, rows):
     assert len(shared) > 8 and max(loads[s] for s in shared) - min(loads[s] for s in shared) <= 100
 
 
-def test_op2_fixity(spark, written):
-    got = run(spark, written, "op2_warc_fixity")
-    want = Counter()
-    for i in (1, 2, 3, 1):
-        mark = hashlib.md5(str(i).encode()).hexdigest()
-        if mark.startswith("0"):
-            want[i, "missing" if mark.startswith("0f") else "changed"] += 1
-    assert Counter((r.page_id, r.status) for r in got) == want
-
-
 def test_op3_fingerprints(spark, written, rows):
     got = run(spark, written, "op3_fingerprints")
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
