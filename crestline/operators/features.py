@@ -6,6 +6,8 @@ residual, so that an image with very many of both is spread over its cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +35,8 @@ def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column,
 
     Grids of doubling cells lie over an image, the finest of `cell` pixels. An ellipse goes to the grid whose
     cells are as large as what the image has of its bounding square, so to four cells at most; a point asks its
-    cell in each grid, of which there are as many as doublings from `cell` to the image's size. `cell` None
-    joins on the image alone.
+    cell in each grid, of which there are as many as doublings from `cell` to LARGEST. `cell` None joins on the
+    image alone. Width and height may be columns of the ellipses.
     """
     e = ellipses.where(G.valid(F.col("w"), F.col("h")))
     test = G.inside(*(F.col(c) for c in ("x", "y", "cx", "cy", "w", "h", "angle")), width, height)
@@ -42,14 +44,21 @@ def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column,
     if cell is None:
         return e.join(p, (F.col("image_id") == F.col("__image")) & test).drop("__image")
     e = cells_of(e, width, height, cell)
-    last = F.greatest(F.ceil(F.log2(F.greatest(width, height).cast("double") / cell)), F.lit(0)).cast("int")
-    p = p.withColumn("__pl", F.explode(F.sequence(F.lit(0), last)))
+    p = p.withColumn("__pl", F.explode(F.sequence(F.lit(0), F.lit(_levels(cell)))))
     side = cell * F.pow(F.lit(2.0), F.col("__pl"))
     p = p.withColumn("__px", F.floor(G.whole(F.col("x")) / side)).withColumn("__py", F.floor(G.whole(F.col("y")) / side))
     on = (F.col("image_id") == F.col("__image")) & (F.col("__level") == F.col("__pl")) & (F.col("__gx") == F.col("__px")) & (F.col("__gy") == F.col("__py"))
     return e.join(p, on & test).drop("__image", "__level", "__gx", "__gy", "__pl", "__px", "__py")
 
 
+#: Pixels across the cells of the coarsest grid; in an image that is larger an ellipse may have more than four of them.
+LARGEST = 65_536
+
+
+def _levels(cell: float) -> int:
+    return max(0, math.ceil(math.log2(LARGEST / cell)))
+
+
 def cells_of(ellipses: DataFrame, width: Column, height: Column, cell: float) -> DataFrame:
     """A row for each of the at most four cells that an ellipse has in its grid: __level, __gx, __gy. One beside the image has none."""
     reach = F.greatest("w", "h") / 2 + 1
@@ -57,7 +66,7 @@ def cells_of(ellipses: DataFrame, width: Column, height: Column, cell: float) ->
     high = {c: F.floor(F.least(F.col(c) + reach, size.cast("double") - 1)) for c, size in (("cx", width), ("cy", height))}
     e = ellipses.where((low["cx"] <= high["cx"]) & (low["cy"] <= high["cy"]))
     extent = F.greatest(*[high[c] - low[c] + 1 for c in ("cx", "cy")]).cast("double")
-    e = e.withColumn("__level", F.greatest(F.ceil(F.log2(extent / cell)), F.lit(0)).cast("int"))
+    e = e.withColumn("__level", F.least(F.greatest(F.ceil(F.log2(extent / cell)), F.lit(0)), F.lit(_levels(cell))).cast("int"))
     side = cell * F.pow(F.lit(2.0), F.col("__level"))
     for c, out in (("cx", "__gx"), ("cy", "__gy")):
         e = e.withColumn(out, F.explode(F.sequence(F.floor(low[c] / side), F.floor(high[c] / side))))
