@@ -195,7 +195,7 @@ def _lines(spark, root) -> DataFrame:
 
 
 def endpoint_hits(spark, root):
-    found = features.hits(features.line_ends(_lines(spark, root)), _ellipses(spark, root), *_dims())
+    found = features.hits(features.line_ends(_lines(spark, root)), _ellipses(spark, root), *_dims(), largest=HEIGHT)
     return found.groupBy("image_id", "ord").agg(F.count("*").alias("n_ends"))
 
 
@@ -209,7 +209,7 @@ def line_pieces(spark, root):
 def _scored(spark, root, **more) -> DataFrame:
     points = _points(spark, root)
     every = features.stack(surf=points.where("kp_id % 3 = 0"), line=features.line_ends(_lines(spark, root)), fast=points)
-    return features.scores(_ellipses(spark, root), every, *_dims(), **more)
+    return features.scores(_ellipses(spark, root), every, *_dims(), largest=HEIGHT, **more)
 
 
 def feature_density(spark, root):

@@ -30,43 +30,46 @@ def stack(**kinds: DataFrame) -> DataFrame:
     return out
 
 
-def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column, cell: float | None = 256.0) -> DataFrame:
+#: Pixels across the cells of the coarsest grid; in an image that is larger an ellipse may have more than four of them.
+LARGEST = 65_536
+
+
+def hits(points: DataFrame, ellipses: DataFrame, width: Column, height: Column, cell: float | None = 256.0, largest: int = LARGEST) -> DataFrame:
     """A row for each point and ellipse of one image that holds it: the ellipse's columns, then the point's.
 
     Grids of doubling cells lie over an image, the finest of `cell` pixels. An ellipse goes to the grid whose
     cells are as large as what the image has of its bounding square, so to four cells at most; a point asks its
-    cell in each grid, of which there are as many as doublings from `cell` to LARGEST. `cell` None joins on the
-    image alone. Width and height may be columns of the ellipses.
+    cell in each grid, of which there are as many as doublings from `cell` to `largest`, the longest side that images
+    have. `cell` None joins on the image alone. Width and height may be columns of the ellipses.
+
+    Points pass the ellipses of their cell, which are hashed, and are never broadcast: Spark takes their size for that
+    of the file, however many rows come of each.
     """
     e = ellipses.where(G.valid(F.col("w"), F.col("h")))
     test = G.inside(*(F.col(c) for c in ("x", "y", "cx", "cy", "w", "h", "angle")), width, height)
     p = points.withColumnRenamed("image_id", "__image")
     if cell is None:
-        return e.join(p, (F.col("image_id") == F.col("__image")) & test).drop("__image")
-    e = cells_of(e, width, height, cell)
-    p = p.withColumn("__pl", F.explode(F.sequence(F.lit(0), F.lit(_levels(cell)))))
+        return e.hint("shuffle_hash").join(p, (F.col("image_id") == F.col("__image")) & test).drop("__image")
+    e = cells_of(e, width, height, cell, largest)
+    p = p.withColumn("__pl", F.explode(F.sequence(F.lit(0), F.lit(_levels(cell, largest)))))
     side = cell * F.pow(F.lit(2.0), F.col("__pl"))
     p = p.withColumn("__px", F.floor(G.whole(F.col("x")) / side)).withColumn("__py", F.floor(G.whole(F.col("y")) / side))
     on = (F.col("image_id") == F.col("__image")) & (F.col("__level") == F.col("__pl")) & (F.col("__gx") == F.col("__px")) & (F.col("__gy") == F.col("__py"))
-    return e.join(p, on & test).drop("__image", "__level", "__gx", "__gy", "__pl", "__px", "__py")
-
-
-#: Pixels across the cells of the coarsest grid; in an image that is larger an ellipse may have more than four of them.
-LARGEST = 65_536
+    return e.hint("shuffle_hash").join(p, on & test).drop("__image", "__level", "__gx", "__gy", "__pl", "__px", "__py")
 
 
-def _levels(cell: float) -> int:
-    return max(0, math.ceil(math.log2(LARGEST / cell)))
+def _levels(cell: float, largest: int) -> int:
+    return max(0, math.ceil(math.log2(largest / cell)))
 
 
-def cells_of(ellipses: DataFrame, width: Column, height: Column, cell: float) -> DataFrame:
+def cells_of(ellipses: DataFrame, width: Column, height: Column, cell: float, largest: int = LARGEST) -> DataFrame:
     """A row for each of the at most four cells that an ellipse has in its grid: __level, __gx, __gy. One beside the image has none."""
     reach = F.greatest("w", "h") / 2 + 1
     low = {c: F.floor(F.greatest(F.col(c) - reach, F.lit(0.0))) for c in ("cx", "cy")}
     high = {c: F.floor(F.least(F.col(c) + reach, size.cast("double") - 1)) for c, size in (("cx", width), ("cy", height))}
     e = ellipses.where((low["cx"] <= high["cx"]) & (low["cy"] <= high["cy"]))
     extent = F.greatest(*[high[c] - low[c] + 1 for c in ("cx", "cy")]).cast("double")
-    e = e.withColumn("__level", F.least(F.greatest(F.ceil(F.log2(extent / cell)), F.lit(0)), F.lit(_levels(cell))).cast("int"))
+    e = e.withColumn("__level", F.least(F.greatest(F.ceil(F.log2(extent / cell)), F.lit(0)), F.lit(_levels(cell, largest))).cast("int"))
     side = cell * F.pow(F.lit(2.0), F.col("__level"))
     for c, out in (("cx", "__gx"), ("cy", "__gy")):
         e = e.withColumn(out, F.explode(F.sequence(F.floor(low[c] / side), F.floor(high[c] / side))))
@@ -85,12 +88,12 @@ def density(n: Column, area: Column) -> Column:
 
 
 def scores(ellipses: DataFrame, points: DataFrame, width: Column, height: Column, surf: str = "surf", has_surf: bool = True,
-           least_area: float = 500.0, least_surf: int = 3, least_score: float = 5.0, centre_bias: float = 0.02, surf_weight: float = 5.0) -> DataFrame:
+           least_area: float = 500.0, least_surf: int = 3, least_score: float = 5.0, centre_bias: float = 0.02, surf_weight: float = 5.0, largest: int = LARGEST) -> DataFrame:
     """Each ellipse (image_id, ord) with n_hits, n_surf, density, centre_score, feature_score, score and whether it qualifies.
 
     An ellipse without hits keeps counts of 0. Without surf features their minimum does not apply.
     """
-    found = hits(points, ellipses, width, height).groupBy("image_id", "ord").agg(
+    found = hits(points, ellipses, width, height, largest=largest).groupBy("image_id", "ord").agg(
         F.count("*").alias("__n"),
         F.count(F.when(F.col("kind") == surf, 1)).alias("__s"),
         F.sum(F.when(F.col("kind") == surf, centre_weight(F.col("x"), F.col("y"), width, height))).alias("__c"),
