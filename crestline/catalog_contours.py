@@ -52,13 +52,13 @@ def fitted_ellipses(spark, root):
 
 def pixel_areas(spark, root):
     """Pixels of the image that each ellipse covers, turned and partly beside the image (0 without an axis); and the features' density over them."""
-    from crestline.catalog import _dims, _ellipses, _points
+    from crestline.catalog import HEIGHT, _dims, _ellipses, _points
     from crestline.functions import geometry as G
     from crestline.operators import features
 
     e = _ellipses(spark, root).withColumn("cx", F.col("cx") * 1.5).withColumn("w", F.col("w") * 1.7)
     area = G.pixel_area(*(F.col(c) for c in ("cx", "cy", "w", "h", "angle")), *_dims())
-    found = features.hits(_points(spark, root), e, *_dims(), cell=8.0).groupBy("image_id", "ord").agg(F.count("*").alias("n"))
+    found = features.hits(_points(spark, root), e, *_dims(), cell=8.0, largest=HEIGHT).groupBy("image_id", "ord").agg(F.count("*").alias("n"))
     measured = e.select("image_id", "ord", F.coalesce(area, F.lit(0)).alias("pixels")).join(found, ["image_id", "ord"], "left")
     return measured.select("image_id", "ord", "pixels", F.round(features.density(F.coalesce("n", F.lit(0)), F.col("pixels").cast("double")), 6).alias("density"))
 
