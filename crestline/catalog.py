@@ -178,7 +178,7 @@ def _dims():
 
 
 def points_in_ellipse(spark, root):
-    found = features.hits(_points(spark, root), _ellipses(spark, root), *_dims())
+    found = features.hits(_points(spark, root), _ellipses(spark, root), *_dims(), largest=HEIGHT)
     return found.select("image_id", "ord", "kp_id")
 
 
