@@ -184,7 +184,7 @@ def points_in_ellipse(spark, root):
 
 def points_in_ellipse_grid(spark, root):
     """The same join with a grid in its key, for images with very many points and ellipses."""
-    found = features.hits(_points(spark, root), _ellipses(spark, root), *_dims(), cell=16.0)
+    found = features.hits(_points(spark, root), _ellipses(spark, root), *_dims(), cell=16.0, largest=HEIGHT)
     return found.groupBy("image_id", "ord").agg(F.count("*").alias("n_hits"))
 
 
