@@ -108,9 +108,27 @@ def best(framed: DataFrame, video: str, shot: str, quality: Column, no: list[str
     return ranked if most is None else ranked.where(F.col(out) <= most)
 
 
+def fixed(c: Column, digits: int = 4) -> Column:
+    """The number's text with so many digits after the point, rounded by its exact binary value, halves to even, as C and Python print it.
+
+    format_string rounds the shortest decimal that names the number: 0.52245, a bit below its name, would be 0.5225. Halves
+    of the number times a power of ten have no rounding error here, so that what lies on which side is certain. From 1e11 on, and
+    where it is null, not a number or 0, the text is that of format_string.
+    """
+    unit, size = 10**digits, F.abs(c)
+    high = size.cast("float").cast("double")
+    n = F.rint(size * unit)
+    # the distance to n less a half, and plus a half; high * unit and the rest * unit are exact
+    over, under = ((high * unit - n + k) + (size - high) * unit for k in (-0.5, 0.5))
+    odd = n % 2 == 1
+    n = (n + F.when((over > 0) | ((over == 0) & odd), 1).when((under < 0) | ((under == 0) & odd), -1).otherwise(0)).cast("long")
+    text = F.format_string(f"%s%d.%0{digits}d", F.when(c < 0, "-").otherwise(""), F.floor(n / unit), n % unit)
+    return F.when((size > 0) & (size < 1e11), text).otherwise(F.format_string(f"%.{digits}f", c))
+
+
 def output_names(selected: DataFrame, video: str, shot: str, rank: str, quality: str, no: str) -> DataFrame:
     """Ordinal, file name and sidecar lines of each selected frame, in order of shot, then rank."""
     at = F.row_number().over(Window.partitionBy(video).orderBy(shot, rank)) - 1
     return selected.withColumn("out_no", at.cast("int")).withColumn("file_name", F.format_string("frame_%04d.png", "out_no")).withColumn(
-        "sidecar", F.format_string("Original frame index: %d\nQuality score: %.4f\n", F.col(no), F.col(quality))
+        "sidecar", F.format_string("Original frame index: %d\nQuality score: %s\n", F.col(no), fixed(F.col(quality)))
     )
