@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SelectedColumn
 
 
 def _table(rows: AnalyzeArgument, *columns: str) -> StructType:
@@ -29,6 +29,11 @@ def _constant(argument: AnalyzeArgument, name: str):
     return argument.value
 
 
+def _only(*columns: str) -> list[SelectedColumn]:
+    """Of the table's rows these columns alone go to Python; it stays ordered by any."""
+    return [SelectedColumn("`" + c.replace("`", "``") + "`") for c in dict.fromkeys(columns)]
+
+
 def _names(argument: AnalyzeArgument, name: str) -> list[str]:
     return [c.strip() for c in str(_constant(argument, name)).split(",")]
 
@@ -62,7 +67,7 @@ class SizeGroups:
         named = _names(keys, "the keys")
         kept = _table(rows, *named, _constant(size, "the size column"))
         own = [StructField("ord", IntegerType()), StructField("g", IntegerType()), StructField("n", LongType())]
-        return AnalyzeResult(StructType([*[kept[k] for k in named], *own]))
+        return AnalyzeResult(StructType([*[kept[k] for k in named], *own]), select=_only(*named, size.value))
 
     def __init__(self):
         self.key, self.groups = None, []
@@ -70,12 +75,15 @@ class SizeGroups:
     def eval(self, rows: Row, keys: str, size: str, tolerance: int) -> None:
         if self.key is None:
             self.key = tuple(rows[k.strip()] for k in keys.split(","))
-        now = None if rows[size] is None else int(rows[size])
-        near = next((g for g in self.groups if now is not None and g[0] is not None and abs(g[0] - now) <= tolerance), None)
-        if near is None:
-            self.groups.append([now, 1])
-        else:
-            near[1] += 1
+            self.at = rows.__fields__.index(size)
+        now = rows[self.at]
+        if now is not None:
+            now = int(now)
+            for g in self.groups:
+                if g[0] is not None and -tolerance <= g[0] - now <= tolerance:
+                    g[1] += 1
+                    return
+        self.groups.append([now, 1])
 
     def terminate(self) -> Iterator[tuple]:
         for i, (g, n) in enumerate(self.groups):
