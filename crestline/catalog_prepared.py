@@ -17,7 +17,8 @@ SHOT = 135.0
 
 def prepared_frames(spark, root):
     raw = _frames(spark, root)
-    ready = prepared(raw.select("vec_id", "v"), "vec_id", SIZE, SIZE, (2, 2), LIMIT, STRENGTH, 3, 5).join(raw.select("label", "vec_id"), "vec_id")
+    # a merge, since the planner takes prepared frames for small and would broadcast them
+    ready = prepared(raw.select("vec_id", "v"), "vec_id", SIZE, SIZE, (2, 2), LIMIT, STRENGTH, 3, 5).join(raw.select("label", "vec_id").hint("merge"), "vec_id")
     ready = ready.select("label", "vec_id", F.transform("v", lambda x: x.cast("double")).alias("v"))
     v = F.col("v")
     parts = (Q.variance(Q.laplacian(v, SIZE, SIZE)), Q.mean(v), F.sqrt(Q.variance(v)), Q.focus(v, SIZE, SIZE))

@@ -2,14 +2,15 @@
 
 A frame is cut into tiles. Of each tile the histogram is clipped, what was clipped is dealt to all values, and
 the cumulative histogram maps values to new ones; a pixel takes the maps of the four tiles around it, weighted by how
-near their middles are. Pixels are only counted and then joined with the four maps of their cell: a tile's map is one
-row of 256 numbers, and no pixel meets another.
+near their middles are. Pixels are only counted and then joined with their frame's maps: those are one row a frame of
+256 numbers a tile, and are not repeated. All keys begin with the frame, so that pixels which lie by frame stay where they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Values of a pixel.
 VALUES = 256
@@ -28,18 +29,17 @@ def tile_maps(pixels: DataFrame, image: str, width: int, height: int, tiles: tup
     most = max(int(limit * area / VALUES), 1) if limit > 0 else area
     whole = pixels.select(image, "v", F.explode(_padded(F.col("x"), width, across * tiles[0])).alias("px"), "y").select(image, "v", "px", F.explode(_padded(F.col("y"), height, down * tiles[1])).alias("py"))
     counted = whole.groupBy(image, F.floor(F.col("px") / across).cast("int").alias("tx"), F.floor(F.col("py") / down).cast("int").alias("ty"), "v").agg(F.count("*").alias("n"))
-    cut = counted.groupBy(image, "tx", "ty").agg(F.sum(F.greatest(F.col("n") - most, F.lit(0))).alias("over"), F.map_from_entries(F.collect_list(F.struct("v", F.least("n", F.lit(most)).alias("n")))).alias("kept"))
+    so_far = Window.partitionBy(image, "tx", "ty").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counted.select("*", F.sum(F.least("n", F.lit(most))).over(so_far).alias("sum"))
+    cut = summed.groupBy(image, "tx", "ty").agg(F.sum(F.greatest(F.col("n") - most, F.lit(0))).alias("over"), F.array_sort(F.collect_list(F.struct("v", "sum"))).alias("steps"))
     each, rest = F.floor(F.col("over") / VALUES), F.col("over") % VALUES
     step = F.greatest(F.floor(VALUES / F.greatest(rest, F.lit(1))), F.lit(1))
-    begin = F.struct(F.array().cast("array<long>").alias("all"), F.lit(0).cast("long").alias("sum"))
-
-    def further(a: Column, i: Column) -> Column:
-        total = a["sum"] + F.coalesce(F.try_element_at("kept", i), F.lit(0))
-        return F.struct(F.concat(a["all"], F.array(total)).alias("all"), total.alias("sum"))
-
+    # a sum holds up to the next value that occurs
+    until = lambda i: F.least(F.get("steps", i + 1)["v"], F.lit(VALUES))
+    runs = F.transform("steps", lambda s, i: F.array_repeat(s["sum"], until(i) - s["v"]))
+    sums = F.concat(F.array_repeat(F.lit(0).cast("long"), F.least(F.get("steps", F.lit(0))["v"], F.lit(VALUES))), F.flatten(runs))
     # of the rest every step-th value gets one
     dealt = lambda i: each * (i + 1) + F.least(F.floor(i / step) + 1, rest)
-    sums = F.aggregate(F.sequence(F.lit(0), F.lit(VALUES - 1)), begin, further)["all"]
     new = F.transform(sums, lambda s, i: F.least(F.rint((s + dealt(i)) * (255.0 / area)), F.lit(255.0)).cast("int"))
     return cut.select(image, "tx", "ty", new.alias("map"))
 
@@ -52,18 +52,13 @@ def equalised(pixels: DataFrame, image: str, width: int, height: int, tiles: tup
     across, down = -(-width // tiles[0]), -(-height // tiles[1])
     maps = tile_maps(pixels, image, width, height, tiles, limit)
 
-    def served(t: str, n: int) -> Column:
-        """The cells (between middles of tiles, counted from the border's) in which a tile comes first or second."""
-        pair = lambda c, k: F.struct(c.alias("cell"), F.lit(k).alias("second"))
-        at = F.col(t)
-        return F.array_compact(F.array(pair(at + 1, 0), F.when(at == 0, pair(at, 0)), pair(at, 1), F.when(at == n - 1, pair(at + 1, 1))))
-
-    near = maps.select(image, "map", F.explode(served("tx", tiles[0])).alias("cx"), "ty").select(image, "map", "cx", F.explode(served("ty", tiles[1])).alias("cy"))
-    corner = lambda k: F.max(F.when(F.col("cx.second") * 2 + F.col("cy.second") == k, F.col("map"))).alias(f"map{k}")
-    cells = near.groupBy(image, F.col("cx.cell").alias("cell_x"), F.col("cy.cell").alias("cell_y")).agg(*map(corner, range(4)))
+    held = maps.groupBy(image).agg(F.map_from_entries(F.collect_list(F.struct((F.col("ty") * tiles[0] + F.col("tx")).alias("k"), "map"))).alias("held"))
+    listed = held.select(image, F.transform(F.sequence(F.lit(0), F.lit(tiles[0] * tiles[1] - 1)), lambda k: F.try_element_at("held", k)).alias("maps"))
     fx, fy = F.col("x") / F.lit(float(across)) - 0.5, F.col("y") / F.lit(float(down)) - 0.5
-    placed = pixels.select("*", (F.floor(fx) + 1).cast("int").alias("cell_x"), (F.floor(fy) + 1).cast("int").alias("cell_y"), (fx - F.floor(fx)).alias("ax"), (fy - F.floor(fy)).alias("ay"))
-    m = lambda k: F.element_at(f"map{k}", F.col("v") + 1)
+    placed = pixels.select("*", F.floor(fx).cast("int").alias("tx"), F.floor(fy).cast("int").alias("ty"), (fx - F.floor(fx)).alias("ax"), (fy - F.floor(fy)).alias("ay"))
+    # beyond the middles of outer tiles these stand for both
+    tile = lambda t, n: F.least(F.greatest(t, F.lit(0)), F.lit(n - 1))
+    m = lambda right, below: F.element_at(F.get("maps", tile(F.col("ty") + below, tiles[1]) * tiles[0] + tile(F.col("tx") + right, tiles[0])), F.col("v") + 1)
     ax, ay = F.col("ax"), F.col("ay")
-    value = (m(0) * (1 - ax) + m(2) * ax) * (1 - ay) + (m(1) * (1 - ax) + m(3) * ax) * ay
-    return placed.join(cells, [image, "cell_x", "cell_y"]).select(*pixels.columns, F.rint(value).cast("int").alias("equalised"))
+    value = (m(0, 0) * (1 - ax) + m(1, 0) * ax) * (1 - ay) + (m(0, 1) * (1 - ax) + m(1, 1) * ax) * ay
+    return placed.join(listed.hint("merge"), image).select(*pixels.columns, F.rint(value).cast("int").alias("equalised"))
